@@ -97,3 +97,15 @@ def explode_once(df: DataFrame, keep: list[str], array: str, alias: str) -> Data
     which computes the array again; the outer form with a NULL filter does not.
     """
     return df.select(*keep, F.explode_outer(array).alias(alias)).filter(F.col(alias).isNotNull())
+
+
+def settle(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Compute these columns once, here.
+
+    The optimizer copies the definition of a column into every filter above it, which
+    multiplies costly nested expressions (and the size of the plan).  A one-element
+    explode is a border it does not cross; it stays inside code generation.
+    """
+    others = [c for c in df.columns if c not in columns]
+    packed = F.explode_outer(F.array(F.struct(*columns))).alias("_settled")
+    return df.select(*others, packed).select(*others, "_settled.*")

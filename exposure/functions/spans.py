@@ -67,11 +67,10 @@ def near_spans(text: Column, left: str, right: str, window: int) -> Column:
     return F.when(both, F.filter(spans(text, left), close)).otherwise(no_spans())
 
 
-def resolve_overlaps(candidates: Column, keys: tuple[str, ...]) -> Column:
-    """Greedy choice of disjoint spans, best first by ``keys``, returned in text order.
+def resolve_overlaps(candidates: Column) -> Column:
+    """Greedy choice of disjoint spans, best first, returned in text order.
 
-    ``candidates`` are structs with ``s`` and ``e`` and the ranking fields ``keys``
-    first.  Candidates are split into runs of touching spans, so the pairwise test
+    ``candidates`` are structs with ``s`` and ``e``; their other leading fields rank them.  Candidates are split into runs of touching spans, so the pairwise test
     stays inside one run however long the text is.
     """
     by_start = F.array_sort(

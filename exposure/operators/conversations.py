@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure import dims
-from exposure.functions.basics import compact, half_up, hits_type, pick, py_strip, slice0
+from exposure.functions.basics import compact, half_up, hits_type, pick, py_strip, settle, slice0
 from exposure.functions.spans import first_near, first_span
 from exposure.operators import evidence as ev
 
@@ -190,7 +190,8 @@ def conversation_groups(assembled: DataFrame, text: str = "incoming_text") -> Da
     df = add_talk_hits(assembled, text)
     df = ev.add_link_hits(ev.add_links(df, text))
     df = df.withColumn("_words", ev.strip_markup(F.concat(F.lit("\n"), F.col(text))))
-    return ev.add_content_hits(df, "_words").drop("_words")
+    df = ev.add_content_hits(df, "_words").drop("_words")
+    return settle(df, ["talk_hits", "links", "link_hits", "content_hits"])
 
 
 def score_conversations(

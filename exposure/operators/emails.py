@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exposure import dims
 from exposure.functions import hosts
-from exposure.functions.basics import compact, excerpt, first, half_up, hits_type, pick, py_strip
+from exposure.functions.basics import compact, excerpt, first, half_up, hits_type, pick, py_strip, settle
 from exposure.operators import evidence as ev
 
 # Group weights, gate and the parts of an address.
@@ -97,7 +97,8 @@ def email_groups(
     df = emails.withColumn("visible", ev.strip_markup(whole))
     df = ev.add_link_hits(ev.add_links(df, body))
     df = ev.add_content_hits(df, "visible")
-    return add_sender_hits(df, sender, reply_to, subject)
+    df = add_sender_hits(df, sender, reply_to, subject)
+    return settle(df, ["visible", "links", "link_hits", "content_hits", "sender_domain", "sender_hits"])
 
 
 def score_emails(emails: DataFrame, intents: DataFrame | None = None, id_col: str = "msg_id", **cols) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposure.functions.basics import compact, first, half_even, plural
+from exposure.functions.basics import compact, first, half_even, plural, settle
 from exposure.operators import identity as ident
 from exposure.operators.risk import curve, overall
 
@@ -143,7 +143,7 @@ def causes(scored: DataFrame) -> DataFrame:
     passwords = F.coalesce(
         F.transform("breached", password), F.array().cast(f"array<{CAUSE}>")
     )
-    return scored.withColumn("causes", F.array_sort(F.concat(fixed, passwords)))
+    return settle(scored.withColumn("causes", F.array_sort(F.concat(fixed, passwords))), ["causes"])
 
 
 def narrative(
@@ -157,8 +157,8 @@ def narrative(
     must = F.slice(F.filter(shown, lambda c: c["must"]), 1, SLOTS)
     optional = F.filter(shown, lambda c: ~c["must"])
     chosen = F.array_sort(F.concat(F.slice(optional, F.lit(1), F.lit(SLOTS) - F.size(must)), must))
-    df = df.withColumn("drivers", chosen)
     best = first(F.filter("causes", lambda c: c["lever"] & (c["points"] >= 1)))
+    df = settle(df.withColumn("drivers", chosen).withColumn("best", best), ["drivers", "best"])
     blank = F.col("s_n_unknown")
     missing = F.when(
         F.col("confidence") >= 0.999, "The score covers typing, sites and passwords."
@@ -180,8 +180,7 @@ def narrative(
         .otherwise(_say("; ", F.size(priced).cast("string"), " things pull it down together."))
     )
     return (
-        df.withColumn("best", best)
-        .withColumn("coverage", F.concat(missing, unlooked))
+        df.withColumn("coverage", F.concat(missing, unlooked))
         .withColumn("story", _say("Score ", F.col("overall").cast("string"), " of 100", shape))
     )
 

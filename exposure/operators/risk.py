@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure import dims
-from exposure.functions.basics import compact, half_up, pick, plural
+from exposure.functions.basics import compact, half_up, pick, plural, settle
 from exposure.operators import identity as ident
 
 RESOLVED = ("masked", "allowlisted")
@@ -189,10 +189,13 @@ def device_totals(
 
 
 def add_scores(totals: DataFrame) -> DataFrame:
-    return (
+    parts = (
         totals.withColumn("privacy", curve(F.col("e_p")))
         .withColumn("browsing", curve(F.col("s_p")))
         .withColumn("identity", F.when(F.col("i_checked").isNotNull(), curve(F.col("i_penalty"))))
+    )
+    return (
+        settle(parts, ["privacy", "browsing", "identity"])
         .withColumn("overall", overall(F.col("privacy"), F.col("browsing"), F.col("identity")))
         .withColumn("risk_level", risk_level(F.col("overall")))
         .withColumn("confidence", F.when(F.col("identity").isNull(), 0.8).otherwise(1.0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from exposure import dims
 from exposure.functions import hosts
-from exposure.functions.basics import compact, first, half_even, pick, plural
+from exposure.functions.basics import compact, first, half_even, pick, plural, settle
 
 # Weights and bands.
 W_LIST, W_AGE, W_BRAND = 0.45, 0.25, 0.30
@@ -143,7 +143,7 @@ def score_urls(
     df = df.withColumn(
         "brand", F.when(hosts.brand_suspected(F.col("host")), hosts.check_brand(F.col("host")))
     ).withColumn("lures", hosts.lures_in(F.col("host")))
-    return _verdicts(df)
+    return _verdicts(settle(df, ["brand", "lures"]))
 
 
 def _verdicts(df: DataFrame) -> DataFrame:
@@ -190,6 +190,7 @@ def _verdicts(df: DataFrame) -> DataFrame:
         .when(hit, listed_reasons)
         .otherwise(reasons),
     )
+    df = settle(df, ["_available", "_score", "reasons"])
     score = F.col("_score")
     any_bad = F.exists("reasons", lambda r: r["weight"] == "bad")
     verdict = (
