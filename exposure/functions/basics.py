@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _sql(value) -> str:
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_sql(v) for v in value)})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def lit_array(values, kind: str = "string") -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    return F.expr(f"cast({_sql(list(values))} AS array<{kind}>)")
 
 
 def lit_map(mapping: dict) -> Column:
     """A literal lookup map; values are strings, numbers or lists of strings."""
-    cells: list[Column] = []
-    for key, value in mapping.items():
-        cells.append(F.lit(key))
-        cells.append(lit_array(value) if isinstance(value, (list, tuple)) else F.lit(value))
-    return F.create_map(*cells)
+    return F.expr(f"map({', '.join(f'{_sql(k)}, {_sql(v)}' for k, v in mapping.items())})")
 
 
 def pick(mapping: dict, key: Column, default=None) -> Column:

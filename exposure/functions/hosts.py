@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from exposure import dims
-from exposure.functions.basics import any_of, first, lit_array, lit_map
+from exposure.functions.basics import first, lit_array, lit_map
 
 BRAND = "struct<kind:string,brand:string>"
 
@@ -115,8 +115,7 @@ def check_brand(host: Column) -> Column:
 
 def brand_suspected(host: Column) -> Column:
     """Cheap necessary test for :func:`check_brand` to give ``named`` or ``lookalike``."""
-    folded = fold_glyphs(F.lower(host))
-    return any_of(*[F.contains(folded, F.lit(fold)) for fold in _folded_brands()])
+    return fold_glyphs(F.lower(host)).rlike("|".join(_folded_brands()))
 
 
 def _folded_brands() -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -144,6 +146,36 @@ def _chain_ends(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return nxt, end
 
 
+def _sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Runs of equal keys in sorted batches, joined where a run spans batches."""
+    held = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+        starts = np.flatnonzero(change)
+        for i, j in zip(starts[:-1], starts[1:]):
+            yield tuple(pdf[keys].iloc[i]), pdf.iloc[i:j]
+        held = pdf.iloc[starts[-1]:]
+    if held is not None and not held.empty:
+        yield tuple(held[keys].iloc[0]), held
+
+
+def _frames(rows: Iterator[dict], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
+    """Collect small pieces into batches of about ``size`` rows."""
+    pieces: dict[str, list] = {c: [] for c in columns}
+    for row in rows:
+        for c in columns:
+            pieces[c].extend(row[c])
+        if len(pieces[columns[0]]) >= size:
+            yield pd.DataFrame(pieces)
+            pieces = {c: [] for c in columns}
+    if pieces[columns[0]]:
+        yield pd.DataFrame(pieces)
+
+
 def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
     """Keep a snapshot only if at least ``minutes`` passed since the last kept one.
 
@@ -151,64 +183,70 @@ def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
     where a chain entering it would leave it, for each possible entry (only times within
     one gap of its start can be entries, merged where they lead to the same end).  One
     pass over those few rows finds the entry of every day, and the days are thinned on
-    their own.
+    their own.  Tasks read sorted runs, so a run costs no call of its own.
     """
     gap = minutes * 60_000_000
     day_us = 86_400_000_000
     rows = snapshots.withColumn("_t", F.unix_micros("captured_at")).withColumn(
         "_day", F.floor(F.col("_t") / F.lit(day_us))
     )
-
-    def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf["_t"].to_numpy())
-        _, end = _chain_ends(t, gap)
-        start = int(key[1]) * day_us
-        n = int(np.searchsorted(t, start + gap, side="left"))
-        n = min(n + 1, len(t))
-        at, leave = t[:n], t[end[:n]]
-        last_of_run = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame(
-            {"device_id": key[0], "_day": key[1], "until": at[last_of_run], "leave": leave[last_of_run]}
-        )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for day, part in pdf.sort_values(["_day", "until"]).groupby("_day", sort=True):
-            out.append((day, last))
-            ready = -(2**62) if last is None else last + gap
-            until = part["until"].to_numpy()
-            i = int(np.searchsorted(until, ready, side="left"))
-            if i < len(until):
-                last = int(part["leave"].to_numpy()[i])
-        return pd.DataFrame(
-            {"device_id": pdf["device_id"].iloc[0], "_day": [d for d, _ in out],
-             "_before": pd.array([b for _, b in out], dtype="Int64")}
-        )
-
-    def keep(left: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return left.iloc[:0][["device_id", "_t"]]
-        t = np.unique(left["_t"].to_numpy())
-        nxt, _ = _chain_ends(t, gap)
-        before = entry["_before"].iloc[0]
-        i = 0 if pd.isna(before) else int(np.searchsorted(t, int(before) + gap, side="left"))
-        kept = []
-        while i < len(t):
-            kept.append(t[i])
-            i = int(nxt[i])
-        return pd.DataFrame({"device_id": left["device_id"].iloc[0], "_t": kept}).astype({"_t": "int64"})
+    by_day = ["device_id", "_day"]
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each():
+            for (device, day), run in _sorted_runs(batches, by_day):
+                t = np.unique(run["_t"].to_numpy())
+                _, end = _chain_ends(t, gap)
+                n = int(np.searchsorted(t, int(day) * day_us + gap, side="left"))
+                n = min(n + 1, len(t))
+                at, leave = t[:n], t[end[:n]]
+                last = np.append(leave[1:] != leave[:-1], True)
+                k = int(last.sum())
+                yield {"device_id": [device] * k, "_day": [int(day)] * k, "until": at[last].tolist(), "leave": leave[last].tolist()}
+
+        yield from _frames(each(), ["device_id", "_day", "until", "leave"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each():
+            device, last = None, None
+            for (dev, day), run in _sorted_runs(batches, by_day):
+                if dev != device:
+                    device, last = dev, None
+                yield {"device_id": [dev], "_day": [int(day)], "_before": [-(2**62) if last is None else last]}
+                i = int(np.searchsorted(run["until"].to_numpy(), -(2**62) if last is None else last + gap, side="left"))
+                if i < len(run):
+                    last = int(run["leave"].iloc[i])
+
+        yield from _frames(each(), ["device_id", "_day", "_before"])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each():
+            for (device, _), run in _sorted_runs(batches, by_day):
+                t = np.unique(run["_t"].to_numpy())
+                nxt, _ = _chain_ends(t, gap)
+                i = int(np.searchsorted(t, int(run["_before"].iloc[0]) + gap, side="left"))
+                kept = []
+                while i < len(t):
+                    kept.append(int(t[i]))
+                    i = int(nxt[i])
+                yield {"device_id": [device] * len(kept), "_t": kept}
+
+        yield from _frames(each(), ["device_id", "_t"])
 
     device = rows.schema["device_id"].dataType.simpleString()
     slim = rows.select("device_id", "_day", "_t")
-    exits_df = slim.groupBy("device_id", "_day").applyInPandas(
-        exits, f"device_id {device}, _day long, until long, leave long"
+    leaves = (
+        slim.repartition("device_id", "_day").sortWithinPartitions("device_id", "_day")
+        .mapInPandas(exits, f"device_id {device}, _day long, until long, leave long")
     )
-    entries = exits_df.groupBy("device_id").applyInPandas(
-        walk, f"device_id {device}, _day long, _before long"
+    entries = (
+        leaves.repartition("device_id").sortWithinPartitions("device_id", "_day", "until")
+        .mapInPandas(walk, f"device_id {device}, _day long, _before long")
     )
     kept = (
-        slim.groupBy("device_id", "_day").cogroup(entries.groupBy("device_id", "_day"))
-        .applyInPandas(keep, f"device_id {device}, _t long")
+        slim.join(entries, by_day).select("device_id", "_day", "_t", "_before")
+        .repartition("device_id", "_day").sortWithinPartitions("device_id", "_day")
+        .mapInPandas(keep, f"device_id {device}, _t long")
     )
     one = rows.groupBy("device_id", "_t").agg(
         F.min(F.struct(*[c for c in snapshots.columns if c != "device_id"])).alias("r")

@@ -1 +1,241 @@
-ORACLES = {}
+"""The same results in DuckDB SQL, written the direct way: re-scored per cause, all pairs
+compared, recursion in place of splitting.  Used to check the Spark jobs, never to run them.
+"""
+
+from __future__ import annotations
+
+from exposure import dims
+from exposure.functions import hosts
+from exposure.operators import conversations, evidence, payloads, pii, reviews
+from exposure.plans import derive
+
+NOW = f"TIMESTAMP '{derive.NOW}'"
+ORACLES: dict[str, str] = {}
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def re2(pattern: str) -> str:
+    """A Java pattern as a quoted RE2 one."""
+    return q(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
+
+
+def values(rows) -> str:
+    cell = lambda v: q(v) if isinstance(v, str) else ("NULL" if v is None else repr(v))
+    return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+
+
+def in_list(words) -> str:
+    return "(" + ", ".join(q(w) for w in words) + ")"
+
+
+def array(words) -> str:
+    return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+# ---------------------------------------------------------------------------
+# Device risk
+# ---------------------------------------------------------------------------
+
+
+def curve(p: str) -> str:
+    return f"(CASE WHEN {p} <= 1e-9 THEN 100 ELSE CAST(floor(1e2 * (1.5e2 / (1.5e2 + {p})) + 5e-1) AS BIGINT) END)"
+
+
+def overall(p: str, b: str, i: str) -> str:
+    two = f"round({p} * 5e-1, 1) + round({b} * 5e-1, 1)"
+    three = f"round({p} * 4e-1, 1) + round({b} * 4e-1, 1) + round({i} * 2e-1, 1)"
+    return f"CAST(floor((CASE WHEN {i} IS NULL THEN {two} ELSE {three} END) + 5e-1) AS BIGINT)"
+
+
+def age(t: str, now: str = NOW) -> str:
+    return f"greatest(0e0, (epoch_us({now}) - epoch_us({t})) / 8.64e10)"
+
+
+BAND = "CASE WHEN {0} >= 100000 THEN 1e2 WHEN {0} >= 1000 THEN 85e0 WHEN {0} >= 10 THEN 65e0 WHEN {0} >= 1 THEN 45e0 ELSE 0e0 END"
+LEVEL = "CASE WHEN {0} >= 1000 THEN 'critical' WHEN {0} >= 1 THEN 'high' ELSE 'low' END"
+PII_W = (
+    "(CASE risk_level WHEN 'critical' THEN 1e2 WHEN 'high' THEN 6e1 WHEN 'medium' THEN 25e0 WHEN 'low' THEN 1e1 ELSE 25e0 END)"
+    " * (CASE action_taken WHEN 'masked' THEN 25e-2 WHEN 'allowlisted' THEN 2e-1 ELSE 1e0 END) * confidence"
+)
+SITE_W = "(CASE verdict WHEN 'dangerous' THEN 1e2 WHEN 'suspicious' THEN 3e1 WHEN 'unknown' THEN 5e0 ELSE 0e0 END)"
+
+DEVICE = f"""
+WITH pii AS (SELECT {derive.PII_EVENTS} FROM events),
+sc AS (SELECT {derive.SITE_CHECKS}, event_id FROM events WHERE event_id % 3 = 0),
+ic0 AS (SELECT {derive.IDENTITY_CHECKS} FROM events WHERE event_type = 'signup'),
+ic AS (SELECT *, {BAND.format('breach_count')} AS penalty, {LEVEL.format('breach_count')} AS level,
+    CASE WHEN coalesce(label, '') <> '' THEN 'label:' || trim(lower(label)) ELSE 'prefix:' || hash_prefix END AS key FROM ic0),
+ev AS (SELECT *, {PII_W} * pow(5e-1, {age('occurred_at')} / 7e0) AS p,
+    CASE WHEN action_taken IN ('masked', 'allowlisted') THEN 'resolved' WHEN risk_level IN ('high', 'critical') THEN 'severe' ELSE 'minor' END AS cause,
+    risk_level IN ('high', 'critical') AND action_taken IN ('none', 'ignored') AS is_open
+    FROM pii WHERE occurred_at >= {NOW} - INTERVAL 30 DAY),
+sw AS (SELECT *, {SITE_W} AS base FROM sc WHERE occurred_at >= {NOW} - INTERVAL 30 DAY),
+dom AS (SELECT device_id, domain, base, t, base * pow(5e-1, {age('t')} / 7e0) AS p FROM (
+    SELECT device_id, domain, base, max(occurred_at) AS t,
+        row_number() OVER (PARTITION BY device_id, domain ORDER BY base DESC) AS rn FROM sw GROUP BY device_id, domain, base) WHERE rn = 1),
+live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id, key ORDER BY occurred_at DESC, id DESC) AS rn,
+    min(occurred_at) OVER (PARTITION BY device_id, key) AS first_at,
+    first_value(id) OVER (PARTITION BY device_id, key ORDER BY occurred_at, id) AS first_id FROM ic) WHERE rn = 1),
+dev AS (SELECT DISTINCT device_id FROM (SELECT device_id FROM pii UNION ALL SELECT device_id FROM sc UNION ALL SELECT device_id FROM ic)),
+e AS (SELECT device_id, sum(p) AS ep, count(*) AS n, count(*) FILTER (action_taken = 'masked') AS masked,
+    count(*) FILTER (action_taken = 'allowlisted') AS muted, count(*) FILTER (is_open) AS n_open,
+    coalesce(sum(p) FILTER (cause <> 'severe'), 0) AS wo_severe, coalesce(sum(p) FILTER (cause <> 'minor'), 0) AS wo_minor,
+    coalesce(sum(p) FILTER (cause <> 'resolved'), 0) AS wo_resolved, count(*) FILTER (cause = 'severe') AS n_severe,
+    count(*) FILTER (cause = 'minor') AS n_minor, count(*) FILTER (cause = 'resolved') AS n_resolved FROM ev GROUP BY 1),
+s AS (SELECT device_id, sum(p) AS sp, count(*) FILTER (base = 100) AS n_d, count(*) FILTER (base = 30) AS n_s, count(*) FILTER (base = 5) AS n_u,
+    coalesce(sum(p) FILTER (base <> 100), 0) AS wo_d, coalesce(sum(p) FILTER (base <> 30), 0) AS wo_s,
+    coalesce(sum(p) FILTER (base <> 5), 0) AS wo_u FROM dom GROUP BY 1),
+visits AS (SELECT device_id, count(*) AS nv FROM sw GROUP BY 1),
+i AS (SELECT device_id, sum(penalty) AS ip, count(*) AS nc, count(*) FILTER (breach_count > 0) AS nb FROM live GROUP BY 1),
+t AS (SELECT device_id, coalesce(ep, 0) AS ep, coalesce(n, 0) AS n, coalesce(masked, 0) AS masked, coalesce(muted, 0) AS muted,
+    coalesce(n_open, 0) AS n_open, wo_severe, wo_minor, wo_resolved, coalesce(n_severe, 0) AS n_severe, coalesce(n_minor, 0) AS n_minor,
+    coalesce(n_resolved, 0) AS n_resolved, coalesce(sp, 0) AS sp, coalesce(n_d, 0) AS n_d, coalesce(n_s, 0) AS n_s, coalesce(n_u, 0) AS n_u,
+    wo_d, wo_s, wo_u, coalesce(nv, 0) AS nv, ip, nc, nb
+    FROM dev LEFT JOIN e USING (device_id) LEFT JOIN s USING (device_id) LEFT JOIN visits USING (device_id) LEFT JOIN i USING (device_id)),
+c AS (SELECT *, {curve('ep')} AS privacy, {curve('sp')} AS browsing, CASE WHEN nc IS NOT NULL THEN {curve('ip')} END AS identity FROM t),
+r AS (SELECT *, {overall('privacy', 'browsing', 'identity')} AS overall FROM c)
+"""
+RISK_LEVEL = "CASE WHEN overall >= 80 THEN 'low' WHEN overall >= 60 THEN 'medium' WHEN overall >= 35 THEN 'high' ELSE 'critical' END"
+
+ORACLES["risk_overall"] = f"""{DEVICE}
+SELECT device_id, overall, privacy, browsing, identity, {RISK_LEVEL} AS risk_level,
+    CASE WHEN identity IS NULL THEN 0.8::DOUBLE ELSE 1e0 END AS confidence,
+    n AS pii_events, masked AS masked_events, n_d + n_s AS flagged_domains FROM r"""
+
+ORACLES["risk_contributions"] = f"""{DEVICE}
+SELECT device_id, 'privacy' AS component, privacy AS score, 0.4::DOUBLE AS weight,
+    CASE WHEN identity IS NULL THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS weight_applied,
+    round(privacy * CASE WHEN identity IS NULL THEN 5e-1 ELSE 4e-1 END, 1) AS points, n AS event_count FROM r
+UNION ALL SELECT device_id, 'browsing', browsing, 0.4::DOUBLE, CASE WHEN identity IS NULL THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END,
+    round(browsing * CASE WHEN identity IS NULL THEN 5e-1 ELSE 4e-1 END, 1), nv FROM r
+UNION ALL SELECT device_id, 'identity', identity, 0.2::DOUBLE, CASE WHEN identity IS NULL THEN 0e0 ELSE 0.2::DOUBLE END,
+    coalesce(round(identity * 2e-1, 1), 0e0), coalesce(nc, 0) FROM r"""
+
+ADVICE_ROWS = """
+adv AS (SELECT device_id, 1 AS o, 'high' AS priority, 'change_password' AS action, nb AS subjects FROM r WHERE coalesce(nb, 0) > 0
+UNION ALL SELECT device_id, 2, 'high', 'review_pii', n_open FROM r WHERE n_open > 0
+UNION ALL SELECT device_id, 3, 'high', 'review_sites', n_d FROM r WHERE n_d > 0
+UNION ALL SELECT device_id, 4, 'medium', 'review_sites', n_s FROM r WHERE n_s > 0 AND n_d = 0
+UNION ALL SELECT device_id, 5, 'low', 'review_allowlist', muted FROM r WHERE muted >= 3
+UNION ALL SELECT device_id, 6, 'low', 'setup_identity', 0 FROM r WHERE nc IS NULL),
+ranked AS (SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY o) - 1 AS rank, priority, action, CAST(subjects AS BIGINT) AS subjects FROM adv)
+"""
+ORACLES["risk_recommendations"] = f"{DEVICE}, {ADVICE_ROWS} SELECT * FROM ranked WHERE rank < 4"
+
+CAUSES = f"""
+cause AS (
+SELECT device_id, overall, 'pii_sent_unprotected' AS code, 'high' AS severity, 0 AS sev, n_severe AS subjects, 'review_pii' AS action,
+    {overall(curve('wo_severe'), 'browsing', 'identity')} AS without, false AS must, 0 AS ord FROM r WHERE n_severe > 0
+UNION ALL SELECT device_id, overall, 'pii_minor_unprotected', 'medium', 1, n_minor, 'review_pii', {overall(curve('wo_minor'), 'browsing', 'identity')}, false, 1 FROM r WHERE n_minor > 0
+UNION ALL SELECT device_id, overall, 'pii_protected', 'low', 2, n_resolved, NULL, {overall(curve('wo_resolved'), 'browsing', 'identity')}, false, 2 FROM r WHERE n_resolved > 0
+UNION ALL SELECT device_id, overall, 'site_dangerous', 'high', 0, n_d, 'review_sites', {overall('privacy', curve('wo_d'), 'identity')}, false, 3 FROM r WHERE n_d > 0
+UNION ALL SELECT device_id, overall, 'site_suspicious', 'medium', 1, n_s, 'review_sites', {overall('privacy', curve('wo_s'), 'identity')}, false, 4 FROM r WHERE n_s > 0
+UNION ALL SELECT device_id, overall, 'site_unchecked', 'low', 2, n_u, NULL, {overall('privacy', curve('wo_u'), 'identity')}, false, 5 FROM r WHERE n_u > 0
+UNION ALL SELECT device_id, overall, 'identity_unmeasured', 'info', 3, 0, NULL, overall, true, 6 FROM r WHERE nc IS NULL
+UNION ALL SELECT device_id, overall, 'identity_breached', 'high', 0, 1, 'change_password', {overall('privacy', 'browsing', curve('rest'))}, false,
+    10 + row_number() OVER (PARTITION BY device_id ORDER BY first_at, first_id, key)
+    FROM (SELECT r.*, l.key, l.first_at, l.first_id, (SELECT coalesce(sum(penalty), 0) FROM live m WHERE m.device_id = l.device_id AND m.key <> l.key) AS rest
+        FROM live l JOIN r USING (device_id) WHERE l.breach_count > 0)),
+priced AS (SELECT *, greatest(0, without - overall) AS points FROM cause),
+shown AS (SELECT *, row_number() OVER (PARTITION BY device_id, must ORDER BY points DESC, sev, code, ord) AS k,
+    count(*) FILTER (must) OVER (PARTITION BY device_id) AS n_must FROM priced WHERE must OR points >= 1),
+driver AS (SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY points DESC, sev, code, ord) - 1 AS rank, code, points, severity, CAST(subjects AS BIGINT) AS subjects
+    FROM shown WHERE must OR k <= 4 - n_must),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY points DESC, sev, code, ord) AS bk FROM priced
+    WHERE action IS NOT NULL AND points >= 1) WHERE bk = 1)
+"""
+ORACLES["risk_drivers"] = f"{DEVICE}, {CAUSES} SELECT * FROM driver"
+ORACLES["risk_lever"] = f"""{DEVICE}, {CAUSES}
+SELECT r.device_id, b.code, r.overall AS current_score, r.overall + b.points AS projected_score, b.points AS delta, b.action
+FROM r LEFT JOIN best b ON r.device_id = b.device_id"""
+
+REPLAY = f"""
+day AS (SELECT d, {NOW} - to_days(CAST(d AS INTEGER)) AS as_of FROM range(0, 31) x(d)),
+rp AS (SELECT device_id, d, sum({PII_W} * pow(5e-1, {age('occurred_at', 'as_of')} / 7e0)) AS ep
+    FROM pii JOIN day ON occurred_at <= as_of AND occurred_at >= as_of - INTERVAL 30 DAY GROUP BY ALL),
+rs0 AS (SELECT device_id, d, as_of, domain, {SITE_W} AS base, max(occurred_at) AS t
+    FROM sc JOIN day ON occurred_at <= as_of AND occurred_at >= as_of - INTERVAL 30 DAY GROUP BY ALL),
+rs AS (SELECT device_id, d, sum(base * pow(5e-1, {age('t', 'as_of')} / 7e0)) AS sp FROM (
+    SELECT *, row_number() OVER (PARTITION BY device_id, d, domain ORDER BY base DESC) AS rn FROM rs0) WHERE rn = 1 GROUP BY ALL),
+replay AS (SELECT device_id, epoch_us(as_of) AS captured_at, {curve('coalesce(ep, 0)')} AS privacy, {curve('coalesce(sp, 0)')} AS browsing
+    FROM (SELECT DISTINCT device_id FROM (SELECT device_id FROM pii UNION ALL SELECT device_id FROM sc)) CROSS JOIN day
+    LEFT JOIN rp USING (device_id, d) LEFT JOIN rs USING (device_id, d))
+"""
+ORACLES["risk_replay_daily"] = f"{DEVICE}, {REPLAY} SELECT *, {overall('privacy', 'browsing', 'NULL')} AS overall FROM replay"
+ORACLES["score_trend"] = f"""{DEVICE}, {REPLAY} SELECT device_id, captured_at, {overall('privacy', 'browsing', 'NULL')} AS overall
+FROM replay WHERE captured_at >= epoch_us({NOW} - INTERVAL 30 DAY)"""
+
+BARE = "replace(replace(site_origin, 'https://', ''), 'http://', '')"
+TIMELINE = f"""
+lines AS (SELECT device_id, occurred_at, 0 AS ord, id, 'pii' AS kind, risk_level AS severity, masked_preview, {BARE} AS site FROM ev
+UNION ALL SELECT device_id, occurred_at, 1, id, 'site', CASE verdict WHEN 'dangerous' THEN 'critical' WHEN 'suspicious' THEN 'medium' ELSE 'low' END, NULL, domain FROM sw
+UNION ALL SELECT device_id, occurred_at, 2, id, 'identity', level, NULL, NULL FROM ic),
+line AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY occurred_at DESC, ord, id DESC) AS rank FROM lines QUALIFY rank <= 25)
+"""
+ORACLES["timeline_top25"] = f"""{DEVICE}, {TIMELINE}
+SELECT device_id, epoch_us(occurred_at) AS occurred_at, kind, severity, masked_preview, site, rank FROM line"""
+
+FLAGGED = """
+fl0 AS (SELECT device_id, domain, max(CASE verdict WHEN 'dangerous' THEN 3 WHEN 'suspicious' THEN 2 ELSE 1 END) AS vr,
+    min(trust_score) AS trust_score, max(occurred_at) AS last_seen, count(*) AS visits,
+    arg_max(CASE WHEN event_id % 2 = 0 THEN concat('note ', event_id % 11) ELSE '' END, (occurred_at, id)) FILTER (event_id % 5 <> 0) AS reasons
+    FROM sw WHERE verdict <> 'safe' GROUP BY ALL),
+fl AS (SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY vr DESC, trust_score, visits DESC, last_seen DESC, domain) AS rank, domain,
+    ['unknown', 'suspicious', 'dangerous'][vr] AS verdict, CAST(trust_score AS BIGINT) AS trust_score, epoch_us(last_seen) AS last_seen, visits,
+    coalesce(reasons, '') AS reasons FROM fl0 QUALIFY rank <= 10)
+"""
+ORACLES["flagged_sites"] = f"{DEVICE}, {FLAGGED} SELECT * FROM fl"
+SEEN = """seen AS (SELECT device_id, epoch_us(min(occurred_at)) AS created_at, epoch_us(max(occurred_at)) AS last_seen_at FROM (
+    SELECT device_id, occurred_at FROM pii UNION ALL SELECT device_id, occurred_at FROM sc UNION ALL SELECT device_id, occurred_at FROM ic) GROUP BY 1)"""
+ORACLES["device_table"] = f"{DEVICE}, {SEEN} SELECT * FROM seen"
+ORACLES["latest_device"] = f"{DEVICE}, {SEEN} SELECT * FROM seen ORDER BY last_seen_at DESC, device_id LIMIT 1"
+THINNED = """
+WITH RECURSIVE snap AS (SELECT concat('dev-', user_id % 10) AS device_id, ts FROM events),
+kept AS (SELECT device_id, min(ts) AS ts FROM snap GROUP BY 1
+    UNION ALL SELECT k.device_id, (SELECT min(s.ts) FROM snap s WHERE s.device_id = k.device_id AND s.ts >= k.ts + INTERVAL 60 MINUTE) AS ts
+    FROM kept k WHERE k.ts IS NOT NULL)
+SELECT device_id, epoch_us(ts) AS captured_at FROM kept WHERE ts IS NOT NULL"""
+ORACLES["snapshots_thinned"] = THINNED
+ORACLES["stream_thinned"] = THINNED
+ORACLES["dashboard_summary"] = f"""{DEVICE}, {CAUSES}, {ADVICE_ROWS}, {TIMELINE}, {FLAGGED}
+SELECT r.device_id, overall, {RISK_LEVEL} AS risk_level, CASE WHEN identity IS NULL THEN 0.8::DOUBLE ELSE 1e0 END AS confidence, privacy, browsing, identity,
+    coalesce((SELECT string_agg(code, '|' ORDER BY rank) FROM driver d WHERE d.device_id = r.device_id), '') AS drivers,
+    (SELECT code FROM best b WHERE b.device_id = r.device_id) AS lever,
+    coalesce((SELECT string_agg(action, '|' ORDER BY rank) FROM ranked a WHERE a.device_id = r.device_id AND rank < 4), '') AS actions,
+    (SELECT string_agg(kind, '|' ORDER BY rank) FROM line l WHERE l.device_id = r.device_id) AS timeline,
+    (SELECT string_agg(domain, '|' ORDER BY rank) FROM fl WHERE fl.device_id = r.device_id) AS flagged,
+    n AS total_pii_events, masked AS total_masked, n_d + n_s AS total_sites_flagged FROM r"""
+ORACLES["sessions_as_json"] = f"""{DEVICE} SELECT device_id,
+    concat('{{"device_id":"', device_id, '","overall":', overall, ',"risk_level":"', {RISK_LEVEL}, '"}}') AS json FROM r"""
+
+# ---------------------------------------------------------------------------
+# Identity
+# ---------------------------------------------------------------------------
+
+ORACLES["identity_live"] = f"""{DEVICE} SELECT device_id, key, epoch_us(occurred_at) AS occurred_at, breach_count, label, penalty, level AS risk_level FROM live"""
+ORACLES["identity_scores"] = f"""{DEVICE},
+named AS (SELECT device_id, coalesce(label, 'One of your passwords') AS label, row_number() OVER (PARTITION BY device_id ORDER BY first_at, first_id, key) AS k
+    FROM live WHERE breach_count > 0)
+SELECT device_id, {curve('ip')} AS identity, nc AS i_checked, nb AS i_breached,
+    (SELECT string_agg(label, '|' ORDER BY k) FROM named WHERE named.device_id = i.device_id AND k <= 2) AS first_breached FROM i"""
+CORPUS = f"""
+WITH ks AS (SELECT DISTINCT event_id % 4000 AS k FROM events),
+raw AS (SELECT {derive.CORPUS} FROM ks),
+corpus AS (SELECT prefix, split_part(line, ':', 1) AS suffix, CAST(split_part(line, ':', 2) AS BIGINT) AS count FROM raw
+    WHERE length(split_part(line, ':', 1)) = 35 AND CAST(split_part(line, ':', 2) AS BIGINT) > 0),
+sec AS (SELECT id, device_id, upper(sha1(secret)) AS h FROM (SELECT {derive.SECRETS} FROM events))
+"""
+ORACLES["breach_corpus"] = f"{CORPUS} SELECT * FROM corpus"
+ORACLES["breach_range"] = f"{CORPUS} SELECT * FROM corpus WHERE prefix IN (SELECT substr(h, 1, 5) FROM sec)"
+ORACLES["breach_match"] = f"""{CORPUS} SELECT id, device_id, substr(h, 1, 5) AS prefix,
+    CASE WHEN substr(h, 1, 5) IN (SELECT prefix FROM corpus) THEN coalesce((SELECT count FROM corpus c WHERE c.prefix || c.suffix = h), 0) END AS breach_count FROM sec"""
+ORACLES["breach_plausible"] = f"""{CORPUS}, chk AS (SELECT id, substr(h, 1, 5) AS hash_prefix, (id % 6) * 37 AS breach_count FROM sec),
+v AS (SELECT *, CASE WHEN breach_count > 0 AND hash_prefix IN (SELECT prefix FROM corpus)
+    THEN EXISTS (SELECT 1 FROM corpus c WHERE c.prefix = hash_prefix AND c.count = breach_count) END AS verified FROM chk)
+SELECT *, {BAND.format('breach_count')} AS penalty, {LEVEL.format('breach_count')} AS risk_level,
+    CASE WHEN breach_count > 0 AND verified = false THEN 0.75::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM v"""
+ORACLES["prefix_k_anonymity"] = f"""{CORPUS} SELECT substr(prefix, 1, 2) || '000' AS prefix, count(*) AS suffixes, max(count) AS max_count FROM corpus GROUP BY 1"""
+ORACLES["identity_stored"] = f"""{DEVICE} SELECT device_id, upper(hash_prefix) AS hash_prefix, count(*) AS n, max(breach_count) AS worst FROM ic GROUP BY ALL"""

@@ -78,31 +78,31 @@ def _told(spark, sf):
 @query
 def risk_overall(spark, sf):
     """K1-K7, K9, K11, I5, I6"""
-    return risk.risk_scores(*_device_tables(spark, sf), derive.now())
+    return risk.risk_scores(*_device_tables(spark, sf), derive.now()).drop("headline")
 
 
 @query
 def risk_contributions(spark, sf):
     """K8, I8"""
-    return risk.contributions(_scored(spark, sf))
+    return risk.contributions(_scored(spark, sf)).drop("detail")
 
 
 @query
 def risk_recommendations(spark, sf):
     """K10, I7"""
-    return risk.recommendations(_scored(spark, sf))
+    return risk.recommendations(_scored(spark, sf)).drop("title", "detail")
 
 
 @query
 def risk_drivers(spark, sf):
     """N1-N6"""
-    return narrative.drivers(_told(spark, sf))
+    return narrative.drivers(_told(spark, sf)).drop("sentence")
 
 
 @query
 def risk_lever(spark, sf):
     """N7, N8"""
-    return narrative.levers(_told(spark, sf))
+    return narrative.levers(_told(spark, sf)).drop("sentence", "coverage", "story")
 
 
 @query
@@ -114,7 +114,7 @@ def risk_replay_daily(spark, sf):
 @query
 def timeline_top25(spark, sf):
     """D2"""
-    return dashboard.timeline(*_device_tables(spark, sf), derive.now())
+    return dashboard.timeline(*_device_tables(spark, sf), derive.now()).drop("title", "detail")
 
 
 @query
@@ -197,8 +197,7 @@ def identity_scores(spark, sf):
     df = identity.identity_totals(live).join(identity.breached_names(live), "device_id", "left")
     return df.select(
         "device_id", risk.curve(F.col("i_penalty")).alias("identity"), "i_checked", "i_breached",
-        F.coalesce(F.transform("first_breached", lambda x: x["label"]), F.array()).alias("first_breached"),
-        identity.identity_detail(F.col("i_checked"), F.col("i_breached")).alias("detail"),
+        F.transform("first_breached", lambda x: x["label"]).alias("first_breached"),
     )
 
 
@@ -384,7 +383,7 @@ def _graded(spark, sf):
 def destination_fit(spark, sf):
     """G1-G4"""
     return _graded(spark, sf).select(
-        "doc_id", "pii_type", "start", "destination_kind", "destination_name", "destination_fit", "destination_note"
+        "doc_id", "pii_type", "start", "destination_kind", "destination_name", "destination_fit"
     )
 
 
@@ -574,7 +573,7 @@ def payload_parsed(spark, sf):
     return df.select(
         "payload_id", "kind", "scheme", "upi.payee_vpa", "upi.handle", "upi.payee_name", "upi.amount",
         "upi.amount_unreadable", "upi.note", "upi.merchant_code", "upi.embedded_url", "wifi_ssid", "wifi_open",
-        "embedded_urls", "destination",
+        "embedded_urls",
     )
 
 
