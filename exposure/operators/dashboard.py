@@ -146,21 +146,26 @@ def _chain_ends(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return nxt, end
 
 
-def _sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal keys in sorted batches, joined where a run spans batches."""
-    held = None
+def _sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
+    """Runs of equal keys in sorted batches, as arrays; joined where a run spans batches."""
+    held: dict | None = None
     for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(change)
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+        n = len(cols[keys[0]])
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= cols[k][1:] != cols[k][:-1]
+        starts = np.flatnonzero(new)
         for i, j in zip(starts[:-1], starts[1:]):
-            yield tuple(pdf[keys].iloc[i]), pdf.iloc[i:j]
-        held = pdf.iloc[starts[-1]:]
-    if held is not None and not held.empty:
-        yield tuple(held[keys].iloc[0]), held
+            yield tuple(cols[k][i] for k in keys), {c: v[i:j] for c, v in cols.items()}
+        held = {c: v[starts[-1]:] for c, v in cols.items()}
+    if held is not None:
+        yield tuple(held[k][0] for k in keys), held
 
 
 def _frames(rows: Iterator[dict], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
@@ -195,7 +200,7 @@ def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for (device, day), run in _sorted_runs(batches, by_day):
-                t = np.unique(run["_t"].to_numpy())
+                t = np.unique(run["_t"])
                 _, end = _chain_ends(t, gap)
                 n = int(np.searchsorted(t, int(day) * day_us + gap, side="left"))
                 n = min(n + 1, len(t))
@@ -213,18 +218,18 @@ def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
                 if dev != device:
                     device, last = dev, None
                 yield {"device_id": [dev], "_day": [int(day)], "_before": [-(2**62) if last is None else last]}
-                i = int(np.searchsorted(run["until"].to_numpy(), -(2**62) if last is None else last + gap, side="left"))
-                if i < len(run):
-                    last = int(run["leave"].iloc[i])
+                i = int(np.searchsorted(run["until"], -(2**62) if last is None else last + gap, side="left"))
+                if i < len(run["until"]):
+                    last = int(run["leave"][i])
 
         yield from _frames(each(), ["device_id", "_day", "_before"])
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for (device, _), run in _sorted_runs(batches, by_day):
-                t = np.unique(run["_t"].to_numpy())
+                t = np.unique(run["_t"])
                 nxt, _ = _chain_ends(t, gap)
-                i = int(np.searchsorted(t, int(run["_before"].iloc[0]) + gap, side="left"))
+                i = int(np.searchsorted(t, int(run["_before"][0]) + gap, side="left"))
                 kept = []
                 while i < len(t):
                     kept.append(int(t[i]))

@@ -239,3 +239,154 @@ SELECT *, {BAND.format('breach_count')} AS penalty, {LEVEL.format('breach_count'
     CASE WHEN breach_count > 0 AND verified = false THEN 0.75::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM v"""
 ORACLES["prefix_k_anonymity"] = f"""{CORPUS} SELECT substr(prefix, 1, 2) || '000' AS prefix, count(*) AS suffixes, max(count) AS max_count FROM corpus GROUP BY 1"""
 ORACLES["identity_stored"] = f"""{DEVICE} SELECT device_id, upper(hash_prefix) AS hash_prefix, count(*) AS n, max(breach_count) AS worst FROM ic GROUP BY ALL"""
+
+# ---------------------------------------------------------------------------
+# Text scan
+# ---------------------------------------------------------------------------
+
+
+def span_rows(source: str, pattern: str, key: str, text: str = "text", ordinal: str = "i", value: str | None = None) -> str:
+    """Rows ``key, text, i, s, e, v`` of all matches, offsets by summed lengths."""
+    p = re2(pattern)
+    return f"""(SELECT {key}, {text} AS text, {ordinal}, m[{ordinal}] AS v,
+        CAST(coalesce(list_sum(list_transform(g[1:{ordinal}], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(m[1:{ordinal} - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+        FROM (SELECT {key}, {text}, m, g, unnest(range(1, len(m) + 1)) AS {ordinal}
+            FROM (SELECT {key}, {text}, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g
+                FROM {source} WHERE regexp_matches({text}, {p}))))"""
+
+
+DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
+
+
+def luhn(v: str) -> str:
+    d = DIGITS.format(v)
+    return f"""(length({d}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({d}) + 1), lambda j:
+        CASE WHEN j % 2 = 1 THEN CAST(substr(reverse({d}), j, 1) AS INT)
+             WHEN CAST(substr(reverse({d}), j, 1) AS INT) > 4 THEN CAST(substr(reverse({d}), j, 1) AS INT) * 2 - 9
+             ELSE CAST(substr(reverse({d}), j, 1) AS INT) * 2 END)) % 10 = 0)"""
+
+
+def verhoeff(v: str) -> str:
+    d = DIGITS.format(v)
+    acc = "0"
+    for k in range(12):
+        digit = f"CAST(substr({d}, {12 - k}, 1) AS INT)"
+        acc = f"CAST(substr('{dims.VERHOEFF_D}', ({acc}) * 10 + CAST(substr('{dims.VERHOEFF_P}', {k % 8 * 10} + {digit} + 1, 1) AS INT) + 1, 1) AS INT)"
+    return f"(CASE WHEN regexp_full_match({d}, '[2-9][0-9]{{11}}') THEN {acc} = 0 ELSE false END)"
+
+
+VALID = {
+    "aadhaar": verhoeff("v"),
+    "credit_card": luhn("v"),
+    "ifsc": "true",
+    "phone": f"regexp_matches({DIGITS.format('v')}, '[6-9][0-9]{{9}}$')",
+}
+#: letters beyond ASCII count as word characters at a word border; RE2 needs them folded
+FOLD = "regexp_replace(text, '[À-ÖØ-öø-ſ]', '_', 'g')"
+
+
+def candidates(source: str, key: str = "doc_id") -> str:
+    parts = []
+    for n, d in enumerate(pii.DETECTORS):
+        found = span_rows(source, d.pattern, key, "raw" if d.name in ("email", "password") else "folded")
+        test = VALID.get(d.name, "true")
+        conf = d.confidence
+        value, start = "v", "s"
+        if d.name == "password":
+            value = f"regexp_extract(v, {re2(d.pattern)}, 1)"
+            start = f"s + length(v) - length({value})"
+        if d.context:
+            conf = round(min(0.99, conf + 0.1), 2)
+            around = "lower(substr(text, CAST(greatest(s - 40, 0) + 1 AS BIGINT), CAST(s + length(v) + 40 - greatest(s - 40, 0) AS BIGINT)))"
+            test = "(" + " OR ".join(f"contains({around}, {q(w)})" for w in d.context) + ")"
+        parts.append(
+            f"SELECT {key}, {n} AS det, {q(d.name)} AS pii_type, {q(d.risk)} AS risk_level, {conf}::DOUBLE AS confidence, "
+            f"{start} AS s, s + length(v) AS e, {value} AS v FROM {found} WHERE {test}"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+GREEDY = """list_reduce(list_transform(list(c ORDER BY {order}), lambda x: [x]), lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda k: x[1].s < k.e AND k.s < x[1].e)) > 0 THEN acc ELSE list_concat(acc, x) END)"""
+
+MASK = """CASE WHEN pii_type IN ('email', 'upi_id') THEN CASE WHEN length(split_part(v, '@', 1)) <= 1 THEN repeat('•', length(split_part(v, '@', 1))) ELSE substr(v, 1, 1) || repeat('•', length(split_part(v, '@', 1)) - 1) END || '@' || substr(v, length(split_part(v, '@', 1)) + 2)
+    WHEN pii_type IN ('api_key', 'jwt', 'password') THEN CASE WHEN length(v) <= 8 THEN repeat('•', length(v)) ELSE substr(v, 1, 4) || repeat('•', 12) END
+    ELSE array_to_string(list_transform(range(1, length(v) + 1), lambda j: CASE WHEN regexp_matches(substr(v, j, 1), '[A-Za-z0-9]')
+        AND length(regexp_replace(substr(v, 1, j), '[^A-Za-z0-9]', '', 'g')) <= n_alnum - least(4, n_alnum // 2) THEN 'X' ELSE substr(v, j, 1) END), '') END"""
+
+
+def findings(source_sql: str, key: str = "doc_id", drop: str = "false", extra: str = "") -> str:
+    """CTEs from texts to ``finding``: candidates, greedy choice, masks."""
+    return f"""
+txt AS (SELECT {key}{extra}, text AS raw, {FOLD} AS folded FROM ({source_sql})),
+cand0 AS ({candidates('txt', key)}),
+cand AS (SELECT c.* FROM cand0 c JOIN txt USING ({key}) WHERE NOT ({drop})),
+kept AS (SELECT {key}, {GREEDY.format(order='c.confidence DESC, c.e - c.s DESC, c.s, c.det')} AS k
+    FROM (SELECT {key}, {{'s': s, 'e': e, 'det': det, 'pii_type': pii_type, 'risk_level': risk_level, 'confidence': confidence, 'v': v}} AS c FROM cand) GROUP BY {key}),
+finding0 AS (SELECT {key}, unnest(k, recursive := true) FROM (SELECT {key}, unnest(k) AS k FROM kept)),
+finding AS (SELECT {key}, pii_type, risk_level, confidence, s AS start, e AS "end", {MASK} AS masked_preview, 'regex' AS detection_tier, v, det
+    FROM (SELECT *, length(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')) AS n_alnum FROM finding0))
+"""
+
+
+TEXTS = f"SELECT {derive.TEXTS} FROM documents"
+OUT = 'doc_id, pii_type, risk_level, confidence, start, "end", masked_preview, detection_tier'
+SEEDED = findings(f"SELECT * FROM ({TEXTS})", extra=", site_origin")
+ORACLES["pii_findings"] = f"WITH {findings('SELECT doc_id, text FROM documents')} SELECT {OUT} FROM finding"
+ORACLES["pii_findings_seeded"] = f"WITH {SEEDED} SELECT {OUT} FROM finding"
+ORACLES["pii_candidates_card"] = f"""WITH t AS ({TEXTS}), f AS (SELECT doc_id, {FOLD} AS text FROM t)
+SELECT doc_id, s AS start, s + length(v) AS "end", {luhn('v')} AS luhn,
+    CASE WHEN d LIKE '4%' THEN 'Visa' WHEN d[1:2] IN ('51', '52', '53', '54', '55') THEN 'Mastercard' WHEN d[1:2] IN ('34', '37') THEN 'American Express'
+        WHEN d LIKE '6011%' OR d LIKE '65%' THEN 'Discover' WHEN d[1:2] IN ('60', '81', '82') THEN 'RuPay' END AS brand
+FROM (SELECT *, {DIGITS.format('v')} AS d FROM {span_rows('f', pii.DETECTORS[4].pattern, 'doc_id')})"""
+LEVELS = "CASE risk_level WHEN 'critical' THEN 100 WHEN 'high' THEN 80 WHEN 'medium' THEN 50 ELSE 25 END"
+ORACLES["pii_message_scores"] = f"""WITH {SEEDED},
+w AS (SELECT doc_id, count(*) AS n, max(({LEVELS}, confidence)) AS w FROM finding GROUP BY 1),
+sc AS (SELECT doc_id, coalesce(n, 0) AS n_findings, CASE WHEN n IS NULL THEN 0 ELSE least(100, CAST(round_even(w[1] * w[2] + least(18, (n - 1) * 6), 0) AS BIGINT)) END AS risk_score
+    FROM txt LEFT JOIN w USING (doc_id))
+SELECT *, CASE WHEN risk_score >= 85 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM sc"""
+ORACLES["pii_redacted"] = f"""WITH {SEEDED},
+o AS (SELECT doc_id, start, "end", masked_preview, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS at FROM finding),
+b AS (SELECT doc_id, string_agg(substr(raw, CAST(at + 1 AS BIGINT), CAST(start - at AS BIGINT)) || masked_preview, '' ORDER BY start) AS head, max("end") AS last FROM o JOIN txt USING (doc_id) GROUP BY 1),
+r AS (SELECT doc_id, CASE WHEN head IS NULL THEN raw ELSE head || substr(raw, CAST(last + 1 AS BIGINT)) END AS redacted FROM txt LEFT JOIN b USING (doc_id))
+SELECT doc_id, length(redacted) AS n, md5(redacted) AS digest FROM r"""
+ORIGIN = "split_part(site_origin, '/', 1) || '//' || split_part(site_origin, '/', 3)"
+ORACLES["pii_muted"] = f"""WITH {findings(f'SELECT * FROM ({TEXTS})', extra=', site_origin', drop=f"CASE WHEN length({ORIGIN}) % 2 = 0 THEN c.pii_type IN ('credit_card', 'email') ELSE c.pii_type = 'upi_id' END")}
+SELECT {OUT} FROM finding"""
+ORACLES["pii_semantic_gate"] = f"""WITH {SEEDED},
+g AS (SELECT doc_id, NOT EXISTS (SELECT 1 FROM finding f WHERE f.doc_id = txt.doc_id AND risk_level IN ('high', 'critical'))
+    AND length(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')) >= 40
+    AND len(string_split_regex(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '\\s+')) >= 6 AS worth_reading FROM txt)
+SELECT *, CASE WHEN NOT worth_reading THEN 'skipped' WHEN doc_id % 3 = 0 THEN 'ran' ELSE 'unavailable' END AS status FROM g"""
+ORACLES["exposure_crosstab"] = ""
+ORACLES["destination_fit"] = ""
+PLACE = f"""
+place(host, kind, name) AS (VALUES {values((h, k, n) for k, sites in dims.DESTINATIONS.items() for h, n in sites.items())}),
+fam(pii_type, family) AS (VALUES {values(dims.PII_FAMILIES.items())}),
+fits(family, kind, fit) AS (VALUES {values((f, k, g) for f, row in dims.FIT_MATRIX.items() for k, g in zip(dims.DESTINATIONS, row.split()))}),
+hosts AS (SELECT doc_id, split_part(split_part(site_origin, '/', 3), ':', 1) AS host FROM txt),
+best AS (SELECT doc_id, host, (SELECT arg_max({{'kind': kind, 'name': name}}, length(p.host)) FROM place p
+    WHERE h.host = p.host OR (contains(p.host, '.') AND ends_with(h.host, '.' || p.host))) AS b FROM hosts h),
+graded AS (SELECT f.doc_id, f.pii_type, f.start, fam.family, coalesce(b.kind, 'unknown') AS destination_kind, coalesce(b.name, host) AS destination_name,
+    coalesce(fits.fit, 'unknown') AS destination_fit
+    FROM finding f JOIN best USING (doc_id) LEFT JOIN fam USING (pii_type) LEFT JOIN fits ON fits.family = fam.family AND fits.kind = b.kind)
+"""
+ORACLES["destination_fit"] = f"WITH {SEEDED}, {PLACE} SELECT doc_id, pii_type, start, destination_kind, destination_name, destination_fit FROM graded"
+ORACLES["exposure_crosstab"] = f"""WITH {SEEDED}, {PLACE} SELECT coalesce(family, 'other') AS family, destination_kind, destination_fit, count(*) AS findings FROM graded GROUP BY ALL"""
+
+#: RE2 has no lookaround: the token is matched with its borders, which the separators allow
+ORACLES["credential_prefilter"] = f"""WITH t AS ({TEXTS}), shape(o, prefix, p) AS (VALUES {values((i, a, b) for i, (a, b) in enumerate(pii.CREDENTIAL_SHAPES))}),
+m AS (SELECT doc_id, text, prefix, p, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM t JOIN shape ON contains(text, prefix) AND regexp_matches(text, p) QUALIFY k = 1),
+h AS (SELECT doc_id, prefix, length(text) AS n, CAST(length(string_split_regex(text, p)[1]) AS BIGINT) AS s, regexp_extract(text, p) AS v FROM m)
+SELECT doc_id, prefix, s, substr(v, 1, 4) || repeat('•', 16) AS masked,
+    CASE WHEN n <= 20000 THEN n ELSE least(20000, n - greatest(0, s - greatest(0, (20000 - length(v)) // 2))) END AS excerpt_chars FROM h"""
+MESSAGES = f"SELECT {derive.MESSAGES} FROM conversations WHERE role <> 'system'"
+ORACLES["text_hygiene"] = f"""WITH m AS ({MESSAGES}) SELECT conv_id, turn, length(c) AS n, md5(c) AS clean, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS unstamped
+FROM (SELECT *, replace(text, '.', ' ') || ' 12:04 PM' AS c FROM m)"""
+STAMPED = f"{SEEDED}, st AS (SELECT f.*, concat('dev-', doc_id % 50) AS device_id, {NOW} - to_days(CAST(doc_id % 60 AS INTEGER)) AS occurred_at FROM finding f)"
+ORACLES["findings_stored"] = f"""WITH {STAMPED} SELECT device_id, pii_type, count(*) AS n, epoch_us(min(occurred_at)) AS first_at, max(masked_preview) AS last_mask
+FROM st WHERE occurred_at >= {NOW} - INTERVAL 30 DAY GROUP BY ALL"""
+ORACLES["stream_findings"] = f"WITH {STAMPED} SELECT device_id, pii_type, count(*) AS n FROM st GROUP BY ALL"
+OCR_TXT = f"SELECT {derive.OCR_TEXTS} FROM documents"
+CORE = "0-9OoQDIilL|!ZzASsGTBgq"
