@@ -55,7 +55,8 @@ def domain_age(df: DataFrame, registry: DataFrame | None, now: Column) -> DataFr
     dates = registry.groupBy("domain").agg(F.min("registered_at").alias("_registered"))
     seconds = F.unix_micros(now) - F.unix_micros("_registered")
     age = F.greatest(F.lit(0), F.floor(seconds / F.lit(86_400_000_000))).cast("int")
-    return df.join(dates, "domain", "left").withColumn("domain_age_days", age).drop("_registered")
+    known = F.when(F.col("_registered").isNotNull(), age)  # greatest() skips NULL
+    return df.join(dates, "domain", "left").withColumn("domain_age_days", known).drop("_registered")
 
 
 def registration_date(rdap_json: Column) -> Column:
