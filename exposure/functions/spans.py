@@ -52,7 +52,8 @@ def near_spans(text: Column, left: str, right: str, window: int) -> Column:
     """Spans of ``left`` having a whole ``right`` match at most ``window`` characters away.
 
     The window keeps the character before it, so a word boundary at its left edge is
-    judged on the real text; past its right edge nothing is seen.
+    judged on the real text; past its right edge nothing is seen.  A word cut by that
+    edge ends there, so a test of ``right`` on the whole text would not be a safe guard.
     """
     inner = f"(?s)^.(?:.*?)(?:{right})"
 
@@ -63,8 +64,7 @@ def near_spans(text: Column, left: str, right: str, window: int) -> Column:
         inside = F.substr(text, before, size + window + 1).rlike(inner)
         return F.when(before <= 0, at_start).otherwise(inside)
 
-    both = text.rlike(left) & text.rlike(right)
-    return F.when(both, F.filter(spans(text, left), close)).otherwise(no_spans())
+    return F.when(text.rlike(left), F.filter(spans(text, left), close)).otherwise(no_spans())
 
 
 def resolve_overlaps(candidates: Column) -> Column:
