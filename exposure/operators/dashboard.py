@@ -184,49 +184,50 @@ def _frames(rows: Iterator[dict], columns: list[str], size: int = 5000) -> Itera
 def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
     """Keep a snapshot only if at least ``minutes`` passed since the last kept one.
 
-    The greedy rule is sequential, so it is split by device and day.  Each day reports
-    where a chain entering it would leave it, for each possible entry (only times within
-    one gap of its start can be entries, merged where they lead to the same end).  One
-    pass over those few rows finds the entry of every day, and the days are thinned on
-    their own.  Tasks read sorted runs, so a run costs no call of its own.
+    The greedy rule is sequential, so it is split by device and time slice (an hour, for
+    five minutes).  Each slice reports where a chain entering it would leave it, for each
+    possible entry (only times within one gap of its start can be entries, merged where
+    they lead to the same end).  One pass over those few rows finds the entry of every
+    slice, and the slices are thinned on their own.  Tasks read sorted runs, so a run
+    costs no call of its own.
     """
     gap = minutes * 60_000_000
-    day_us = 86_400_000_000
+    slice_us = 12 * gap
     rows = snapshots.withColumn("_t", F.unix_micros("captured_at")).withColumn(
-        "_day", F.floor(F.col("_t") / F.lit(day_us))
+        "_slice", F.floor(F.col("_t") / F.lit(slice_us))
     )
-    by_day = ["device_id", "_day"]
+    by_slice = ["device_id", "_slice"]
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
-            for (device, day), run in _sorted_runs(batches, by_day):
+            for (device, part), run in _sorted_runs(batches, by_slice):
                 t = np.unique(run["_t"])
                 _, end = _chain_ends(t, gap)
-                n = int(np.searchsorted(t, int(day) * day_us + gap, side="left"))
+                n = int(np.searchsorted(t, int(part) * slice_us + gap, side="left"))
                 n = min(n + 1, len(t))
                 at, leave = t[:n], t[end[:n]]
                 last = np.append(leave[1:] != leave[:-1], True)
                 k = int(last.sum())
-                yield {"device_id": [device] * k, "_day": [int(day)] * k, "until": at[last].tolist(), "leave": leave[last].tolist()}
+                yield {"device_id": [device] * k, "_slice": [int(part)] * k, "until": at[last].tolist(), "leave": leave[last].tolist()}
 
-        yield from _frames(each(), ["device_id", "_day", "until", "leave"])
+        yield from _frames(each(), ["device_id", "_slice", "until", "leave"])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             device, last = None, None
-            for (dev, day), run in _sorted_runs(batches, by_day):
+            for (dev, part), run in _sorted_runs(batches, by_slice):
                 if dev != device:
                     device, last = dev, None
-                yield {"device_id": [dev], "_day": [int(day)], "_before": [-(2**62) if last is None else last]}
+                yield {"device_id": [dev], "_slice": [int(part)], "_before": [-(2**62) if last is None else last]}
                 i = int(np.searchsorted(run["until"], -(2**62) if last is None else last + gap, side="left"))
                 if i < len(run["until"]):
                     last = int(run["leave"][i])
 
-        yield from _frames(each(), ["device_id", "_day", "_before"])
+        yield from _frames(each(), ["device_id", "_slice", "_before"])
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
-            for (device, _), run in _sorted_runs(batches, by_day):
+            for (device, _), run in _sorted_runs(batches, by_slice):
                 t = np.unique(run["_t"])
                 nxt, _ = _chain_ends(t, gap)
                 i = int(np.searchsorted(t, int(run["_before"][0]) + gap, side="left"))
@@ -239,18 +240,18 @@ def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
         yield from _frames(each(), ["device_id", "_t"])
 
     device = rows.schema["device_id"].dataType.simpleString()
-    slim = rows.select("device_id", "_day", "_t")
+    slim = rows.select("device_id", "_slice", "_t")
     leaves = (
-        slim.repartition("device_id", "_day").sortWithinPartitions("device_id", "_day")
-        .mapInPandas(exits, f"device_id {device}, _day long, until long, leave long")
+        slim.repartition("device_id", "_slice").sortWithinPartitions("device_id", "_slice")
+        .mapInPandas(exits, f"device_id {device}, _slice long, until long, leave long")
     )
     entries = (
-        leaves.repartition("device_id").sortWithinPartitions("device_id", "_day", "until")
-        .mapInPandas(walk, f"device_id {device}, _day long, _before long")
+        leaves.repartition("device_id").sortWithinPartitions("device_id", "_slice", "until")
+        .mapInPandas(walk, f"device_id {device}, _slice long, _before long")
     )
     kept = (
-        slim.join(entries, by_day).select("device_id", "_day", "_t", "_before")
-        .repartition("device_id", "_day").sortWithinPartitions("device_id", "_day")
+        slim.join(entries, by_slice).select("device_id", "_slice", "_t", "_before")
+        .repartition("device_id", "_slice").sortWithinPartitions("device_id", "_slice")
         .mapInPandas(keep, f"device_id {device}, _t long")
     )
     one = rows.groupBy("device_id", "_t").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure import dims
-from exposure.functions.basics import lit_array, lit_map
+from exposure.functions.basics import lit_array, lit_map, settle
 
 # Ranking constants.
 K1, B = 1.5, 0.75
@@ -20,10 +20,17 @@ def card_text() -> Column:
 
 def terms(text: Column) -> Column:
     """Words of three characters up, no stop words; synonyms follow, once per occurrence."""
-    words = F.filter(
+    return with_synonyms(plain_words(text))
+
+
+def plain_words(text: Column) -> Column:
+    return F.filter(
         F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9]{3,}\b"), F.lit(0)),
         lambda w: ~w.isin(*dims.STOP_WORDS),
     )
+
+
+def with_synonyms(words: Column) -> Column:
     synonyms = lit_map(dims.SYNONYMS)
     extra = F.transform(
         F.filter(words, lambda w: w.isin(*dims.SYNONYMS)),
@@ -34,8 +41,9 @@ def terms(text: Column) -> Column:
 
 def _postings(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Term counts per document.  Counted in the explode's own shuffle, map side first."""
+    worded = settle(docs.withColumn("_w", plain_words(F.col("_text"))), ["_w"])
     return (
-        docs.withColumn("_t", terms(F.col("_text")))
+        settle(worded.select(*keys, with_synonyms(F.col("_w")).alias("_t")), ["_t"])
         .withColumn("len", F.size("_t"))
         .select(*keys, "len", F.explode("_t").alias("term"))
         .groupBy(*keys, "len", "term")
@@ -56,12 +64,10 @@ def bm25_topk(
     body = card_text() if text is None else text
     public = cards.select("id", "ord", body.alias("_text"))
     index = _postings(public, ["id", "ord"])
-    # lengths and document counts come from the postings, not from a second scan
-    sizes = public.select(F.size(terms(F.col("_text"))).alias("len")).agg(
-        F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")
-    )
-    n_docs, sum_len = sizes.select("docs").scalar(), sizes.select("len").scalar()
-    df_public = index.groupBy("term").agg(F.count("*").alias("df"))
+    # every statistic reads the same postings, so the texts are tokenised once
+    n_docs = cards.agg(F.count("*").alias("docs")).scalar()
+    sum_len = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len")).scalar()
+    df_public = index.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     device = F.col("device_id") if "device_id" in questions.columns else F.lit(None).cast("string")
     asked = questions.select(
         F.col(qid).alias("qid"), device.alias("device_id"), F.col("question"),

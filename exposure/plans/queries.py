@@ -594,7 +594,8 @@ def payload_verdict(spark, sf):
 def review_split(spark, sf):
     """R0"""
     docs = tables.read_table(spark, sf, "documents")
-    rows = docs.select("doc_id", F.posexplode(reviews.split_pasted(F.col("text"))).alias("pos", "review"))
+    parts = settle(docs.select("doc_id", reviews.split_pasted(F.col("text")).alias("parts")), ["parts"])
+    rows = parts.select("doc_id", F.posexplode("parts").alias("pos", "review"))
     return rows.select("doc_id", "pos", F.length("review").alias("n"), F.md5(F.col("review").cast("binary")).alias("digest"))
 
 
