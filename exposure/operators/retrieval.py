@@ -46,6 +46,8 @@ def _postings(docs: DataFrame, keys: list[str]) -> DataFrame:
         settle(worded.select(*keys, with_synonyms(F.col("_w")).alias("_t")), ["_t"])
         .withColumn("len", F.size("_t"))
         .select(*keys, "len", F.explode("_t").alias("term"))
+        # stated here, as joins would add it for some readers only and split the exchange
+        .filter(F.col("term").isNotNull())
         .groupBy(*keys, "len", "term")
         .agg(F.count("*").alias("tf"))
     )
