@@ -18,29 +18,70 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+#: matches per block of the two-level running sum
+BLOCK = 128
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
+
+
+def running_starts(widths: Column, body) -> Column:
+    """``body(before)`` where ``before(i)`` is the sum of the first ``i`` of ``widths``.
+
+    Sums of blocks of 128 come first, so the work is linear for any real text and no
+    array is rebuilt per match.
+    """
+
+    def summed(w: Column) -> Column:
+        last = F.floor((F.size(w) - 1) / BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda k: _total(F.slice(w, k * BLOCK + 1, F.lit(BLOCK))),
+        )
+        return bind(blocks, lambda sums: bind(
+            F.transform(sums, lambda _, k: _total(F.slice(sums, F.lit(1), k))),
+            lambda reached: body(
+                lambda i: F.get(reached, F.floor(i / BLOCK).cast("int"))
+                + _total(F.slice(w, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+            ),
+        ))
+
+    return bind(widths, summed)
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<s,e,v>>`` of every match, 0-based half-open character offsets.
 
     With ``group=1`` the span is that of the group, which must end the match.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(whole.alias("m"), gaps.alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-
-    def value(match: Column) -> Column:
-        return match if group == 0 else F.regexp_extract(match, pattern, group)
-
-    def step(acc: Column, part: Column) -> Column:
-        stop = acc["at"] + F.length(part["g"]) + F.length(part["m"])
-        found = value(part["m"])
-        span = F.struct(
-            (stop - F.length(found)).alias("s"), stop.alias("e"), found.alias("v")
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+        F.split(text, pattern, -1).alias("g"),
+    )
+
+    def placed(p: Column) -> Column:
+        widths = F.zip_with(
+            p["m"], F.slice(p["g"], F.lit(1), F.size(p["m"])), lambda m, g: F.length(m) + F.length(g)
+        )
+
+        def span(before, m: Column, i: Column) -> Column:
+            stop = before(i) + F.length(F.get(p["g"], i)) + F.length(m)
+            value = m if group == 0 else F.regexp_extract(m, pattern, group)
+            return F.struct(
+                (stop - F.length(value)).alias("s"), stop.alias("e"), value.alias("v")
+            )
+
+        return running_starts(
+            widths, lambda before: F.transform(p["m"], lambda m, i: span(before, m, i))
         )
-        grown = F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-        return F.when(part["m"].isNull(), acc).otherwise(grown)
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"]).cast(SPANS)
+    return bind(found, placed).cast(SPANS)
 
 
 def guarded_spans(text: Column, guard: Column, pattern: str, group: int = 0) -> Column:
