@@ -2,7 +2,31 @@
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: A-Z alone are folded
+LOWER_WORDS = WORDS.replace(
+    "coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+#: as integers, which keeps the joins small
+SHINGLES = f"""
+    docs AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
+    spread AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM docs WHERE len(w) > 0),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM spread)
+"""
+
 ORACLES = {
+    "op5_ngram_jaccard_join": f"""
+        WITH RECURSIVE {SHINGLES},
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b
+                   ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                  WHERE 100 * m >= 75 * (x.n + y.n - m)),
+        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS x, a AS y FROM both UNION SELECT x, b FROM reach JOIN both ON y = a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+        FROM docs LEFT JOIN sizes USING (doc_id)
+        LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)
+    """,
     "op9_substring_dedup": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
         starts AS (SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS p FROM docs),

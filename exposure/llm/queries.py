@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposure.llm.jaccard_join import jaccard_components
 from exposure.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents linked by five-word shingle sets of Jaccard similarity 0.75 or more."""
+    linked = jaccard_components(_table(spark, sf, "documents"))
+    return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words covered by 35-word passages that also start elsewhere, per document."""
