@@ -14,6 +14,28 @@ SHINGLES = f"""
 """
 
 ORACLES = {
+    "op3_source_mixing": r"""
+        WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        sums AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+        weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS w, 2 * n AS cap FROM sums),
+        levels AS (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(cap) OVER below, 0))::DOUBLE
+                   / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS level
+                   FROM weighed WINDOW below AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        met AS (SELECT level FROM levels WHERE level * w <= cap ORDER BY cap::DOUBLE / w, rank LIMIT 1),
+        targets AS (SELECT source, n, least(met.level * w, cap::DOUBLE) AS target, rank FROM levels, met),
+        flow AS (SELECT doc_id, size, n, target, (rank % 3)::INT AS class, round(target)::BIGINT AS wanted,
+                   (sum(size) OVER (PARTITION BY rank ORDER BY left(md5(doc_id::VARCHAR), 16), doc_id) - size)::BIGINT AS went
+                   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+        copies AS (SELECT *, greatest(least(size, wanted - went), 0) AS c0, greatest(least(size, wanted - went - n), 0) AS c1 FROM flow),
+        middle AS (SELECT *, (CASE WHEN c0 > 0 THEN went + c0 / 2 ELSE went + n + c1 / 2 END) / greatest(target, 1.0) AS x FROM copies),
+        slopes AS (SELECT *, 1.5 - class / 2.0 AS a, 0.5 * class + 0.5 AS z FROM middle),
+        bent AS (SELECT *, (a + 1) / 4 AS half FROM slopes)
+        SELECT doc_id, size, n AS source_size, target, c0 + c1 AS taken, ((c0 > 0)::INT + (c1 > 0)::INT)::BIGINT AS n_copies,
+               CASE WHEN c0 + c1 > 0 THEN round(CASE WHEN class = 1 THEN x
+                    WHEN x < half THEN (sqrt(a * a + 4 * (1 - a) * x) - a) / (2 * (1 - a))
+                    ELSE 0.5 + (sqrt(greatest(1 + 4 * (z - 1) * (x - half), 0)) - 1) / (2 * (z - 1)) END, 6) END AS first_position
+        FROM bent
+    """,
     "op5_ngram_jaccard_join": f"""
         WITH RECURSIVE {SHINGLES},
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),

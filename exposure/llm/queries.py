@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
+from exposure.llm.mixing import placements
 from exposure.llm.substring_dedup import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,16 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that a mix of all documents by source weights takes of each."""
+    mix = placements(_table(spark, sf, "documents"))
+    return mix.select(
+        F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"),
+        F.round(F.get("copies", F.lit(0))["position"], 6).alias("first_position"),
+    )
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents linked by five-word shingle sets of Jaccard similarity 0.75 or more."""
@@ -30,6 +42,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """The best window of every benchmark item that a document leaks."""
+    leaks = find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "start_word", "end_word", "similarity")
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words covered by 35-word passages that also start elsewhere, per document."""
