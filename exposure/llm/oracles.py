@@ -49,6 +49,23 @@ ORACLES = {
         FROM docs LEFT JOIN sizes USING (doc_id)
         LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)
     """,
+    "op8_line_dedup": r"""
+        WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+        lines AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS raw FROM split),
+        judged AS (SELECT doc_id, line, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM lines),
+        firsts AS (SELECT t, min((doc_id, line)) AS f, length(t) AS n FROM judged WHERE length(t) >= 20 GROUP BY t),
+        sides AS (SELECT t, f, unnest([(base, 'p', left(t, (base // 2)::INT)), (base, 's', right(t, (base - base // 2)::INT))]) AS k
+                  FROM (SELECT *, unnest([n, n - 1]) AS base FROM firsts)),
+        near AS (SELECT DISTINCT a.t FROM sides a JOIN sides b ON a.k = b.k AND b.f < a.f AND levenshtein(a.t, b.t) = 1),
+        gone AS (SELECT doc_id, line FROM judged JOIN firsts USING (t) LEFT JOIN near USING (t)
+                 WHERE near.t IS NOT NULL OR (doc_id, line) > f),
+        kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) AS t
+                 FROM lines ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+               coalesce(n, 0)::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+        FROM documents LEFT JOIN kept USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+    """,
     "op9_substring_dedup": rf"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
         starts AS (SELECT r, unnest(range(1, greatest(len(w) - 33, 1))) AS p FROM docs),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
+from exposure.llm.line_dedup import without_repeated_lines
 from exposure.llm.mixing import placements
 from exposure.llm.substring_dedup import dedup_substrings
 
@@ -49,6 +50,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "start_word", "end_word", "similarity")
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that repeat an earlier line with one edit at most, and the text that is left, per document."""
+    kept = without_repeated_lines(_table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Words covered by 35-word passages that also start elsewhere, per document."""

@@ -31,8 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MULTIPLIER)
-_BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse
-_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse
+INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -80,7 +80,7 @@ def _hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         size = e - s
         first = np.cumsum(size) - size
         place = np.arange(len(body), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
-        weighed = _BYTE[body] * powers(_BASE, int(size.max()))[place]
+        weighed = _BYTE[body] * powers(BASE, int(size.max()))[place]
         out[at:stop] = np.add.reduceat(weighed, first)
         at = stop
     return mix(out + (end - start).astype(np.uint64) * _MULTIPLIER)
@@ -106,8 +106,8 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_BASE, len(hashes)), dtype=np.uint64, out=total[1:])
-    return mix((total[width:] - total[:-width]) * powers(_INVERSE, n) + np.uint64(width))
+    np.cumsum(hashes * powers(BASE, len(hashes)), dtype=np.uint64, out=total[1:])
+    return mix((total[width:] - total[:-width]) * powers(INVERSE, n) + np.uint64(width))
 
 
 def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
