@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -290,28 +291,42 @@ def _whole_sets(docs: DataFrame, id_col: str, text_col: str, profile: DataFrame,
     return rows.join(owners, "row", "left_semi").select("text").mapInArrow(whole, "set_id long, shingles binary")
 
 
+def _narrowed(sketch: pd.Series, n: pd.Series) -> pd.Series:
+    """Sketches folded to one or two bits per shingle, enough for a first look."""
+
+    def fold(packed: bytes, size: int) -> bytes:
+        bits = np.frombuffer(packed, np.uint8)
+        while len(bits) > 32 and 8 * len(bits) >= 2 * size:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2:]
+        return bits.tobytes()
+
+    return pd.Series([fold(x, m) for x, m in zip(sketch, n)])
+
+
 def _loose_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Across components, the pairs of one group that sizes and sketches do not rule out.
 
     Members outside the hub's component meet all members, chunk by chunk.
     """
-    member = groups.filter(F.size("members") > 2).select(
-        "name", F.col("members")[0].alias("hub"), F.posexplode("members").alias("at", "set_id")
-    )
-    label = sketches.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "n", "sketch", F.coalesce("root", "set_id").alias("root")
+    member = groups.filter(F.size("members") > 2).select("name", F.posexplode("members").alias("at", "set_id"))
+    placed = member.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "name", "at", "set_id", F.coalesce("root", "set_id").alias("root")
     )
-    placed = member.join(label, "set_id")
-    hubs = placed.filter("at = 0").select("name", F.col("root").alias("hub_root"))
-    sized = placed.groupBy("name").agg(
-        F.count("*").alias("size"), F.countDistinct("root").alias("roots")
-    ).filter("roots > 1").join(hubs, "name")
-    placed = placed.join(sized, "name").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    mixed = placed.groupBy("name").agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.max(F.when(F.col("at") == 0, F.col("root"))).alias("hub_root"),
+    ).filter("low < high")
+    # narrow rows up to here; the sketches join what is left and move once
+    placed = placed.join(mixed.select("name", "size", "hub_root"), "name").join(
+        sketches.select("set_id", "n", F.pandas_udf(_narrowed, "binary")("sketch", "n").alias("sketch")), "set_id"
+    ).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64("set_id", "name"), F.col("chunks")).cast("int")
     keep = ["name", "set_id", "n", "sketch", "root"]
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    loose = placed.filter("root <> hub_root").select(*keep, chunk.alias("i"), every.alias("j"), F.lit(True).alias("loose"))
-    whole = placed.select(*keep, every.alias("i"), chunk.alias("j"), F.lit(False).alias("loose"))
+    steps = F.sequence(F.lit(0), F.col("chunks") - 1)
+    mine = F.transform(steps, lambda s: F.struct(s.alias("i"), chunk.alias("j"), F.lit(False).alias("loose")))
+    theirs = F.transform(steps, lambda s: F.struct(chunk.alias("i"), s.alias("j"), F.lit(True).alias("loose")))
+    both = F.when(F.col("root") != F.col("hub_root"), F.concat(mine, theirs)).otherwise(mine)
+    dealt = placed.select(*keep, F.inline(both))
 
     def compare(table: pa.Table) -> pa.Table:
         flag = table["loose"].to_numpy(zero_copy_only=False)
@@ -338,7 +353,7 @@ def _loose_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, perce
         pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return loose.union(whole).groupBy("name", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("name", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -356,7 +371,7 @@ def jaccard_components(
     sets = stored(_whole_sets(docs, id_col, text_col, own, needed, shingle))
     links = stored(_verified(star, sets, percent))
     roots = stored(components(links))
-    loose = stored(_loose_pairs(groups, roots, sketches, percent))
+    loose = stored(_near_enough(_loose_pairs(groups, roots, sketches, percent), sketches, percent))
     if not loose.isEmpty():
         links = links.union(_verified(loose, sets, percent))
         roots = stored(components(links))
