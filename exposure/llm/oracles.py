@@ -13,7 +13,67 @@ SHINGLES = f"""
     shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM spread)
 """
 
+
+
+def _spans_sql(kinds: list[tuple[str, str, str]], n_base: int) -> str:
+    """Spans of kinds (name, pattern, condition on v, bef and aft), as counts, digest and list."""
+    found = " UNION ALL ".join(
+        f"""SELECT r, {rank} AS rank, '{name}' AS kind, m AS v, coalesce(lag(g) OVER w, '') AS no, right(g, 40) AS bef,
+                   left(lead(g) OVER w, 40) AS aft,
+                   (sum(length(g) + coalesce(length(m), 0)) OVER w - coalesce(length(m), 0))::BIGINT AS s
+            FROM (SELECT r, unnest(string_split_regex(text, '{pattern}')) AS g,
+                         unnest(regexp_extract_all(text, '{pattern}')) AS m,
+                         unnest(range(len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM texts)
+            WINDOW w AS (PARTITION BY r ORDER BY i)"""
+        for rank, (name, pattern, _) in enumerate(kinds)
+    )
+    keep = " OR ".join(f"(rank = {rank} AND ({check}))" for rank, (_, _, check) in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (rank = {rank})::BIGINT AS n_{kinds[rank][0]}" for rank in range(n_base))
+    zero = ", ".join(f"coalesce(n_{kinds[rank][0]}, 0) AS n_{kinds[rank][0]}" for rank in range(n_base))
+    return f"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        found AS ({found}),
+        spans AS (SELECT r, rank, s, kind || ':' || s || ':' || (s + length(v)) AS span FROM found WHERE v IS NOT NULL AND ({keep})),
+        told AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY s, rank) AS spans,
+                        string_agg(span, ',' ORDER BY s, rank) FILTER (rank < {n_base}) AS base FROM spans GROUP BY r)
+        SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts LEFT JOIN told USING (r)
+    """
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length({_DIGITS})), lambda i:
+    CASE WHEN i % 2 = 0 THEN substr({_DIGITS}, (length({_DIGITS}) - i)::INT, 1)::INT
+         ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr({_DIGITS}, (length({_DIGITS}) - i)::INT, 1)::INT + 1] END)) % 10 = 0"""
+_TURNED = "(substr(replace(v, ' ', ''), 5) || left(replace(v, ' ', ''), 4))"
+_MOD_97 = f"""(array_to_string(list_transform(string_split({_TURNED}, ''),
+    lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), '')::HUGEINT) % 97 = 1"""
+_ALONE = "NOT regexp_matches(bef, '[A-Za-z0-9]$') AND NOT regexp_matches(aft, '^[A-Za-z0-9]')"
+_BESIDE = r"regexp_matches(lower({0}), '(^|[^a-z])(ssn|social security|identity|id number)($|[^a-z])')"
+_ASSIGN = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+    r"|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
+)
+
 ORACLES = {
+    "op1_pii": _spans_sql([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+         "list_max(list_transform(string_split(v, '.'), lambda x: x::HUGEINT)) <= 255"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", f"{_ALONE} AND {_MOD_97}"),
+        ("id_number", r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+         f"{_ALONE} AND NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') AND ({_BESIDE.format('bef')} OR {_BESIDE.format('aft')})"),
+    ], 4),
+    "op4_secret_scan": _spans_sql([
+        ("assign", _ASSIGN, r"length(regexp_extract(v, '[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", "length(v) >= 20"),
+        ("hex", "[0-9a-f]+", "length(v) >= 24"),
+        ("private_key", "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "true"),
+        ("github", "gh[opsu]_[A-Za-z0-9]{36,}", "true"),
+        ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ], 3),
     "op3_source_mixing": r"""
         WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
         sums AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),

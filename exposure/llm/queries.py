@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exposure.llm import pii_scan, secret_scan
 from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
 from exposure.llm.line_dedup import without_repeated_lines
+from exposure.llm.matches import listed
 from exposure.llm.mixing import placements
 from exposure.llm.substring_dedup import dedup_substrings
 
@@ -26,6 +28,32 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _digest(spans: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts of base kinds, the digest of the base spans, and all spans."""
+    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in base]
+    return spans.select(
+        F.col("doc").alias("doc_id"), *counts, F.sha2(listed(of_base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
+@query
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document."""
+    return _digest(pii_scan.find_pii(_table(spark, sf, "documents")), pii_scan.BASE)
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document, scanned once per distinct text."""
+    spans, _ = secret_scan.find_secrets(_table(spark, sf, "documents"))
+    return _digest(spans, secret_scan.BASE)
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a mix of all documents by source weights takes of each."""
