@@ -1,5 +1,9 @@
 """SQL forms of the corpus queries, where SQL can say what they compute."""
 
+from __future__ import annotations
+
+from exposure.llm.url_filter import SOFT, STRICT
+
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: A-Z alone are folded
@@ -55,7 +59,39 @@ _ASSIGN = (
     r"|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
 )
 
+
+def _terms_sql(terms) -> str:
+    """Distinct terms that stand free in the lower-cased URL ``u``."""
+    return "list_filter([" + ", ".join(f"'{t}'" for t in terms) + "], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))"
+
+
+_WEIGHT = "CASE t " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in SOFT.items()) + " END"
+
 ORACLES = {
+    "op2_url_filter": rf"""
+        WITH parts AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h,
+                       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                       translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM pages),
+        low AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
+                len({_terms_sql(STRICT)})::BIGINT AS n_strict, {_terms_sql(SOFT)} AS soft FROM parts),
+        rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                              ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        fits AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv FROM low JOIN rules
+                 ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+        weighed AS (SELECT *, len(soft)::BIGINT AS n_soft,
+                    coalesce(round(list_sum(list_transform(soft, lambda t: ({_WEIGHT})::DOUBLE)), 6), 0.0)::DOUBLE AS weight FROM low)
+        SELECT page_id, host, path, rule, n_strict, n_soft, weight, coalesce(rv, CASE WHEN n_strict > 0 OR n_soft >= 3 OR weight >= 1.8
+               THEN 'block' ELSE 'allow' END) AS verdict
+        FROM weighed LEFT JOIN fits USING (page_id)
+    """,
+    "op6_exact_top_k": """
+        WITH ints AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                      WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        scored AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]))::BIGINT AS score
+                   FROM ints q JOIN ints r ON q.vec_id % 100 = 0 AND r.vec_id <> q.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
     "op1_pii": _spans_sql([
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
         ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import pii_scan, secret_scan
+from exposure.llm import pii_scan, quality, secret_scan
 from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
 from exposure.llm.line_dedup import without_repeated_lines
 from exposure.llm.matches import listed
+from exposure.llm.metric_search import top_k
 from exposure.llm.mixing import placements
 from exposure.llm.substring_dedup import dedup_substrings
+from exposure.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +56,12 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(spans, secret_scan.BASE)
 
 
+@query
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict of every page's URL by rules, else by vocabulary."""
+    return judge_urls(_table(spark, sf, "pages")).withColumnRenamed("page", "page_id")
+
+
 @query
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that a mix of all documents by source weights takes of each."""
@@ -71,6 +79,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+@query
+def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best other vectors by integer inner product, for ids divisible by 100."""
+    return top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """The best window of every benchmark item that a document leaks."""
@@ -92,3 +106,13 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select(
         F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.in_held_out_fold("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
