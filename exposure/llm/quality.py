@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = dict(sample.dtypes)["doc"]
     got = sample.mapInArrow(measure, f"doc {kind}, label double, x array<double>").orderBy("doc", "x").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), -1 if len(got) else 0)
     return Model(x, got["label"].to_numpy(float))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +117,9 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.scored(docs, model).select(
         "doc_id", quality.in_held_out_fold("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents."""
+    return corpus_pipeline.run(spark, sf)
