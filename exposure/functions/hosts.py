@@ -36,12 +36,12 @@ def with_scheme(url: Column) -> Column:
 
 
 def site_origin(url: Column) -> Column:
-    """``scheme://host`` of anything URL-shaped; other text is cut to 255 characters."""
+    """``scheme://host`` of anything URL-shaped; other text is kept whole."""
     parts = F.split(F.trim(url), "/")
     shaped = (F.size(parts) >= 3) & (F.get(parts, F.lit(1)) == "")
     return F.when(
         shaped, F.concat(F.get(parts, F.lit(0)), F.lit("//"), F.get(parts, F.lit(2)))
-    ).otherwise(F.substring(F.trim(url), 1, 255))
+    ).otherwise(F.trim(url))
 
 
 def is_checkable(url: Column) -> Column:

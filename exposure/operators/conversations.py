@@ -11,7 +11,7 @@ from exposure.functions.spans import first_near, first_span
 from exposure.operators import evidence as ev
 
 # Bounds, weights and patterns.
-MAX_MESSAGES, MAX_CHARS, MIN_CHARS = 40, 8000, 12
+MIN_CHARS = 12
 WINDOW = 220
 W_TALK, W_LINKS, W_WORDING = 0.50, 0.25, 0.25
 CONCLUSIVE = 85
@@ -120,27 +120,24 @@ ACTIONS = (
 def assemble(
     messages: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text",
     incoming: Column | None = None, keep: str = "last",
-    max_messages: int = MAX_MESSAGES, max_chars: int = MAX_CHARS,
+    max_messages: int | None = None,
 ) -> DataFrame:
     """One row per conversation with what the other side wrote, joined by line breaks.
 
-    The message bound of the service (40, the last ones or the first ones) is applied
-    by ``row_number``, which Spark limits before the shuffle: a conversation with
-    a third of all messages sends 40 of them per task.
+    All messages count, whole.  A caller that wants the last or the first ``max_messages``
+    of each conversation asks for them; Spark then limits before the shuffle.
     """
     incoming = F.col("incoming") if incoming is None else incoming
     order = F.desc(turn_col) if keep == "last" else F.asc(turn_col)
     window = Window.partitionBy(id_col).orderBy(order)
     text = py_strip(F.coalesce(F.col(text_col), F.lit("")))
     said = F.when(F.col("_in") & (F.col("_t") != ""), F.struct(F.col(turn_col).alias("k"), F.col("_t").alias("t")))
-    kept = (
-        messages.select(id_col, turn_col, incoming.alias("_in"), text.alias("_t"))
-        .withColumn("_rn", F.row_number().over(window))
-        .filter(F.col("_rn") <= max_messages)
-    )
+    kept = messages.select(id_col, turn_col, incoming.alias("_in"), text.alias("_t"))
+    if max_messages is not None:
+        kept = kept.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= max_messages)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda m: m["t"]), "\n")
     return kept.groupBy(id_col).agg(
-        F.substring(joined, 1, max_chars).alias("incoming_text"),
+        joined.alias("incoming_text"),
         F.count_if(F.col("_in")).alias("incoming_messages"),
     )
 

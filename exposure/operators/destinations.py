@@ -52,7 +52,7 @@ def fit(pii_type: Column, kind: Column) -> Column:
     """never / rarely / expected, or unknown for a strange place or a strange type."""
     table = {}
     for name, row in dims.FIT_MATRIX.items():
-        for place, grade in zip(dims.DESTINATIONS, row.split()):
+        for place, grade in row.items():
             table[f"{name}|{place}"] = grade
     return F.coalesce(
         F.try_element_at(lit_map(table), F.concat(family(pii_type), F.lit("|"), kind)),
@@ -61,12 +61,9 @@ def fit(pii_type: Column, kind: Column) -> Column:
 
 
 def phrase(pii_type: Column, label: Column) -> Column:
-    low = F.trim(F.lower(label))
-    vowel = low.rlike("^[aeiou]") & ~low.rlike("^(?:u|eu|one)")
-    spoken = F.concat(F.when(vowel, "an ").otherwise("a "), low)
-    return F.coalesce(
-        pick(dims.PII_PHRASES, pii_type), F.when(low == "", "this").otherwise(spoken)
-    )
+    """What was found, for use in a sentence: stored per type, else the label in quotes."""
+    named = F.concat(F.lit("data of the kind \u201c"), F.trim(label), F.lit("\u201d"))
+    return F.coalesce(pick(dims.PII_PHRASES, pii_type), F.when(F.trim(label) != "", named), F.lit("such data"))
 
 
 def _capital(text: Column) -> Column:

@@ -126,16 +126,12 @@ def live_checks(checks: DataFrame) -> DataFrame:
     )
 
 
-def breached_names(live: DataFrame, k: int = 2) -> DataFrame:
-    """The first ``k`` breached passwords of each device by first sight, as an array.
-
-    ``row_number() <= k`` is cut before its shuffle, so a hot device sends few rows.
-    """
+def breached_names(live: DataFrame) -> DataFrame:
+    """All breached passwords of each device by first sight, as an array."""
     order = Window.partitionBy("device_id").orderBy("first_seen", "key")
     return (
         live.filter(F.col("breach_count") > 0)
         .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= k)
         .groupBy("device_id")
         .agg(
             F.array_sort(

@@ -35,10 +35,9 @@ ACTIONS = (
 )
 
 
-def _clip(value: Column, limit: int) -> Column:
-    flat = py_strip(F.regexp_replace(value, r"(?U)\s+", " "))
-    cut = F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
-    return F.nullif(F.when(F.length(flat) <= limit, flat).otherwise(cut), F.lit(""))
+def _tidy(value: Column) -> Column:
+    """White space collapsed, nothing cut; NULL if empty."""
+    return F.nullif(py_strip(F.regexp_replace(value, r"(?U)\s+", " ")), F.lit(""))
 
 
 def _unquote(value: Column, plus: bool) -> Column:
@@ -84,7 +83,7 @@ def parse_payloads(payloads: DataFrame, payload_col: str = "payload") -> DataFra
     pairs = F.col("_pairs")
     twice = lambda key: _unquote(F.coalesce(_param(pairs, key), F.lit("")), False)
     df = df.withColumns({
-        "_vpa": F.when(is_upi, F.coalesce(_clip(twice("pa"), 255), F.lit(""))),
+        "_vpa": F.when(is_upi, F.coalesce(_tidy(twice("pa")), F.lit(""))),
         "_am": F.when(is_upi, py_strip(_param(pairs, "am"))),
     })
     vpa = F.col("_vpa")
@@ -101,14 +100,14 @@ def parse_payloads(payloads: DataFrame, payload_col: str = "payload") -> DataFra
             vpa.alias("payee_vpa"),
             handle.alias("handle"),
             local.alias("local_part"),
-            _clip(twice("pn"), 120).alias("payee_name"),
+            _tidy(twice("pn")).alias("payee_name"),
             F.when(given & readable, amount).alias("amount"),
             (given & ~readable).alias("amount_unreadable"),
-            F.upper(F.coalesce(_clip(_param(pairs, "cu"), 8), F.lit("INR"))).alias("currency"),
-            _clip(twice("tn"), 300).alias("note"),
-            _clip(_param(pairs, "mc"), 16).alias("merchant_code"),
-            _clip(_param(pairs, "tr"), 64).alias("txn_ref"),
-            _clip(twice("url"), 300).alias("embedded_url"),
+            F.upper(F.coalesce(_tidy(_param(pairs, "cu")), F.lit("INR"))).alias("currency"),
+            _tidy(twice("tn")).alias("note"),
+            _tidy(_param(pairs, "mc")).alias("merchant_code"),
+            _tidy(_param(pairs, "tr")).alias("txn_ref"),
+            _tidy(twice("url")).alias("embedded_url"),
         )),
     )
     fields = F.arrays_zip(
@@ -121,9 +120,9 @@ def parse_payloads(payloads: DataFrame, payload_col: str = "payload") -> DataFra
     ssid = F.replace(F.replace(F.coalesce(wifi("S"), F.lit("")), F.lit("\\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
     known_auth = auth.isin("", "wpa", "wpa2", "wpa3", "wep", "sae", "wpa2-eap", "wpa/wpa2")
     loose = F.col("kind").isin("vcard", "text", *SIMPLE_SCHEMES.values()) & ~F.col("dangerous_scheme")
-    found = F.slice(F.array_distinct(F.regexp_extract_all(t, F.lit(ev.URL), F.lit(0))), 1, 5)
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(ev.URL), F.lit(0)))
     df = df.withColumns({
-        "wifi_ssid": F.when(is_wifi, _clip(ssid, 64)),
+        "wifi_ssid": F.when(is_wifi, _tidy(ssid)),
         "wifi_open": F.when(is_wifi, F.when(auth == "nopass", True).when(known_auth, False)),
         "embedded_urls": F.when(loose, found).otherwise(F.array().cast("array<string>")),
         "url": F.when(F.col("kind") == "url", t),

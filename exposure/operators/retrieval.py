@@ -144,7 +144,7 @@ def posture_cards(told: DataFrame) -> DataFrame:
     score = F.struct(
         F.lit("user_posture_summary").alias("id"), F.lit(0).alias("ord"),
         say("Your risk score (", F.col("overall"), "/100)").alias("title"),
-        lit_array("posture user score drivers lever low arithmetic".split()).alias("tags"),
+        lit_array(["posture", "user", "score", "drivers", "lever", "low", "arithmetic"]).alias("tags"),
         F.col("story").alias("summary"),
         say(
             "Overall security score ", F.col("overall"), "/100, ", F.col("risk_level"), " risk. Privacy ",
@@ -154,7 +154,7 @@ def posture_cards(told: DataFrame) -> DataFrame:
     lever = F.when(best.isNotNull(), F.struct(
         F.lit("user_biggest_lever").alias("id"), F.lit(1).alias("ord"),
         F.lit("Top security recommendation").alias("title"),
-        lit_array("posture recommendation lever action fix".split()).alias("tags"),
+        lit_array(["posture", "recommendation", "lever", "action", "fix"]).alias("tags"),
         best["todo"].alias("summary"),
         say(
             "Action: ", best["todo"], " Score now ", F.col("overall"), ", then ", projected, " (+",

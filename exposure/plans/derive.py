@@ -79,7 +79,7 @@ def pii_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_checks(spark: SparkSession, sf: str) -> DataFrame:
-    raw = events(spark, sf).filter("event_id % 3 = 0").selectExpr("event_id", *_columns(SITE_CHECKS))
+    raw = events(spark, sf).selectExpr("event_id", *_columns(SITE_CHECKS))
     reason = F.struct(
         F.lit("domain_age").alias("signal"),
         F.concat(F.lit("note "), (F.col("event_id") % 11).cast("string")).alias("detail"),

@@ -65,7 +65,7 @@ SITE_W = "(CASE verdict WHEN 'dangerous' THEN 1e2 WHEN 'suspicious' THEN 3e1 WHE
 
 DEVICE = f"""
 WITH pii AS (SELECT {derive.PII_EVENTS} FROM events),
-sc AS (SELECT {derive.SITE_CHECKS}, event_id FROM events WHERE event_id % 3 = 0),
+sc AS (SELECT {derive.SITE_CHECKS}, event_id FROM events),
 ic0 AS (SELECT {derive.IDENTITY_CHECKS} FROM events WHERE event_type = 'signup'),
 ic AS (SELECT *, {BAND.format('breach_count')} AS penalty, {LEVEL.format('breach_count')} AS level,
     CASE WHEN coalesce(label, '') <> '' THEN 'label:' || trim(lower(label)) ELSE 'prefix:' || hash_prefix END AS key FROM ic0),
@@ -201,6 +201,12 @@ kept AS (SELECT device_id, min(ts) AS ts FROM snap GROUP BY 1
 SELECT device_id, epoch_us(ts) AS captured_at FROM kept WHERE ts IS NOT NULL"""
 ORACLES["snapshots_thinned"] = THINNED
 ORACLES["stream_thinned"] = THINNED
+ORACLES["stream_fresh_alerts"] = """
+WITH RECURSIVE seen AS (SELECT concat('k', event_id % 97) AS key, ts FROM events),
+given AS (SELECT key, min(ts) AS ts FROM seen GROUP BY 1
+    UNION ALL SELECT g.key, (SELECT min(s.ts) FROM seen s WHERE s.key = g.key AND s.ts >= g.ts + INTERVAL 6 HOUR) AS ts
+    FROM given g WHERE g.ts IS NOT NULL)
+SELECT key, epoch_us(ts) AS ts FROM given WHERE ts IS NOT NULL"""
 ORACLES["dashboard_summary"] = f"""{DEVICE}, {CAUSES}, {ADVICE_ROWS}, {TIMELINE}, {FLAGGED}
 SELECT r.device_id, overall, {RISK_LEVEL} AS risk_level, CASE WHEN identity IS NULL THEN 0.8::DOUBLE ELSE 1e0 END AS confidence, privacy, browsing, identity,
     coalesce((SELECT string_agg(code, '|' ORDER BY rank) FROM driver d WHERE d.device_id = r.device_id), '') AS drivers,
@@ -221,7 +227,7 @@ ORACLES["identity_scores"] = f"""{DEVICE},
 named AS (SELECT device_id, coalesce(label, 'One of your passwords') AS label, row_number() OVER (PARTITION BY device_id ORDER BY first_at, first_id, key) AS k
     FROM live WHERE breach_count > 0)
 SELECT device_id, {curve('ip')} AS identity, nc AS i_checked, nb AS i_breached,
-    (SELECT string_agg(label, '|' ORDER BY k) FROM named WHERE named.device_id = i.device_id AND k <= 2) AS first_breached FROM i"""
+    (SELECT string_agg(label, '|' ORDER BY k) FROM named WHERE named.device_id = i.device_id) AS first_breached FROM i"""
 CORPUS = f"""
 WITH ks AS (SELECT DISTINCT event_id % 4000 AS k FROM events),
 raw AS (SELECT {derive.CORPUS} FROM ks),
@@ -365,7 +371,7 @@ ORACLES["destination_fit"] = ""
 PLACE = f"""
 place(host, kind, name) AS (VALUES {values((h, k, n) for k, sites in dims.DESTINATIONS.items() for h, n in sites.items())}),
 fam(pii_type, family) AS (VALUES {values(dims.PII_FAMILIES.items())}),
-fits(family, kind, fit) AS (VALUES {values((f, k, g) for f, row in dims.FIT_MATRIX.items() for k, g in zip(dims.DESTINATIONS, row.split()))}),
+fits(family, kind, fit) AS (VALUES {values((f, k, g) for f, row in dims.FIT_MATRIX.items() for k, g in row.items())}),
 hosts AS (SELECT doc_id, split_part(split_part(site_origin, '/', 3), ':', 1) AS host FROM txt),
 best AS (SELECT doc_id, host, (SELECT arg_max({{'kind': kind, 'name': name}}, length(p.host)) FROM place p
     WHERE h.host = p.host OR (contains(p.host, '.') AND ends_with(h.host, '.' || p.host))) AS b FROM hosts h),
@@ -404,7 +410,7 @@ ORACLES["pii_semantic_import"] = f"""WITH {SEEDED},
 offer AS (SELECT doc_id, raw, 0 AS o, ['postal_address', 'security_answer', 'family_detail', 'nonsense'][doc_id % 4 + 1] AS pii_type, regexp_extract(raw, '([A-Za-z]{{4,}})[^A-Za-z]*$', 1) AS v, 0.85::DOUBLE AS confidence FROM txt WHERE doc_id % 3 = 0
     UNION ALL SELECT doc_id, raw, 2, 'health_detail', regexp_replace(substr(raw, 1, 12), '^\\s+|\\s+$', '', 'g'), 0.6::DOUBLE FROM txt WHERE doc_id % 3 = 0),
 loc AS (SELECT doc_id, {{'s': instr(raw, v) - 1, 'e': instr(raw, v) - 1 + length(v), 'o': o, 'pii_type': pii_type, 'confidence': confidence}} AS c FROM offer
-    WHERE pii_type <> 'nonsense' AND length(v) BETWEEN 3 AND 300 AND instr(raw, v) > 0),
+    WHERE pii_type <> 'nonsense' AND length(v) >= 3 AND instr(raw, v) > 0),
 free AS (SELECT * FROM loc WHERE NOT EXISTS (SELECT 1 FROM finding f WHERE f.doc_id = loc.doc_id AND f.start < c.e AND c.s < f."end")),
 k AS (SELECT doc_id, unnest(k, recursive := true) FROM (SELECT doc_id, unnest({GREEDY.format(order='c.confidence DESC, c.e - c.s DESC, c.s, c.o')}) AS k FROM free GROUP BY doc_id))
 SELECT doc_id, pii_type, CASE pii_type WHEN 'security_answer' THEN 'critical' WHEN 'family_detail' THEN 'medium' ELSE 'high' END AS risk_level, confidence,
@@ -623,9 +629,8 @@ SELECT msg_id, link_penalty, content_penalty, sender_penalty, intent, risk_score
 # ---------------------------------------------------------------------------
 
 TALK = f"""msg AS ({MESSAGES}),
-recent AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM msg QUALIFY k <= 40),
-conv AS (SELECT conv_id, count(*) FILTER (incoming) AS incoming_messages, coalesce(substr(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY turn)
-    FILTER (incoming AND regexp_matches(text, '\\S')), 1, 8000), '') AS incoming_text FROM recent GROUP BY 1)"""
+conv AS (SELECT conv_id, count(*) FILTER (incoming) AS incoming_messages, coalesce(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY turn)
+    FILTER (incoming AND regexp_matches(text, '\\S')), '') AS incoming_text FROM msg GROUP BY 1)"""
 ORACLES["conv_assembled"] = f"WITH {TALK} SELECT conv_id, incoming_messages, length(incoming_text) AS chars, incoming_text FROM conv"
 
 _C = conversations

@@ -757,8 +757,7 @@ def stream_fresh_alerts(spark, sf):
     checks = _event_stream(spark, sf).select(
         F.concat(F.lit("k"), (F.col("event_id") % 97).cast("string")).alias("key"), "ts"
     )
-    df = _drain(spark, streams.fresh_keys(checks, "key"))
-    return df.groupBy("key").agg(F.count("*").alias("alerts"))
+    return _drain(spark, streams.fresh_keys(checks, "key"))
 
 
 @query

@@ -31,13 +31,8 @@ IDENTITY_CHECKS = (
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a folder; one with fewer splits than cores is spread over them.
-
-    Large tables come as many splits and are left alone.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """One Parquet table of a folder, split as ``spark.sql.files.maxPartitionBytes`` says."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def read_events(

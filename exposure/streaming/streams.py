@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,64 +28,64 @@ def debounce(typed: DataFrame, gap: str = "250 milliseconds", late: str = "10 se
 
 
 def settled_conversations(
-    messages: DataFrame, gap: str = "2500 milliseconds", late: str = "1 minute",
-    keep: int = conversations.MAX_MESSAGES,
+    messages: DataFrame, gap: str = "2500 milliseconds", late: str = "1 minute", keep: int | None = None,
 ) -> DataFrame:
-    """Score a chat once it has been quiet for the gap: last 40 messages, incoming only."""
+    """Score a chat once it has been quiet for the gap: what came in, all of it or the last ``keep`` messages."""
     said = F.struct(F.col("ts"), F.col("turn"), F.col("incoming"), py_strip(F.col("text")).alias("t"))
     burst = (
         messages.withWatermark("ts", late)
         .groupBy("conv_id", F.session_window("ts", gap).alias("burst"))
         .agg(F.array_sort(F.collect_list(said)).alias("said"))
     )
-    recent = F.filter(F.slice("said", F.greatest(F.lit(1), F.size("said") - keep + 1), F.lit(keep)), lambda m: m["incoming"] & (m["t"] != ""))
+    last = F.col("said") if keep is None else F.slice("said", F.greatest(F.lit(1), F.size("said") - keep + 1), F.lit(keep))
+    recent = F.filter(last, lambda m: m["incoming"] & (m["t"] != ""))
     assembled = burst.select(
         "conv_id", F.col("burst.end").alias("settled_at"),
-        F.substring(F.array_join(F.transform(recent, lambda m: m["t"]), "\n"), 1, conversations.MAX_CHARS).alias("incoming_text"),
+        F.array_join(F.transform(recent, lambda m: m["t"]), "\n").alias("incoming_text"),
     )
     return conversations.score_conversations(assembled)
 
 
-def fresh_keys(checks: DataFrame, key: str, reuse: str = "6 hours") -> DataFrame:
-    """First check of a key; repeats within the reuse time are dropped.
+def _spaced(rows: DataFrame, key: str, time: str, gap_us: int, late: str) -> DataFrame:
+    """``(key, time)`` of rows at least the gap after the last one given out for their key.
 
-    Spark promises *at least* this time, so use it for alerts; verdicts themselves are
-    joins and cheap to evaluate again.
+    One time per key is the whole state.  Rows of a micro-batch are put in order; a row that
+    comes late, at most ``late`` behind, is judged against the last one given out before it
+    only if that is still the last one, and is passed over otherwise.
     """
-    return checks.withWatermark("ts", reuse).dropDuplicatesWithinWatermark([key])
 
-
-def thin_snapshots(snapshots: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Keep a snapshot only if ``minutes`` passed since the last kept one of its device.
-
-    One time per device is the whole state.  Rows of a micro-batch are put in order; a row
-    older than the last kept one is too close to it and is dropped.
-    """
-    gap = pd.Timedelta(minutes=minutes)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = pd.concat([b["captured_at"] for b in batches]).sort_values()
-        kept = []
-        for t in times:
-            if last is None or t - last >= gap:
-                kept.append(t)
-                last = t
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        times = np.sort(np.concatenate([b[time].to_numpy("datetime64[us]").astype(np.int64) for b in batches]))
+        given, at = [], 0
+        while at < len(times):
+            if last is not None:  # jump to the first row that is far enough
+                at = int(np.searchsorted(times, last + gap_us))
+                if at == len(times):
+                    break
+            last = int(times[at])
+            given.append(last)
         if last is not None:
-            state.update((int(last.value // 1000) if last.unit == "ns" else int(last.as_unit("us").value),))
-        yield pd.DataFrame({"device_id": [key[0]] * len(kept), "captured_at": pd.Series(kept, dtype="datetime64[us]")})
+            state.update((last,))
+        yield pd.DataFrame({key: [name[0]] * len(given), time: pd.Series(np.array(given, "datetime64[us]"))})
 
     return (
-        snapshots.withWatermark("captured_at", late)
-        .select("device_id", "captured_at")
-        .groupBy("device_id")
-        .applyInPandasWithState(
-            step, "device_id string, captured_at timestamp", "last long", "append",
-            GroupStateTimeout.NoTimeout,
+        rows.withWatermark(time, late).select(key, time).groupBy(key).applyInPandasWithState(
+            step, f"{key} string, {time} timestamp", "last long", "append", GroupStateTimeout.NoTimeout
         )
     )
 
 
+def fresh_keys(checks: DataFrame, key: str, reuse_hours: float = 6, late: str = "10 minutes") -> DataFrame:
+    """``(key, ts)`` of checks that cannot reuse an earlier verdict: none was given out within the reuse time."""
+    return _spaced(checks, key, "ts", int(reuse_hours * 3_600_000_000), late)
+
+
+def thin_snapshots(snapshots: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
+    """Keep a snapshot only if ``minutes`` passed since the last kept one of its device."""
+    return _spaced(snapshots, "device_id", "captured_at", minutes * 60_000_000, late)
+
+
 def live_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Tumbling (or sliding) counts per device and type."""
     window = F.window("occurred_at", size, slide) if slide else F.window("occurred_at", size)
