@@ -822,3 +822,8 @@ HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM
 ORACLES["stream_incremental_score"] = f"""WITH p AS (SELECT * FROM (SELECT {derive.PII_EVENTS} FROM events) WHERE occurred_at >= TIMESTAMP '2024-01-06' ),
 s AS (SELECT device_id, sum({PII_W} * pow(5e-1, {age('occurred_at', "TIMESTAMP '2024-02-06'")} / 7e0)) AS p FROM p GROUP BY 1)
 SELECT device_id, {curve('p')} AS privacy FROM s"""
+
+ORACLES["stored_dashboard"] = f"""WITH d AS ({ORACLES["dashboard_summary"]})
+SELECT device_id, overall, risk_level, privacy, browsing, identity, lever, total_pii_events, total_sites_flagged FROM d"""
+ORACLES["scores_stored"] = f"""WITH d AS ({ORACLES["dashboard_summary"]})
+SELECT device_id, epoch_us(TIMESTAMP '{derive.NOW}') AS captured_at, overall, privacy, identity, browsing FROM d"""

@@ -685,6 +685,29 @@ def identity_stored(spark, sf):
     return back.groupBy("device_id", "hash_prefix").agg(F.count("*").alias("n"), F.max("breach_count").alias("worst"))
 
 
+@query
+def stored_dashboard(spark, sf):
+    """Events are stored, read back and scored"""
+    base, now = scratch(spark), derive.now()
+    kinds = (
+        (derive.pii_events(spark, sf), tables.PII_EVENTS), (derive.site_checks(spark, sf), tables.SITE_CHECKS),
+        (derive.identity_checks(spark, sf), tables.IDENTITY_CHECKS),
+    )
+    for n, (rows, schema) in enumerate(kinds):
+        tables.append_rows(rows, f"{base}/{n}", schema)
+    back = [tables.read_events(spark, f"{base}/{n}", now, schema, days=36_500) for n, (_, schema) in enumerate(kinds)]
+    df = dashboard.summary(*back, now)
+    return df.select("device_id", "overall", "risk_level", "privacy", "browsing", "identity", "lever", "total_pii_events", "total_sites_flagged")
+
+
+@query
+def scores_stored(spark, sf):
+    """Score snapshots are stored and read back"""
+    path = scratch(spark) + "/snapshots"
+    tables.write_snapshots(risk.risk_scores(*_device_tables(spark, sf), derive.now()), derive.now(), path)
+    return tables.read_snapshots(spark, path).select("device_id", "captured_at", "overall", "privacy", "identity", "browsing")
+
+
 @query
 def cards_parsed(spark, sf):
     """S9"""

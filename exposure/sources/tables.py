@@ -15,19 +15,20 @@ from exposure.operators.pii import explode_findings
 from exposure.operators.urls import storable_checks
 
 PII_EVENTS = (
-    "device_id STRING, occurred_at TIMESTAMP, site_origin STRING, field_kind STRING, pii_type STRING, "
+    "id BIGINT, device_id STRING, occurred_at TIMESTAMP, site_origin STRING, field_kind STRING, pii_type STRING, "
     "risk_level STRING, confidence DOUBLE, detection_tier STRING, reason STRING, masked_preview STRING, "
     "action_taken STRING, event_date DATE"
 )
 SITE_CHECKS = (
-    "device_id STRING, occurred_at TIMESTAMP, domain STRING, trust_score INT, verdict STRING, "
+    "id BIGINT, device_id STRING, occurred_at TIMESTAMP, domain STRING, trust_score INT, verdict STRING, "
     "reasons ARRAY<STRUCT<signal:STRING,detail:STRING,weight:STRING>>, domain_age_days INT, "
     "safe_browsing_hit BOOLEAN, brand_mismatch BOOLEAN, event_date DATE"
 )
 IDENTITY_CHECKS = (
-    "device_id STRING, occurred_at TIMESTAMP, hash_prefix STRING, label STRING, breach_count BIGINT, "
+    "id BIGINT, device_id STRING, occurred_at TIMESTAMP, hash_prefix STRING, label STRING, breach_count BIGINT, "
     "risk_level STRING, confidence DOUBLE, reason STRING, event_date DATE"
 )
+SNAPSHOTS = "device_id STRING, captured_at TIMESTAMP, overall INT, privacy INT, identity INT, browsing INT, event_date DATE"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,11 +54,20 @@ def read_identity(spark: SparkSession, path: str, device_id: str | None = None)
     return df if device_id is None else df.filter(F.col("device_id") == device_id)
 
 
-def _append(df: DataFrame, path: str) -> None:
+def append_rows(df: DataFrame, path: str, schema: str, time_col: str = "occurred_at", spread: int = 64) -> None:
+    """Append rows in stored form, by day.  Rows without an ``id`` get a hash of their content,
+    and a column that they lack is NULL.
+
+    A day's rows go to ``spread`` files by a hash of device and time, so a busy device is split.
+    """
+    fields = [f for f in StructType.fromDDL(schema).fields if f.name != "event_date"]
+    df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields if f.name not in ("id", *df.columns)})
+    if "id" not in df.columns and any(f.name == "id" for f in fields):
+        df = df.withColumn("id", F.xxhash64(*[f.name for f in fields if f.name != "id"]))
     (
-        df.withColumn("event_date", F.to_date("occurred_at"))
-        .repartition("event_date", F.pmod(F.xxhash64("device_id"), F.lit(64)))
-        .sortWithinPartitions("event_date", "device_id", "occurred_at")
+        df.select(*[F.col(f.name).cast(f.dataType) for f in fields], F.to_date(time_col).alias("event_date"))
+        .repartition("event_date", F.pmod(F.xxhash64("device_id", time_col), F.lit(spread)))
+        .sortWithinPartitions("event_date", "device_id", time_col)
         .write.mode("append").partitionBy("event_date").parquet(path)
     )
 
@@ -72,7 +82,7 @@ def findings_table(scanned: DataFrame) -> DataFrame:
 
 
 def write_findings(scanned: DataFrame, path: str) -> None:
-    _append(findings_table(scanned), path)
+    append_rows(findings_table(scanned), path, PII_EVENTS)
 
 
 def site_checks_table(scored: DataFrame) -> DataFrame:
@@ -83,7 +93,7 @@ def site_checks_table(scored: DataFrame) -> DataFrame:
 
 
 def write_site_checks(scored: DataFrame, path: str) -> None:
-    _append(site_checks_table(scored), path)
+    append_rows(site_checks_table(scored), path, SITE_CHECKS)
 
 
 def identity_table(rated: DataFrame) -> DataFrame:
@@ -94,7 +104,17 @@ def identity_table(rated: DataFrame) -> DataFrame:
 
 
 def write_identity(rated: DataFrame, path: str) -> None:
-    _append(identity_table(rated), path)
+    append_rows(identity_table(rated), path, IDENTITY_CHECKS)
+
+
+def write_snapshots(scores: DataFrame, captured_at: Column, path: str) -> None:
+    """Keep the scores of this moment, a row per device."""
+    append_rows(scores.withColumn("captured_at", captured_at), path, SNAPSHOTS, "captured_at")
+
+
+def read_snapshots(spark: SparkSession, path: str, device_id: str | None = None) -> DataFrame:
+    df = spark.read.schema(SNAPSHOTS).parquet(path)
+    return df if device_id is None else df.filter(F.col("device_id") == device_id)
 
 
 def as_json(df: DataFrame, keep: list[str]) -> DataFrame:
