@@ -31,28 +31,41 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
 
 
-def running_starts(widths: Column, body) -> Column:
-    """``body(before)`` where ``before(i)`` is the sum of the first ``i`` of ``widths``.
+def _running(numbers: Column, fold, join, body) -> Column:
+    """``body(before)`` where ``before(i)`` folds the first ``i`` numbers.
 
-    Sums of blocks of 128 come first, so the work is linear for any real text and no
-    array is rebuilt per match.
+    Blocks of 128 are folded first, so the work is linear for any real text and no array
+    is rebuilt per match.
     """
 
-    def summed(w: Column) -> Column:
+    def folded(w: Column) -> Column:
         last = F.floor((F.size(w) - 1) / BLOCK).cast("int")
         blocks = F.transform(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda k: _total(F.slice(w, k * BLOCK + 1, F.lit(BLOCK))),
+            lambda k: fold(F.slice(w, k * BLOCK + 1, F.lit(BLOCK))),
         )
-        return bind(blocks, lambda sums: bind(
-            F.transform(sums, lambda _, k: _total(F.slice(sums, F.lit(1), k))),
+        return bind(blocks, lambda whole: bind(
+            F.transform(whole, lambda _, k: fold(F.slice(whole, F.lit(1), k))),
             lambda reached: body(
-                lambda i: F.get(reached, F.floor(i / BLOCK).cast("int"))
-                + _total(F.slice(w, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+                lambda i: join(
+                    F.get(reached, F.floor(i / BLOCK).cast("int")),
+                    fold(F.slice(w, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)),
+                )
             ),
         ))
 
-    return bind(widths, summed)
+    return bind(numbers, folded)
+
+
+def running_starts(widths: Column, body) -> Column:
+    """``body(before)`` where ``before(i)`` is the sum of the first ``i`` of ``widths``."""
+    return _running(widths, _total, lambda a, b: a + b, body)
+
+
+def running_reach(ends: Column, body) -> Column:
+    """``body(before)`` where ``before(i)`` is the largest of the first ``i`` of ``ends``, -1 for none."""
+    largest = lambda a: F.coalesce(F.array_max(a), F.lit(-1))
+    return _running(ends, largest, F.greatest, body)
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -114,24 +127,9 @@ def resolve_overlaps(candidates: Column) -> Column:
     ``candidates`` are structs with ``s`` and ``e``; their other leading fields rank them.  Candidates are split into runs of touching spans, so the pairwise test
     stays inside one run however long the text is.
     """
-    by_start = F.array_sort(
-        F.transform(candidates, lambda c: F.struct(c["s"].alias("at"), c.alias("c")))
+    by_start = F.transform(
+        F.array_sort(F.transform(candidates, lambda c: F.struct(c["s"].alias("at"), c.alias("c")))), lambda x: x["c"]
     )
-    empty = F.slice(candidates, 1, 0)
-    zero = F.struct(F.lit(-1).alias("reach"), F.array(empty).alias("runs"))
-
-    def grow(acc: Column, item: Column) -> Column:
-        c = item["c"]
-        last = F.element_at(acc["runs"], -1)
-        joined = F.concat(
-            F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1),
-            F.array(F.concat(last, F.array(c))),
-        )
-        fresh = F.concat(acc["runs"], F.array(F.array(c)))
-        return F.struct(
-            F.greatest(acc["reach"], c["e"]).alias("reach"),
-            F.when(c["s"] < acc["reach"], joined).otherwise(fresh).alias("runs"),
-        )
 
     def choose(run: Column) -> Column:
         def take(kept: Column, c: Column) -> Column:
@@ -145,10 +143,17 @@ def resolve_overlaps(candidates: Column) -> Column:
         picked = F.transform(in_order, lambda x: x["c"])
         return F.when(F.size(run) <= 1, run).otherwise(picked)
 
-    runs = F.aggregate(by_start, zero, grow, lambda acc: acc["runs"])
-    return F.when(F.size(candidates) <= 1, candidates).otherwise(
-        F.flatten(F.transform(runs, choose))
-    )
+    def resolved(spans_: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(spans_) - 1)
+        heads = running_reach(
+            F.transform(spans_, lambda c: c["e"]),
+            lambda before: F.filter(every, lambda i: F.get(spans_, i)["s"] >= before(i)),
+        )
+        return bind(heads, lambda h: F.flatten(F.transform(h, lambda at, k: choose(
+            F.slice(spans_, at + 1, F.coalesce(F.get(h, k + 1), F.size(spans_)) - at)
+        ))))
+
+    return F.when(F.size(candidates) <= 1, candidates).otherwise(bind(by_start, resolved))
 
 
 def first_span(text: Column, pattern: str) -> Column:
