@@ -32,7 +32,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,18 +290,6 @@ def _whole_sets(docs: DataFrame, id_col: str, text_col: str, profile: DataFrame,
     return rows.join(owners, "row", "left_semi").select("text").mapInArrow(whole, "set_id long, shingles binary")
 
 
-def _narrowed(sketch: pd.Series, n: pd.Series) -> pd.Series:
-    """Sketches folded to one or two bits per shingle, enough for a first look."""
-
-    def fold(packed: bytes, size: int) -> bytes:
-        bits = np.frombuffer(packed, np.uint8)
-        while len(bits) > 32 and 8 * len(bits) >= 2 * size:
-            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2:]
-        return bits.tobytes()
-
-    return pd.Series([fold(x, m) for x, m in zip(sketch, n)])
-
-
 def _loose_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Across components, the pairs of one group that sizes and sketches do not rule out.
 
@@ -318,7 +305,7 @@ def _loose_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, perce
     ).filter("low < high")
     # narrow rows up to here; the sketches join what is left and move once
     placed = placed.join(mixed.select("name", "size", "hub_root"), "name").join(
-        sketches.select("set_id", "n", F.pandas_udf(_narrowed, "binary")("sketch", "n").alias("sketch")), "set_id"
+        sketches, "set_id"
     ).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64("set_id", "name"), F.col("chunks")).cast("int")
     keep = ["name", "set_id", "n", "sketch", "root"]
@@ -371,7 +358,7 @@ def jaccard_components(
     sets = stored(_whole_sets(docs, id_col, text_col, own, needed, shingle))
     links = stored(_verified(star, sets, percent))
     roots = stored(components(links))
-    loose = stored(_near_enough(_loose_pairs(groups, roots, sketches, percent), sketches, percent))
+    loose = stored(_loose_pairs(groups, roots, sketches, percent))
     if not loose.isEmpty():
         links = links.union(_verified(loose, sets, percent))
         roots = stored(components(links))
