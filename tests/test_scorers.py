@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from exposure import dims
 from exposure.functions import hosts
-from exposure.operators import conversations, destinations, emails, payloads, retrieval, reviews, urls
+from exposure.operators import conversations, destinations, emails, evidence, payloads, retrieval, reviews, urls
 
 NOW = F.lit("2024-02-05 12:00:00").cast("timestamp")
 
@@ -108,11 +108,28 @@ def test_conversation_reads_only_the_other_side(spark):
     assert all(h.evidence in r.incoming_text for r in got.values() for h in r.talk_hits)
 
 
-def test_conversation_keeps_last_or_first_forty(spark):
-    df = spark.createDataFrame([(1, i, True, f"m{i}") for i in range(60)], "conv_id long, turn long, incoming boolean, text string")
-    last = conversations.assemble(df).first().incoming_text.split("\n")
-    head = conversations.assemble(df, keep="first").first().incoming_text.split("\n")
-    assert last == [f"m{i}" for i in range(20, 60)] and head == [f"m{i}" for i in range(40)]
+def test_conversations_are_whole_unless_a_caller_bounds_them(spark):
+    df = spark.createDataFrame([(1, i, True, f"m{i} " + "x" * 300) for i in range(60)], "conv_id long, turn long, incoming boolean, text string")
+    places = lambda d: [int(line.split()[0][1:]) for line in d.first().incoming_text.split("\n")]
+    assert places(conversations.assemble(df)) == list(range(60))
+    assert len(conversations.assemble(df).first().incoming_text) > 18_000
+    assert places(conversations.assemble(df, max_messages=40)) == list(range(20, 60))
+    assert places(conversations.assemble(df, keep="first", max_messages=40)) == list(range(40))
+
+
+def test_long_payload_fields_and_many_links_are_kept(spark):
+    address = "a" * 300 + "@ybl"
+    links = "see " + " ".join(f"https://site{i}.example.com/x" for i in range(8))
+    df = spark.createDataFrame([(f"upi://pay?pa={address}&tn={'n' * 400}",), (links,)], "payload string")
+    upi, text = payloads.parse_payloads(df).collect()
+    assert (upi.upi.payee_vpa, upi.upi.handle, len(upi.upi.note)) == (address, "ybl", 400)
+    assert len(text.embedded_urls) == 8
+
+
+def test_anchor_text_is_read_to_its_end(spark):
+    html = f'<a href="https://evil.example.com/">{"please read this first " * 10} www.paypal.com</a>'
+    df = evidence.add_link_hits(evidence.add_links(spark.createDataFrame([(html,)], "body string"), "body"))
+    assert any("shown" in h.name or "mismatch" in h.name or "differ" in h.name for h in df.first().link_hits), df.first().link_hits
 
 
 def test_payload_cases(spark):
