@@ -104,7 +104,10 @@ RISK_LEVEL = "CASE WHEN overall >= 80 THEN 'low' WHEN overall >= 60 THEN 'medium
 ORACLES["risk_overall"] = f"""{DEVICE}
 SELECT device_id, overall, privacy, browsing, identity, {RISK_LEVEL} AS risk_level,
     CASE WHEN identity IS NULL THEN 0.8::DOUBLE ELSE 1e0 END AS confidence,
-    n AS pii_events, masked AS masked_events, n_d + n_s AS flagged_domains FROM r"""
+    n AS pii_events, masked AS masked_events, n_d + n_s AS flagged_domains,
+    CASE WHEN n = 0 AND nv = 0 THEN 'Nothing has been seen yet.' WHEN overall >= 80 THEN 'All good: nothing needs attention.'
+         WHEN overall >= 60 THEN 'Mostly fine; a couple of things deserve a look.'
+         WHEN overall >= 35 THEN 'Some things need attention, the first advice first.' ELSE 'Serious issues need attention today.' END AS headline FROM r"""
 
 ORACLES["risk_contributions"] = f"""{DEVICE}
 SELECT device_id, 'privacy' AS component, privacy AS score, 0.4::DOUBLE AS weight,
@@ -150,7 +153,9 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDE
 """
 ORACLES["risk_drivers"] = f"{DEVICE}, {CAUSES} SELECT * FROM driver"
 ORACLES["risk_lever"] = f"""{DEVICE}, {CAUSES}
-SELECT r.device_id, b.code, r.overall AS current_score, r.overall + b.points AS projected_score, b.points AS delta, b.action
+SELECT r.device_id, b.code, r.overall AS current_score, r.overall + b.points AS projected_score, b.points AS delta, b.action,
+    CASE WHEN identity IS NULL THEN 'The score covers 80% of what is measured; the rest is unknown, not safe.' ELSE 'The score covers typing, sites and passwords.' END
+    || CASE WHEN n_u > 0 THEN ' ' || n_u || CASE WHEN n_u = 1 THEN ' site' ELSE ' sites' END || ' stay unknown.' ELSE '' END AS coverage
 FROM r LEFT JOIN best b ON r.device_id = b.device_id"""
 
 REPLAY = f"""
@@ -227,7 +232,9 @@ ORACLES["identity_scores"] = f"""{DEVICE},
 named AS (SELECT device_id, coalesce(label, 'One of your passwords') AS label, row_number() OVER (PARTITION BY device_id ORDER BY first_at, first_id, key) AS k
     FROM live WHERE breach_count > 0)
 SELECT device_id, {curve('ip')} AS identity, nc AS i_checked, nb AS i_breached,
-    (SELECT string_agg(label, '|' ORDER BY k) FROM named WHERE named.device_id = i.device_id) AS first_breached FROM i"""
+    (SELECT string_agg(label, '|' ORDER BY k) FROM named WHERE named.device_id = i.device_id) AS first_breached,
+    CASE WHEN nb = 0 THEN nc || CASE WHEN nc = 1 THEN ' password' ELSE ' passwords' END || ' checked, none breached.'
+         ELSE nb || ' of ' || nc || CASE WHEN nc = 1 THEN ' password' ELSE ' passwords' END || ' found in breaches.' END AS sentence FROM i"""
 CORPUS = f"""
 WITH ks AS (SELECT DISTINCT event_id % 4000 AS k FROM events),
 raw AS (SELECT {derive.CORPUS} FROM ks),
@@ -379,7 +386,12 @@ graded AS (SELECT f.doc_id, f.pii_type, f.start, fam.family, coalesce(b.kind, 'u
     coalesce(fits.fit, 'unknown') AS destination_fit
     FROM finding f JOIN best USING (doc_id) LEFT JOIN fam USING (pii_type) LEFT JOIN fits ON fits.family = fam.family AND fits.kind = b.kind)
 """
-ORACLES["destination_fit"] = f"WITH {SEEDED}, {PLACE} SELECT doc_id, pii_type, start, destination_kind, destination_name, destination_fit FROM graded"
+ORACLES["destination_fit"] = f"""WITH {SEEDED}, {PLACE} SELECT doc_id, pii_type, start, destination_kind, destination_name, destination_fit,
+    CASE destination_fit WHEN 'never' THEN upper(left(said, 1)) || substr(said, 2) || ' does not belong on ' || destination_name || '.'
+        WHEN 'rarely' THEN destination_name || ' seldom needs ' || said || '.' WHEN 'expected' THEN destination_name || ' normally takes ' || said || '.'
+        ELSE CASE WHEN destination_kind <> 'unknown' THEN 'Whether ' || said || ' belongs on ' || destination_name || ' is not known.'
+             ELSE destination_name || ' is not a known site; nothing says ' || said || ' is safe there.' END END AS destination_note
+    FROM graded JOIN (VALUES {values(dims.PII_PHRASES.items())}) AS phrases(pii_type, said) USING (pii_type)"""
 ORACLES["exposure_crosstab"] = f"""WITH {SEEDED}, {PLACE} SELECT coalesce(family, 'other') AS family, destination_kind, destination_fit, count(*) AS findings FROM graded GROUP BY ALL"""
 
 #: RE2 has no lookaround: the token is matched with its borders, which the separators allow

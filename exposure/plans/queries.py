@@ -78,7 +78,7 @@ def _told(spark, sf):
 @query
 def risk_overall(spark, sf):
     """K1-K7, K9, K11, I5, I6"""
-    return risk.risk_scores(*_device_tables(spark, sf), derive.now()).drop("headline")
+    return risk.risk_scores(*_device_tables(spark, sf), derive.now())
 
 
 @query
@@ -102,7 +102,7 @@ def risk_drivers(spark, sf):
 @query
 def risk_lever(spark, sf):
     """N7, N8"""
-    return narrative.levers(_told(spark, sf)).drop("sentence", "coverage", "story")
+    return narrative.levers(_told(spark, sf)).drop("sentence", "story")
 
 
 @query
@@ -198,6 +198,7 @@ def identity_scores(spark, sf):
     return df.select(
         "device_id", risk.curve(F.col("i_penalty")).alias("identity"), "i_checked", "i_breached",
         F.transform("first_breached", lambda x: x["label"]).alias("first_breached"),
+        identity.identity_detail(F.col("i_checked"), F.col("i_breached")).alias("sentence"),
     )
 
 
@@ -383,7 +384,7 @@ def _graded(spark, sf):
 def destination_fit(spark, sf):
     """G1-G4"""
     return _graded(spark, sf).select(
-        "doc_id", "pii_type", "start", "destination_kind", "destination_name", "destination_fit"
+        "doc_id", "pii_type", "start", "destination_kind", "destination_name", "destination_fit", "destination_note"
     )
 
 
