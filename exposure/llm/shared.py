@@ -20,8 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
-        base = _local.setdefault(app, "") or _local.update({app: tempfile.mkdtemp(prefix="corpus-")})
-        base = base or _local[app]
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="corpus-")
+        base = _local[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
