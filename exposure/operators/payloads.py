@@ -209,6 +209,21 @@ def _url_hits(target: Column) -> Column:
     ).cast(hits_type())
 
 
+def _worst_link(links: Column) -> Column:
+    """The link whose host looks worst by itself, the first of equals; NULL without links."""
+
+    def looks(link: Column) -> Column:
+        host = hosts.url_host(link)
+        brand = F.when(hosts.brand_suspected(host), hosts.check_brand(host))
+        return (
+            F.when(F.coalesce(hosts.mismatch(brand), F.lit(False)), 90).when(hosts.is_raw_ip(host), 70)
+            .when(hosts.registrable(host).isin(dims.SHORTENERS), 55).otherwise(0)
+        )
+
+    ranked = F.transform(links, lambda u, i: F.struct(looks(u).alias("p"), (-i).alias("place"), u.alias("u")))
+    return F.when(F.size(links) <= 1, first(links)).otherwise(F.array_max(ranked)["u"])
+
+
 def _row(signal: str, detail, weight: str, evidence=None) -> Column:
     detail = detail if isinstance(detail, Column) else F.lit(detail)
     evidence = evidence if isinstance(evidence, Column) else F.lit(evidence)
@@ -236,7 +251,7 @@ def score_payloads(
     """Score, verdict, confidence and signals of each payload."""
     df = parse_payloads(payloads, payload_col)
     kind, upi = F.col("kind"), F.col("upi")
-    df = df.withColumn("_target", F.coalesce("url", first(F.col("embedded_urls"))))
+    df = df.withColumn("_target", F.coalesce("url", _worst_link(F.col("embedded_urls"))))
     if threats is not None and loaded is None:
         loaded = F.lit(True)
     df = score_urls(df, now, registry, threats, loaded, url_col="_target")

@@ -126,6 +126,13 @@ def test_long_payload_fields_and_many_links_are_kept(spark):
     assert len(text.embedded_urls) == 8
 
 
+def test_a_bad_link_after_good_ones_is_judged(spark):
+    texts = ["see https://example.org/a then https://203.0.113.9/login", "see https://example.org/a then https://paypal-login.top/x", "see https://example.org/a"]
+    df = spark.createDataFrame([(t,) for t in texts], "payload string")
+    got = [r.risk_score for r in payloads.score_payloads(df, NOW).collect()]
+    assert got[0] > got[2] and got[1] > got[2]
+
+
 def test_anchor_text_is_read_to_its_end(spark):
     html = f'<a href="https://evil.example.com/">{"please read this first " * 10} www.paypal.com</a>'
     df = evidence.add_link_hits(evidence.add_links(spark.createDataFrame([(html,)], "body string"), "body"))
