@@ -55,8 +55,8 @@ def listed(spans, base):
 @pytest.fixture(scope="module")
 def frame(spark):
     rng = random.Random(9)
-    texts = [noisy(rng) for _ in range(400)] + [None, "", "x" * 200_000, "a@" + "b." * 30_000 + "c", "1" * 100_000, "+1" + " " * 50_000]
-    texts += [" ".join(f"u{i}@mail.example.com" for i in range(4000))]
+    texts = [noisy(rng) for _ in range(250)] + [None, "", "x" * 100_000, "a@" + "b." * 20_000 + "c", "1" * 50_000, "+1" + " " * 50_000]
+    texts += [" ".join(f"u{i}@mail.example.com" for i in range(1500))]
     rows = [(i, t, "k", 1, [1]) for i, t in enumerate(texts)]
     return texts, spark.createDataFrame(rows, "doc_id long, text string, spans string, start int, blob array<int>")
 
