@@ -4,14 +4,15 @@ Five stages, each written as Parquet and read again before the next:
 
 * ``quality``: documents that the classifier rejects go;
 * ``lines``: lines that repeat an earlier one, up to one edit, are cut from the texts;
-* ``near_duplicates``: of documents linked by shingle sets, the one with the smallest id stays;
+* ``near_duplicates``: of documents linked by shingle sets, the one with the smallest id stays,
+  or one of them if none has an id;
 * ``benchmark``: documents that hold a benchmark item go;
 * ``mixing``: the source mix, a row per copy in training order.
 
 A stage reads all that the one before kept, and all but the last return the columns of
 ``documents`` (``n_chars`` follows the text).  NULL and empty texts pass every filter but the
 classifier's, and the mix takes no words of them.  Rows repeated whole count as one document
-where documents are compared.
+where documents are compared; a row with a NULL id is a document of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from exposure.llm import quality
 from exposure.llm.decontamination import find_leaks
-from exposure.llm.jaccard_join import jaccard_components
+from exposure.llm.jaccard_join import spare_rows
 from exposure.llm.line_dedup import without_repeated_lines
 from exposure.llm.mixing import mixed
 from exposure.llm.shared import stored
@@ -39,12 +40,16 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id."""
-    groups = jaccard_components(docs)
-    gone = groups.filter(F.col("doc") != F.col("component")).select(F.col("doc").alias("doc_id")).distinct()
-    unnamed = groups.filter(F.col("doc").isNull() & F.col("component").isNotNull()).isEmpty()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return (kept if unnamed else kept.filter(F.col("doc_id").isNotNull())).select(*docs.columns)
+    """Of each group of linked documents, the one with the smallest id; without ids, one of them."""
+    spare = stored(spare_rows(docs).withColumnsRenamed({"row": "row_", "doc": "doc_"}))
+    rows = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
+    listed = (rows["row_"] == spare["row_"]) & rows["doc_id"].eqNullSafe(spare["doc_"])
+    kept = rows.join(spare, listed, "left_anti").select(*docs.columns)
+    copied = spare.filter("stays").select("row_")
+    if copied.isEmpty():
+        return kept
+    copies = rows.filter("doc_id IS NULL").join(copied, "row_", "left_semi")
+    return kept.unionByName(copies.groupBy("row_").agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*"))
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

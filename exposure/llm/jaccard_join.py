@@ -343,10 +343,8 @@ def _loose_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame, perce
     return dealt.groupBy("name", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(
-    docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc, n_shingles, component)``, one row per input row; the component is its smallest id."""
+def _labelled(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``(row, doc, n, root)``, one row per input row; linked texts share a root, texts without words have none."""
     profile = stored(profiles(docs, id_col, text_col, shingle))
     frequent = frequent_shingles(profile)
     own = profile.filter("n IS NOT NULL")
@@ -362,10 +360,36 @@ def jaccard_components(
     if not loose.isEmpty():
         links = links.union(_verified(loose, sets, percent))
         roots = stored(components(links))
-    labelled = own.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "doc", "n", F.coalesce("root", "set_id").alias("root")
+    return own.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "row", "doc", "n", F.coalesce("root", "set_id").alias("root")
     )
+
+
+def jaccard_components(
+    docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc, n_shingles, component)``, one row per input row; the component is its smallest id."""
+    labelled = _labelled(docs, percent, shingle, id_col, text_col).select("doc", "n", "root")
     least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component"))
     return labelled.join(least, "root", "left").select(
         "doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")
     )
+
+
+def spare_rows(
+    docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(row, doc, stays)``: rows (``row`` = xxhash64 of id and text) of which copies go.
+
+    Of each group of linked rows the first by id, then by ``row``, stays; NULL ids come last.
+    All others are listed with ``stays`` false.  Where a row that stays has a NULL id and is
+    there more than once, it is listed with ``stays`` true: one of its copies stays.
+    """
+    labelled = _labelled(docs, percent, shingle, id_col, text_col).filter("root IS NOT NULL")
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row")
+    best = labelled.groupBy("root").agg(F.min(place).alias("best"))
+    judged = labelled.join(best, "root").select("row", "doc", (place == F.col("best")).alias("stays"))
+    return (
+        judged.filter("NOT stays OR doc IS NULL").groupBy("row", "doc", "stays").agg(F.count("*").alias("n"))
+        .filter("NOT stays OR n > 1").select("row", "doc", "stays")
+    )

@@ -83,3 +83,19 @@ def test_no_rows_and_nulls(spark, steps):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, SF)
             assert out.count() >= 0
+
+
+def unnamed(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicates_without_ids(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(7, words("a")), (None, words("a") + " more"), (None, words("b")), (None, words("c")), (None, words("c")), (None, words("c")),
+            (None, words("d")), (None, words("d") + " more"), (None, None), (None, None), (8, words("e")), (8, words("f")), (9, words("f")), (9, words("g")),
+            (9, words("g"))]
+    for some in (rows, [r for r in rows if r[0] is None]):
+        out = corpus_pipeline.one_of_each_group(spark, unnamed(spark, some), SF)
+        got = sorted(((r.doc_id, (r.text or "").split(" ")[0][:1]) for r in out.collect()), key=str)
+        named = [(7, "a"), (8, "e"), (8, "f"), (9, "g"), (9, "g")] if some is rows else [(None, "a")]
+        assert got == sorted([*named, (None, "b"), (None, "c"), (None, "d"), (None, ""), (None, "")], key=str)
