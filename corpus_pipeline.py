@@ -12,7 +12,7 @@ Five stages, each written as Parquet and read again before the next:
 A stage reads all that the one before kept, and all but the last return the columns of
 ``documents`` (``n_chars`` follows the text).  NULL and empty texts pass every filter but the
 classifier's, and the mix takes no words of them.  Rows repeated whole count as one document
-where documents are compared; a row with a NULL id is a document of its own.
+where documents are compared; a row with a NULL id is a document of its own and is judged like others.
 """
 
 from __future__ import annotations
@@ -54,8 +54,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    leaks = stored(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc").alias("doc_id")).distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    # a hash of the row stands for its id, which may be NULL
+    rows = docs.withColumn("row_", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    leaks = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_")
+    leaked = stored(leaks.select(F.col("doc").alias("row_")).distinct())
+    return rows.join(leaked, "row_", "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

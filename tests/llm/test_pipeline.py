@@ -99,3 +99,11 @@ def test_near_duplicates_without_ids(spark):
         got = sorted(((r.doc_id, (r.text or "").split(" ")[0][:1]) for r in out.collect()), key=str)
         named = [(7, "a"), (8, "e"), (8, "f"), (9, "g"), (9, "g")] if some is rows else [(None, "a")]
         assert got == sorted([*named, (None, "b"), (None, "c"), (None, "d"), (None, ""), (None, "")], key=str)
+
+
+def test_benchmark_without_ids(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=lambda t: len((t or "").split()))
+    rows = [(None, item), (None, "before " + item + " after"), (None, "a clean text"), (None, None), (1, item), (1, "another clean text"), (2, "clean")]
+    out = corpus_pipeline.free_of_benchmark(spark, unnamed(spark, rows), SF)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
+        [(None, "a clean text"), (None, None), (1, "another clean text"), (2, "clean")], key=str)
