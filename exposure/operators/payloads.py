@@ -209,19 +209,29 @@ def _url_hits(target: Column) -> Column:
     ).cast(hits_type())
 
 
-def _worst_link(links: Column) -> Column:
-    """The link whose host looks worst by itself, the first of equals; NULL without links."""
+def _linked_risk(known: Column, trust: Column, hits: Column) -> Column:
+    local = combine(hits, ev.LINK_BUMP)
+    return F.when(known, F.greatest(F.lit(100) - trust, local)).otherwise(local)
 
-    def looks(link: Column) -> Column:
-        host = hosts.url_host(link)
-        brand = F.when(hosts.brand_suspected(host), hosts.check_brand(host))
-        return (
-            F.when(F.coalesce(hosts.mismatch(brand), F.lit(False)), 90).when(hosts.is_raw_ip(host), 70)
-            .when(hosts.registrable(host).isin(dims.SHORTENERS), 55).otherwise(0)
-        )
 
-    ranked = F.transform(links, lambda u, i: F.struct(looks(u).alias("p"), (-i).alias("place"), u.alias("u")))
-    return F.when(F.size(links) <= 1, first(links)).otherwise(F.array_max(ranked)["u"])
+def _worst_links(parsed: DataFrame, registry: DataFrame | None, threats: DataFrame | None, loaded: Column | None) -> DataFrame:
+    """``(_key, _worst)``: of payloads with several links, the link of most risk once all are looked up.
+
+    Equal risks go to the host that looks worse by itself, then to the first link.
+    """
+    links = parsed.filter("url IS NULL AND size(embedded_urls) > 1").select(
+        "_key", "_now", "_loaded", F.posexplode("embedded_urls").alias("_place", "_link")
+    )
+    loaded = None if loaded is None else F.col("_loaded")
+    scored = score_urls(links, F.col("_now"), registry, threats, loaded, url_col="_link")
+    scored = settle(scored.withColumn("_hits", _url_hits(F.col("_link"))), ["_hits"])
+    risk = _linked_risk(F.col("verdict") != "unknown", F.col("trust_score"), F.col("_hits"))
+    looks = (
+        F.when(F.coalesce(hosts.mismatch(F.col("brand")), F.lit(False)), 90).when(hosts.is_raw_ip(F.col("host")), 70)
+        .when(F.col("domain").isin(dims.SHORTENERS), 55).otherwise(0)
+    )
+    ranked = F.struct(risk.alias("risk"), looks.alias("looks"), (-F.col("_place")).alias("place"), F.col("_link").alias("link"))
+    return scored.groupBy("_key").agg(F.max(ranked).alias("top")).select("_key", F.col("top.link").alias("_worst"))
 
 
 def _row(signal: str, detail, weight: str, evidence=None) -> Column:
@@ -251,9 +261,12 @@ def score_payloads(
     """Score, verdict, confidence and signals of each payload."""
     df = parse_payloads(payloads, payload_col)
     kind, upi = F.col("kind"), F.col("upi")
-    df = df.withColumn("_target", F.coalesce("url", _worst_link(F.col("embedded_urls"))))
     if threats is not None and loaded is None:
         loaded = F.lit(True)
+    df = df.withColumns({"_now": now, "_loaded": F.lit(None).cast("boolean") if loaded is None else loaded})
+    df = df.withColumn("_key", F.md5(F.concat_ws("|", F.col("_now").cast("string"), F.col("_loaded").cast("string"), payload_col).cast("binary")))
+    df = df.join(_worst_links(df, registry, threats, loaded), "_key", "left").drop("_key", "_now", "_loaded")
+    df = df.withColumn("_target", F.coalesce("url", "_worst", first(F.col("embedded_urls")))).drop("_worst")
     df = score_urls(df, now, registry, threats, loaded, url_col="_target")
     site = {c: f"site_{c}" for c in ("verdict", "trust_score", "confidence", "reasons")}
     df = df.withColumnsRenamed(site).drop("summary", "brand", "lures", "url_key", "threats")
@@ -267,12 +280,10 @@ def score_payloads(
     has_target = F.col("_target").isNotNull()
     df = df.withColumn("_url_hits", F.when(has_target, _url_hits(F.col("_target"))).otherwise(ev.no_hits()))
     df = settle(df, ["_upi_hits", "_url_hits"])
-    local = combine(F.col("_url_hits"), ev.LINK_BUMP)
     upi_score = combine(F.col("_upi_hits"), 6)
-    site_risk = F.lit(100) - F.col("site_trust_score")
     site_known = F.coalesce(F.col("site_verdict") != "unknown", F.lit(False)) & has_target
     danger, is_url = F.col("dangerous_scheme"), kind == "url"
-    linked = F.when(site_known, F.greatest(site_risk, local)).otherwise(local)
+    linked = _linked_risk(site_known, F.col("site_trust_score"), F.col("_url_hits"))
     score = (
         F.when(danger, 90).when(kind == "upi", upi_score).when(is_url, linked)
         .when(kind == "wifi", F.when(F.col("wifi_open"), 45).otherwise(0))

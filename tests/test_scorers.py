@@ -216,3 +216,18 @@ def test_bm25_equals_plain_formula(spark):
         for rank, (s, _, k) in enumerate(sorted(scored)[:3], 1):
             want[(q, rank)] = (k, round(-s, 6))
     assert got == want
+
+
+def test_every_link_of_a_payload_is_looked_up(spark):
+    texts = ["see https://203.0.113.9/a and https://plain.example/b", "see https://fine.example/a https://plain.example/b https://fine.example/c",
+             "see https://fine.example/a and https://fresh.example/b", "see https://fine.example/a and https://fine.example/b"]
+    df = spark.createDataFrame([(i, t, i != 1) for i, t in enumerate(texts + texts[1:2])], "id int, payload string, answered boolean")
+    threats = spark.createDataFrame([("https://plain.example/b", "MALWARE")], "url string, threat string")
+    registry = spark.createDataFrame([("fresh.example", 2), ("fine.example", 4000), ("plain.example", 4000)], "domain string, days int")
+    registry = registry.select("domain", (NOW - F.make_dt_interval("days")).alias("registered_at"))
+    scored = payloads.score_payloads(df, NOW, registry=registry, threats=threats).collect()
+    got = {r.id: (r.domain, r.risk_score) for r in scored}
+    assert len(scored) == 5 and got[0] == got[1] == got[4] == ("plain.example", 98)
+    assert got[2][0] == "fresh.example" and got[2][1] > got[3][1] and got[3][0] == "fine.example"
+    some = payloads.score_payloads(df, NOW, registry=registry, threats=threats, loaded=F.col("answered")).collect()
+    assert {r.id: r.domain for r in some}[4] == "plain.example" and {r.id: r.risk_score for r in some}[1] < 98
