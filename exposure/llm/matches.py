@@ -11,11 +11,12 @@ MATCH = "array<struct<start:long,end:long,value:string,before:string,after:strin
 NEAR = 40
 
 
-def matches(text: Column, pattern: str, guard: Column | None = None, near: int = NEAR) -> Column:
+def matches(text: Column, pattern: str, guard: Column | None = None, near: int = NEAR, least: int | None = None) -> Column:
     """Leftmost non-overlapping matches, offsets in code points, end exclusive.
 
     ``before`` and ``after`` are up to ``near`` characters on either side, as far as the
-    neighbouring matches.  ``guard`` is a cheap test without which no match is possible.
+    neighbouring matches.  With ``least``, the fewest characters of a match, they are read
+    across neighbouring matches.  ``guard`` is a cheap test without which no match is possible.
     """
     found = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")
@@ -36,7 +37,29 @@ def matches(text: Column, pattern: str, guard: Column | None = None, near: int =
 
         return running_starts(widths, lambda before: F.transform(p["m"], lambda m, i: one(before, m, i)))
 
-    out = bind(found, placed).cast(MATCH)
+    def across(p: Column) -> Column:
+        """The same with ``before`` and ``after`` joined from so many gaps and matches as ``near`` may span."""
+        n_parts = 2 * -(-near // least) + 1
+        gaps_first = F.flatten(F.zip_with(p["g"], p["m"], lambda g, m: F.array(g, F.coalesce(m, F.lit("")))))
+        ends = F.struct(
+            F.transform(gaps_first, lambda x: F.right(x, F.lit(near))).alias("tails"),
+            F.transform(gaps_first, lambda x: F.left(x, F.lit(near))).alias("heads"),
+        )
+
+        def wide(e: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                n = F.least(2 * i + 1, F.lit(n_parts))
+                return F.struct(
+                    m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
+                    F.right(F.array_join(F.slice(e["tails"], 2 * i + 2 - n, n), ""), F.lit(near)).alias("before"),
+                    F.left(F.array_join(F.slice(e["heads"], 2 * i + 3, F.lit(n_parts)), ""), F.lit(near)).alias("after"),
+                )
+
+            return F.transform(placed(p), one)
+
+        return bind(ends, wide)
+
+    out = bind(found, placed if least is None else across).cast(MATCH)
     return out if guard is None else F.when(guard, out).otherwise(F.array().cast(MATCH))
 
 

@@ -109,3 +109,15 @@ def test_no_rows_and_repeated_rows(spark):
     assert [len(r.spans) for r in spans.collect()] == [1, 1]
     none = df.filter(F.lit(False))
     assert pii_scan.find_pii(none).count() == 0 and secret_scan.find_secrets(none)[0].count() == 0
+
+
+def test_accounts_before_words_and_context_across_matches(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"{de} Please", "DE89370400440532013000 BIC COBADEFFXXX", f"{gb} {de} {gb}", f"é{de}.", f"{de}x", "ZZ22 3704 0044 0532 0130 00 NOW",
+             "SSN: 123-45-6789, 234-56-7890", "123-45-6789, 234-56-7890 is the ssn", "ssn" + " " * 37 + "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: [s.value for s in r.spans if s.kind in ("iban", "id_number")] for r in pii_scan.find_pii(df).collect()}
+    two = ["123-45-6789", "234-56-7890"]
+    assert [got[i] for i in (0, 1, 2, 4)] == [[de], ["DE89370400440532013000"], [gb, de, gb], []]
+    assert got[3] == [de] and got[5] == ["ZZ22 3704 0044 0532 0130 00"] and got[6] == got[7] == two and got[8] == ["123-45-6789"]
+    assert all(t[s.start:s.end] == s.value for r in pii_scan.find_pii(df).collect() for t in [texts[r.doc]] for s in r.spans)
