@@ -139,8 +139,8 @@ ORACLES = {
                    ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
                   WHERE 100 * m >= 75 * (x.n + y.n - m)),
-        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-        reach AS (SELECT a AS x, a AS y FROM both UNION SELECT x, b FROM reach JOIN both ON y = a)
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS x, a AS y FROM ways UNION SELECT x, b FROM reach JOIN ways ON y = a)
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
         FROM docs LEFT JOIN sizes USING (doc_id)
         LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)
