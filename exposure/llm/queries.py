@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import pii_scan, quality, secret_scan
+from exposure.llm import byte_bpe, pii_scan, quality, secret_scan, token_alignment
 from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
 from exposure.llm.line_dedup import without_repeated_lines
@@ -119,6 +119,25 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Where tokens of a byte-level and a sentencepiece tokenizer end together, with corpus-wide counts of linked ids."""
+    told = token_alignment.linked(_table(spark, sf, "documents"), *token_alignment.default_paths())
+    return told.select(F.col("doc").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by a byte-level vocabulary, and the bytes they decode to."""
+    path, pattern = byte_bpe.default_ranks()
+    told = byte_bpe.decode(byte_bpe.encode(_table(spark, sf, "documents"), path, pattern), path)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return told.select(
+        F.col("doc").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The five stages of ``corpus_pipeline`` over all documents."""
