@@ -39,23 +39,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 MAX_BYTES = 64_000_000
-#: pieces and pairs remembered by one Python worker
-REMEMBERED = 400_000
+#: pieces and pairs that one Python worker remembers before older ones go
+PIECES, PAIRS = 100_000, 200_000
 #: longer pieces are not remembered, longer texts are cut lazily
 SHORT_PIECE, LONG_TEXT = 64, 1_000_000
 #: ids per batch handed back to Spark
 BATCH_IDS = 1_000_000
 
 
+def read_ranks(raw: bytes) -> dict[bytes, int]:
+    rank = {}
+    for line in raw.splitlines():
+        if line.strip():
+            token, number = line.split()
+            rank[base64.b64decode(token)] = int(number)
+    return rank
+
+
 class Ranks:
     """A vocabulary of byte strings, where the rank of a token is its id."""
 
     def __init__(self, raw: bytes) -> None:
-        self.rank: dict[bytes, int] = {}
-        for line in raw.splitlines():
-            if line.strip():
-                token, rank = line.split()
-                self.rank[base64.b64decode(token)] = int(rank)
+        self.rank = read_ranks(raw)
         self.none = max(self.rank.values(), default=0) + 1
         self.token = {i: t for t, i in self.rank.items()}
         self.size = {i: len(t) for t, i in self.rank.items()}
@@ -64,7 +69,7 @@ class Ranks:
         for token, i in self.rank.items():
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def _prefix(self, token: bytes) -> int:
         """The longest token that ``token`` starts with, itself excluded; -1 if there is none."""
@@ -87,12 +92,13 @@ class Ranks:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging leaves ``right`` as it is after ``left`` (-1: at the start)."""
-        known = self._fits.get((left, right))
+        key = left << 32 | right
+        known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             pair = [right] if left < 0 else [left, right]
-            known = self._fits[left, right] = self.merged(b"".join(self.token[i] for i in pair)) == pair
+            known = self._fits[key] = self.merged(b"".join(self.token[i] for i in pair)) == pair
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -126,7 +132,8 @@ class Encoder:
 
     def __init__(self, ranks: Ranks, pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def _cut(self, text: str) -> Iterable[str]:
         if len(text) <= LONG_TEXT:
@@ -138,10 +145,11 @@ class Encoder:
         for piece in self._cut(text or ""):
             held = known.get(piece)
             if held is None:
-                held = array("i", self.ranks.encode_piece(piece.encode()))
+                held = self.older.get(piece) or array("i", self.ranks.encode_piece(piece.encode()))
                 if len(piece) <= SHORT_PIECE:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= PIECES:
+                        self.older, self.pieces = known, {}
+                        known = self.pieces
                     known[piece] = held
             ids += held
         return ids
@@ -206,7 +214,7 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", data_col: str
     kept = rows.select(*[c for c in rows.columns if c != data_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = worker_copy(("decode", key), lambda: Ranks(raw.value)).token
+        token = worker_copy(("decode", key), lambda: {i: t for t, i in read_ranks(raw.value).items()})
         for batch in batches:
             texts = [None if x is None else b"".join([token[i] for i in x]) for x in batch[ids_col].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, data_col])

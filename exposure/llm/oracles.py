@@ -67,6 +67,9 @@ def _terms_sql(terms) -> str:
 
 _WEIGHT = "CASE t " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in SOFT.items()) + " END"
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "op2_url_filter": rf"""
         WITH parts AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h,
@@ -176,4 +179,17 @@ ORACLES = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM docs LEFT JOIN told USING (r)
     """,
+    "op11_ranked_search": rf"""
+        WITH words AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+        sums AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+                    FROM tf, sums GROUP BY term, docs),
+        asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+        scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l))))::BIGINT AS score
+                   FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), sums GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposure.llm import byte_bpe, pii_scan, quality, secret_scan, token_alignment
+from exposure.llm import byte_bpe, pii_scan, quality, ranked_search, secret_scan, token_alignment
 from exposure.llm.decontamination import find_leaks
 from exposure.llm.jaccard_join import jaccard_components
 from exposure.llm.line_dedup import without_repeated_lines
@@ -119,6 +119,13 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item by integer BM25."""
+    found = ranked_search.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Where tokens of a byte-level and a sentencepiece tokenizer end together, with corpus-wide counts of linked ids."""

@@ -36,6 +36,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -51,9 +52,9 @@ from tokenizers import Tokenizer
 from exposure.llm.byte_bpe import shared_bytes, worker_copy
 from exposure.llm.shared import stored
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: words remembered by one Python worker before older ones go, and the length up to which they are
-REMEMBERED, SHORT_WORD = 200_000, 64
+REMEMBERED, SHORT_WORD = 100_000, 64
 #: bytes of words that are encoded at once
 ENCODED_BYTES = 100_000
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -151,7 +152,7 @@ class Tokenizers:
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         a_stop = np.searchsorted(np.cumsum(self.a_size[a_ids]), limits) + 1
         b_stop = np.searchsorted(np.cumsum(self.b_size[b_ids]), limits) + 1
-        a_spans = _byte_spans(np.array(of_a.offsets, np.int64).reshape(-1, 2), " " + text)
+        a_spans = _byte_spans(of_a.offsets, " " + text)
         return self._matched(limits, a_ids, a_spans, np.diff(a_stop, prepend=0), b_ids, spans, np.diff(b_stop, prepend=0))
 
     def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, Aligned | None]]:
@@ -159,7 +160,7 @@ class Tokenizers:
         for word, x, y in zip(words, of_a, self.b.encode(words, return_type="serialized_proto", num_threads=1)):
             a, (b, spans) = x.ids, _pieces(y)
             if self._spelt(word, a, b):
-                a_spans = _byte_spans(np.array(x.offsets, np.int64).reshape(-1, 2), " " + word)
+                a_spans = _byte_spans(x.offsets, " " + word)
                 limit = np.array([1 + len(word.encode())])
                 told = self._matched(limit, np.array(a, np.int64), a_spans, np.array([len(a)]), np.array(b, np.int64), spans, np.array([len(b)]))
                 yield word, next(told)
@@ -194,13 +195,14 @@ class Tokenizers:
 def _pieces(proto: bytes) -> tuple[list[int], np.ndarray]:
     """Ids, and the byte spans in a blank and the text, of a sentencepiece result."""
     pieces = sentencepiece_pb2.SentencePieceText.FromString(proto).pieces
-    spans = np.array([x for p in pieces for x in (p.begin, p.end)], np.int64).reshape(-1, 2) + 1
+    spans = np.array([[p.begin for p in pieces], [p.end for p in pieces]], np.int64).T + 1
     spans[:1, 0] = 0  # the added blank belongs to the first token
     return [p.id for p in pieces], spans
 
 
-def _byte_spans(spans: np.ndarray, text: str) -> np.ndarray:
+def _byte_spans(offsets: list[tuple[int, int]], text: str) -> np.ndarray:
     """Character offsets as byte spans."""
+    spans = np.fromiter(chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
     if text.isascii():
         return spans
     units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
