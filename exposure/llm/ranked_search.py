@@ -49,7 +49,7 @@ from exposure.llm.shared import stored
 SLICE_BYTES = 4_000_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 32_000_000
-#: documents scored at once, or those of one mask
+#: documents scored first, or those of one mask; every step takes twice as many as the one before
 STEP = 32
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -212,12 +212,13 @@ class Slice:
         size = np.bincount(which, minlength=len(bound))
         stop = np.cumsum(size[order])
         first = np.cumsum(size) - size
-        at = 0
+        at, step = 0, STEP
         while at < len(order):
             if len(known) == k and bound[order[at]] < -known[-1][0]:
                 break
             done = stop[at - 1] if at else 0
-            until = max(at + 1, int(np.searchsorted(stop, done + STEP, "right")))
+            until = max(at + 1, int(np.searchsorted(stop, done + step, "right")))
+            step *= 2
             taken = order[at:until]
             chosen = by_mask[_ranges(first[taken], size[taken])]
             scored = self.scores(chosen, terms, weights).tolist()
