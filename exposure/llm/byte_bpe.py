@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -207,6 +208,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(run, StructType([rows.schema["doc"]]).add("ids", ArrayType(IntegerType())))
 
 
+def token_table(raw: bytes) -> pa.Array:
+    """The bytes of each id."""
+    token = {i: t for t, i in read_ranks(raw).items()}
+    return pa.array([token.get(i) for i in range(max(token, default=-1) + 1)], pa.binary())
+
+
+def spelt_out(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """Tokens of all lists, taken at once, lie one after the other; lists end where their last token does."""
+    ends = lists.offsets.to_numpy()
+    taken = tokens.take(lists.values.slice(ends[0], ends[-1] - ends[0]))
+    if taken.null_count:
+        raise ValueError("an id outside the vocabulary")
+    _, places, data = taken.buffers()
+    places = np.frombuffer(places, np.int32)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    joined = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(places[ends - ends[0]].tobytes()), data or pa.py_buffer(b"")])
+    return pc.if_else(lists.is_valid(), joined, None)
+
+
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", data_col: str = "data") -> DataFrame:
     """``rows`` with the bytes that their ids stand for; NULL ids give NULL."""
     raw, key = shared_bytes(rows.sparkSession, ranks_path)
@@ -214,10 +233,10 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", data_col: str
     kept = rows.select(*[c for c in rows.columns if c != data_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = worker_copy(("decode", key), lambda: {i: t for t, i in read_ranks(raw.value).items()})
+        tokens = worker_copy(("decode", key), lambda: token_table(raw.value))
         for batch in batches:
-            texts = [None if x is None else b"".join([token[i] for i in x]) for x in batch[ids_col].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, data_col])
+            texts = spelt_out(batch[ids_col], tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, data_col])
 
     return kept.mapInArrow(run, schema)
 
