@@ -35,8 +35,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -56,7 +57,7 @@ CHUNK_BYTES = 4_000_000
 #: words remembered by one Python worker before older ones go, and the length up to which they are
 REMEMBERED, SHORT_WORD = 100_000, 64
 #: bytes of words that are encoded at once
-ENCODED_BYTES = 100_000
+ENCODED_BYTES = 20_000
 _LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -117,7 +118,7 @@ class Tokenizers:
 
     def align(self, words: list[str]) -> list[Aligned | None]:
         """Per word of a list without repeats; None if one of the tokenizers does not spell it."""
-        held = {w: self.known[w] if w in self.known else self.older[w] for w in words if w in self.known or w in self.older}
+        held = {w: x for w in words if (x := self.known.get(w) or self.older.get(w))}
         fresh = [w for w in words if w not in held]
         start = n = 0
         for i, word in enumerate(fresh):
@@ -132,7 +133,7 @@ class Tokenizers:
 
     def _aligned(self, words: list[str]) -> Iterator[tuple[str, Aligned | None]]:
         """Words that begin and end with a character other than white space are encoded as one text, with blanks between."""
-        tight = [w for w in words if self.splits and w and not w[0].isspace() and not w[-1].isspace()]
+        tight = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if self.splits else []
         told = self._run(tight) if tight else None
         if told is None:
             yield from self._one_by_one(words)
@@ -250,17 +251,15 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
 
 
 def _chunk(both: Tokenizers, chunk: int, docs: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
-    vocabulary: dict[str, int] = {}
-    bodies = []
-    for text in texts:
-        held = [vocabulary.setdefault(w, len(vocabulary)) for w in both.words(text)] if text else []
-        bodies.append(np.array(held, np.int64))
+    vocabulary: dict[str, int] = defaultdict(count().__next__)
+    bodies = [np.fromiter(map(vocabulary.__getitem__, both.words(text) if text else ()), np.int64) for text in texts]
     words = both.align(list(vocabulary))
     spelt = np.array([w is not None for w in words], bool)
     bodies = [x if spelt[x].all() else x[:0] for x in bodies]
     sums = np.array([(w.n_a, w.n_b, len(w.links)) if w else (0, 0, 0) for w in words], np.int64).reshape(-1, 3)
     told = [sums[x].sum(axis=0) for x in bodies]
-    groups = [";".join([words[i].groups for i in x]) for x in bodies]
+    of_word = [w.groups if w else "" for w in words]
+    groups = [";".join(map(of_word.__getitem__, x.tolist())) for x in bodies]
     # links of words as places among the distinct ones of all words, then of documents
     none = np.zeros(0, np.int64)
     pairs, place = np.unique(np.concatenate([none, *[w.links for w in words if w]]), return_inverse=True)
