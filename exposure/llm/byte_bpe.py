@@ -14,6 +14,9 @@ a token is that token.  Any other piece is encoded without running its merges:
    there, so a place left once without success is never entered again: each place is tried
    once, and the time is linear in the piece.
 
+With the public pattern a blank between two characters other than white space always starts a piece, so
+texts are cut there first, and a word that comes again is looked up whole.
+
 Ids are 32-bit.  The vocabulary (under a megabyte; at most ``MAX_BYTES``, checked) is read by the driver
 and broadcast.  A task holds one Arrow batch and some eight bytes per byte of its longest
 piece; remembered pieces and pairs are bounded and only save time.
@@ -27,8 +30,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -40,10 +44,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 MAX_BYTES = 64_000_000
-#: pieces and pairs that one Python worker remembers before older ones go
-PIECES, PAIRS = 100_000, 200_000
-#: longer pieces are not remembered, longer texts are cut lazily
-SHORT_PIECE, LONG_TEXT = 64, 1_000_000
+#: words, pieces and pairs that one Python worker remembers before older ones go
+WORDS, PIECES, PAIRS = 250_000, 150_000, 300_000
+#: longer pieces and words are not remembered
+SHORT_PIECE = 64
+#: fixed value: the pattern whose pieces start wherever a blank stands between two characters other than white space
+BLANK_STARTS_PIECE = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: ids per batch handed back to Spark
 BATCH_IDS = 1_000_000
 
@@ -106,7 +113,7 @@ class Ranks:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        size, shorter = self.size, self.shorter
+        size, shorter, known = self.size, self.shorter, self._fits.get
         option = array("i", [-1]) * len(piece)
         for end, i in self.automaton.iter(piece.decode("latin-1")):  # by end, so the longest comes last
             option[end + 1 - size[i]] = i
@@ -114,7 +121,11 @@ class Ranks:
         dead, at = bytearray(len(piece) + 1), 0
         while at < len(piece):
             before, i = (path[-1] if path else -1), option[at]
-            while i >= 0 and (dead[at + size[i]] or not self.fits(before, i)):
+            while i >= 0:
+                if not dead[at + size[i]]:
+                    fits = known(before << 32 | i)
+                    if fits or fits is None and self.fits(before, i):
+                        break
                 i = shorter[i]
             if i >= 0:
                 option[at] = shorter[i]
@@ -129,33 +140,61 @@ class Ranks:
 
 
 class Encoder:
-    """Texts to ids; pieces that come again are looked up."""
+    """Texts to ids; words and pieces that come again are looked up."""
 
     def __init__(self, ranks: Ranks, pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.pieces: dict[str, array] = {}
-        self.older: dict[str, array] = {}
-
-    def _cut(self, text: str) -> Iterable[str]:
-        if len(text) <= LONG_TEXT:
-            return self.pattern.findall(text)
-        return (m.group() for m in self.pattern.finditer(text))
+        self.ranks, self.pattern, self.splits = ranks, regex.compile(pattern), pattern in BLANK_STARTS_PIECE
+        self.pieces, self.words = Remembered(PIECES), Remembered(WORDS)
+
+    def _piece(self, piece: str) -> array:
+        held = self.pieces.get(piece)
+        if held is None:
+            held = array("i", self.ranks.encode_piece(piece.encode()))
+            self.pieces.put(piece, held)
+        return held
+
+    def _pieces(self, text: str) -> array:
+        ids = array("i")
+        for m in self.pattern.finditer(text):
+            ids += self._piece(m.group())
+        return ids
 
     def __call__(self, text: str | None) -> array:
-        ids, known = array("i"), self.pieces
-        for piece in self._cut(text or ""):
-            held = known.get(piece)
+        if not text or not self.splits:
+            return self._pieces(text or "")
+        first, *words = LONE_BLANK.split(text)
+        ids, known = self._pieces(first), self.words.get
+        for word in words:
+            held = known(word)
             if held is None:
-                held = self.older.get(piece) or array("i", self.ranks.encode_piece(piece.encode()))
-                if len(piece) <= SHORT_PIECE:
-                    if len(known) >= PIECES:
-                        self.older, self.pieces = known, {}
-                        known = self.pieces
-                    known[piece] = held
+                held = self._pieces(" " + word)
+                self.words.put(word, held)
+                known = self.words.get
             ids += held
         return ids
 
 
+class Remembered:
+    """Ids of short strings; the older half goes when there are too many."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+        self.get = self.young.get
+
+    def put(self, text: str, ids: array) -> None:
+        if len(text) <= SHORT_PIECE:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+                self.get = self._either
+            self.young[text] = ids
+
+    def _either(self, text: str) -> array | None:
+        held = self.young.get(text)
+        if held is None and (held := self.old.get(text)) is not None:
+            self.young[text] = held
+        return held
+
+
 _workers: dict[object, object] = {}
 
 
