@@ -744,6 +744,25 @@ def _drain(spark, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def _drain_timed(spark, df: DataFrame, key: str) -> DataFrame:
+    """As ``_drain``, for operators with timers, and without the row that ended the input."""
+    name, provider = streams.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        return _drain(spark, df).filter(F.col(key) != "")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _ended(spark, stream: DataFrame, key: str, time: str) -> DataFrame:
+    """Keys and times of a stream that ends: a last row of no key, far ahead, lets the watermark pass all others."""
+    path = scratch(spark)
+    last = spark.range(1).select(F.lit("").alias(key), F.lit("2200-01-01").cast("timestamp").alias(time))
+    last.write.parquet(path)
+    return stream.select(key, time).unionByName(spark.readStream.schema(last.schema).parquet(path))
+
+
 def _event_stream(spark, sf):
     return _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -781,7 +800,7 @@ def stream_fresh_alerts(spark, sf):
     checks = _event_stream(spark, sf).select(
         F.concat(F.lit("k"), (F.col("event_id") % 97).cast("string")).alias("key"), "ts"
     )
-    return _drain(spark, streams.fresh_keys(checks, "key"))
+    return _drain_timed(spark, streams.fresh_keys(_ended(spark, checks, "key", "ts"), "key"), "key")
 
 
 @query
@@ -791,7 +810,8 @@ def stream_thinned(spark, sf):
         F.concat(F.lit("dev-"), (F.col("user_id") % 10).cast("string")).alias("device_id"),
         F.col("ts").alias("captured_at"),
     )
-    return _drain(spark, streams.thin_snapshots(snaps, minutes=60, late="10 minutes"))
+    ended = _ended(spark, snaps, "device_id", "captured_at")
+    return _drain_timed(spark, streams.thin_snapshots(ended, minutes=60, late="10 minutes"), "device_id")
 
 
 @query

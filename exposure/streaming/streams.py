@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from exposure import dims
 from exposure.functions.basics import pick, py_strip
@@ -16,6 +15,12 @@ from exposure.operators import conversations, pii
 from exposure.operators.risk import curve
 from exposure.sources.tables import findings_table
 
+#: the state store that timers need, as a session setting
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 
 def debounce(typed: DataFrame, gap: str = "250 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last state of a field after each quiet gap, ready to be scanned."""
@@ -46,34 +51,68 @@ def settled_conversations(
     return conversations.score_conversations(assembled)
 
 
-def _spaced(rows: DataFrame, key: str, time: str, gap_us: int, late: str) -> DataFrame:
-    """``(key, time)`` of rows at least the gap after the last one given out for their key.
+class Spacing(StatefulProcessor):
+    """Times (``us``, in microseconds) at least a gap after the last one given out for their key.
 
-    One time per key is the whole state.  Rows of a micro-batch are put in order; a row that
-    comes late, at most ``late`` behind, is judged against the last one given out before it
-    only if that is still the last one, and is passed over otherwise.
+    A time waits in the state until the watermark has passed it, so rows that come late, but
+    within the bound, are judged in their place, and no result depends on how rows fall into
+    micro-batches.  One timer per key and batch looks at all that has been passed.  What waits is what
+    the watermark still allows to be out of order.  The last time given out is forgotten a gap
+    after it, when nothing can fall into its gap any more: a silent key leaves no state.
     """
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([b[time].to_numpy("datetime64[us]").astype(np.int64) for b in batches]))
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long")
+        self.last = handle.getValueState("last", "us long")
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        fresh = sorted({row["us"] for row in rows if row["us"] is not None and row["us"] >= passed})
+        if fresh:
+            self.waiting.appendList([(us,) for us in fresh])
+            self._wake(fresh[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        times = sorted({us for (us,) in self.waiting.get()}) if self.waiting.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        due = bisect_right(times, passed)
         given, at = [], 0
-        while at < len(times):
-            if last is not None:  # jump to the first row that is far enough
-                at = int(np.searchsorted(times, last + gap_us))
-                if at == len(times):
-                    break
-            last = int(times[at])
-            given.append(last)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [name[0]] * len(given), time: pd.Series(np.array(given, "datetime64[us]"))})
+        while (at := at if last is None else bisect_left(times, last + self.gap_us, 0, due)) < due:
+            last = times[at]
+            given.append(Row(key=key[0], us=last))
+        if due == len(times):
+            self.waiting.clear()
+        elif due:
+            self.waiting.put([(us,) for us in times[due:]])
+        if due < len(times):
+            self._wake(times[due])
+        if given:
+            self.last.update((last,))
+            self._wake(last + self.gap_us)
+        elif last is not None and passed >= last + self.gap_us:
+            self.last.clear()
+        return iter(given)
 
-    return (
-        rows.withWatermark(time, late).select(key, time).groupBy(key).applyInPandasWithState(
-            step, f"{key} string, {time} timestamp", "last long", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+
+def _spaced(rows: DataFrame, key: str, time: str, gap_us: int, late: str) -> DataFrame:
+    """``(key, time)`` of rows at least the gap after the last one given out for their key.
+
+    A result comes when the watermark has passed its time; a later row is too late.  NULL times
+    are passed over.  The session needs the state store ``STATE_STORE``.
+    """
+    named = rows.withWatermark(time, late).select(
+        F.col(key).cast("string").alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("us"))
+    told = named.groupBy("key").transformWithState(Spacing(gap_us), "key string, us long", "Append", "EventTime")
+    return told.select(F.col("key").alias(key), F.timestamp_micros("us").alias(time))
 
 
 def fresh_keys(checks: DataFrame, key: str, reuse_hours: float = 6, late: str = "10 minutes") -> DataFrame:
