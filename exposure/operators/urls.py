@@ -17,6 +17,7 @@ W_LIST, W_AGE, W_BRAND = 0.45, 0.25, 0.30
 MIN_WEIGHT = 0.31
 LAG_DISCOUNT = 0.5
 IMPERSONATION_CAP = 25
+REUSE_HOURS = 6
 
 REASON = "struct<signal:string,detail:string,weight:string>"
 
@@ -238,12 +239,37 @@ def score_distinct_urls(urls: DataFrame, now: Column, url_col: str = "url", **ta
     the row side is split by the adaptive skew join.
     """
     keyed = parse_urls(urls, url_col)
+    return keyed.join(_key_verdicts(keyed, now, url_col, tables), "url_key", "left")
+
+
+def _key_verdicts(keyed: DataFrame, now: Column, url_col: str, tables: dict) -> DataFrame:
     one = keyed.groupBy("url_key").agg(F.min(url_col).alias("_url"))
-    scored = score_urls(one, now, url_col="_url", **tables).select(
+    return score_urls(one, now, url_col="_url", **tables).select(
         "url_key", "trust_score", "verdict", "reasons", "confidence", "summary",
         "brand_mismatch", "domain_age_days", "safe_browsing_hit",
     )
-    return keyed.join(scored, "url_key", "left")
+
+
+def missing_verdicts(
+    urls: DataFrame, live: DataFrame, now: Column, hours: float = REUSE_HOURS, url_col: str = "url", **tables
+) -> DataFrame:
+    """Verdicts of the reuse keys that ``live`` lacks, each scored once, as rows for the ledger.
+
+    The keys are taken away before anything is looked up, so what is reused costs a join on
+    narrow rows.  A URL that cannot be read has the key that ``parse_urls`` gives it; a NULL one has none
+    and gets no verdict.
+    """
+    new = parse_urls(urls, url_col).join(live.select("url_key"), "url_key", "left_anti")
+    until = now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600).cast("decimal(18,6)"))
+    scored = _key_verdicts(new.filter("url_key IS NOT NULL"), now, url_col, tables)
+    return scored.withColumns({
+        "trust_score": F.col("trust_score").cast("int"), "checked_at": now, "valid_until": until,
+    })
+
+
+def with_verdicts(urls: DataFrame, live: DataFrame, now: Column, url_col: str = "url") -> DataFrame:
+    """Every row with the verdict of its key, and whether that is from an earlier run."""
+    return parse_urls(urls, url_col).join(live, "url_key", "left").withColumn("reused", F.col("checked_at") < now)
 
 
 def storable_checks(scored: DataFrame) -> DataFrame:

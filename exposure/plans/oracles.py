@@ -503,6 +503,8 @@ ORACLES["url_trust"] = f"""{FULL} SELECT page_id, domain, trust_score, verdict,
 ORACLES["url_trust_distinct"] = f"""WITH {URL_PARTS}, {BRANDS}, {REGISTRY}, keyed AS (SELECT url_key, min(url) AS url FROM u GROUP BY 1),
     ux AS (SELECT u.*, reg.age, list_key IN (SELECT list_key FROM thr) AS listed FROM (SELECT DISTINCT ON (u.url_key) u.* FROM u JOIN keyed USING (url_key, url)) u LEFT JOIN reg USING (domain)), {SITE_SCORE.format(src='ux')}
 SELECT u.page_id, u.url_key, trust_score, verdict, listed AS safe_browsing_hit FROM u JOIN scored USING (url_key)"""
+ORACLES["url_trust_reused"] = f"""SELECT run, t.*, reused FROM ({ORACLES["url_trust_distinct"]}) t,
+    (VALUES (CAST(1 AS BIGINT), false), (CAST(2 AS BIGINT), true), (CAST(3 AS BIGINT), false)) r(run, reused)"""
 ORACLES["registration_dates"] = f"""SELECT page_id, CASE WHEN page_id % 3 < 2 THEN epoch_us(TIMESTAMP '2020-02-01 10:00:00' + to_days(CAST(page_id % 9 AS INTEGER))) END AS registered_at FROM pages"""
 
 # ---------------------------------------------------------------------------

@@ -445,6 +445,22 @@ def url_trust_distinct(spark, sf):
     return df.select("page_id", "url_key", "trust_score", "verdict", "safe_browsing_hit")
 
 
+@query
+def url_trust_reused(spark, sf):
+    """Three runs over all pages, the second within the reuse time and the third beyond it"""
+    path, told = scratch(spark) + "/verdicts", None
+    tables.start_verdicts(spark, path)
+    known = {"registry": derive.registry(spark, sf), "threats": derive.threats(spark, sf)}
+    for run, hours in ((1, 0), (2, 1), (3, 7)):
+        now = derive.now() + F.expr(f"INTERVAL {hours} HOURS")
+        fresh = urls.missing_verdicts(derive.urls(spark, sf), tables.read_verdicts(spark, path, now), now, **known)
+        tables.append_verdicts(fresh, path)
+        answers = urls.with_verdicts(derive.urls(spark, sf), tables.read_verdicts(spark, path, now), now).select(
+            F.lit(run).alias("run"), "page_id", "url_key", "trust_score", "verdict", "safe_browsing_hit", "reused")
+        told = answers if told is None else told.unionByName(answers)
+    return told
+
+
 @query
 def site_checks_stored(spark, sf):
     """Page checks and payload links that are worth keeping"""

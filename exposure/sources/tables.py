@@ -30,6 +30,13 @@ IDENTITY_CHECKS = (
 )
 SNAPSHOTS = "device_id STRING, captured_at TIMESTAMP, overall INT, privacy INT, identity INT, browsing INT, event_date DATE"
 
+VERDICTS = (
+    "url_key STRING, trust_score INT, verdict STRING, "
+    "reasons ARRAY<STRUCT<signal:STRING,detail:STRING,weight:STRING>>, confidence DOUBLE, summary STRING, "
+    "brand_mismatch BOOLEAN, domain_age_days INT, safe_browsing_hit BOOLEAN, checked_at TIMESTAMP, "
+    "valid_until TIMESTAMP, valid_day DATE"
+)
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a folder, split as ``spark.sql.files.maxPartitionBytes`` says."""
@@ -117,6 +124,38 @@ def read_snapshots(spark: SparkSession, path: str, device_id: str | None = None)
     return df if device_id is None else df.filter(F.col("device_id") == device_id)
 
 
+# ---------------------------------------------------------------------------
+# Verdict ledger
+# ---------------------------------------------------------------------------
+
+
+def start_verdicts(spark: SparkSession, path: str) -> None:
+    """An empty ledger."""
+    spark.createDataFrame([], VERDICTS).write.partitionBy("valid_day").parquet(path)
+
+
+def read_verdicts(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """The newest verdict of each key that still holds at ``now``; days that are over are not read."""
+    live = spark.read.schema(VERDICTS).parquet(path).filter(
+        (F.col("valid_day") >= F.to_date(now)) & (F.col("valid_until") > now) & (F.col("checked_at") <= now)
+    )
+    kept = [c for c in live.columns if c not in ("url_key", "valid_day")]
+    newest = live.groupBy("url_key").agg(F.max_by(F.struct(*kept), F.struct("checked_at", "trust_score")).alias("v"))
+    return newest.select("url_key", "v.*")
+
+
+def append_verdicts(scored: DataFrame, path: str) -> None:
+    """Add verdicts ``(url_key, .., checked_at, valid_until)``, by the day on which they end."""
+    dated = scored.withColumn("valid_day", F.to_date("valid_until"))
+    dated.select(*StructType.fromDDL(VERDICTS).fieldNames()).write.mode("append").partitionBy("valid_day").parquet(path)
+
+
+def compact_verdicts(spark: SparkSession, path: str, into: str, now: Column) -> None:
+    """Write the verdicts that still hold, one per key, to a new ledger."""
+    start_verdicts(spark, into)
+    append_verdicts(read_verdicts(spark, path, now), into)
+
+
 def as_json(df: DataFrame, keep: list[str]) -> DataFrame:
     """Key columns and one JSON column with the whole row, for consumers of wire rows."""
     return df.select(*keep, F.to_json(F.struct(*df.columns)).alias("json"))

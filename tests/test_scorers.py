@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from exposure import dims
 from exposure.functions import hosts
 from exposure.operators import conversations, destinations, emails, evidence, payloads, retrieval, reviews, urls
+from exposure.sources import tables
 
 NOW = F.lit("2024-02-05 12:00:00").cast("timestamp")
 
@@ -231,3 +232,36 @@ def test_every_link_of_a_payload_is_looked_up(spark):
     assert got[2][0] == "fresh.example" and got[2][1] > got[3][1] and got[3][0] == "fine.example"
     some = payloads.score_payloads(df, NOW, registry=registry, threats=threats, loaded=F.col("answered")).collect()
     assert {r.id: r.domain for r in some}[4] == "plain.example" and {r.id: r.risk_score for r in some}[1] < 98
+
+
+def test_verdicts_are_reused_until_they_end(spark, tmp_path):
+    """A second run scores new and expired keys only and tells the same."""
+    path, start = str(tmp_path / "ledger"), F.lit("2024-02-05 22:00:00").cast("timestamp")
+    later = lambda h: start + F.expr(f"INTERVAL {int(60 * h)} MINUTES")
+    first = spark.createDataFrame([(1, "https://a.example.com/x?q=1"), (2, "https://a.example.com/x?q=2"), (3, "https://paypa1.com/in"), (4, None)], "id int, url string")
+    more = first.unionByName(spark.createDataFrame([(5, "https://new.example.org/")], "id int, url string"))
+    threats = spark.createDataFrame([("https://a.example.com/x", "MALWARE")], "url string, threat string")
+    tables.start_verdicts(spark, path)
+
+    def run(pages, now):
+        fresh = urls.missing_verdicts(pages, tables.read_verdicts(spark, path, now), now, threats=threats)
+        keys = sorted(r.url_key for r in fresh.collect())
+        tables.append_verdicts(fresh, path)
+        told = urls.with_verdicts(pages, tables.read_verdicts(spark, path, now), now)
+        return keys, {r.id: (r.verdict, r.trust_score, r.reused) for r in told.collect()}
+
+    a, p, n = "https://a.example.com/x", "https://paypa1.com/in", "https://new.example.org/"
+    keys, told = run(first, start)
+    plain = {r.id: (r.verdict, r.trust_score) for r in urls.score_distinct_urls(more, start, threats=threats).collect()}
+    assert keys == [a, p] and {k: v[:2] for k, v in told.items()} == {k: plain[k] for k in told}
+    assert {k: v[2] for k, v in told.items()} == {1: False, 2: False, 3: False, 4: None}
+    keys, told = run(more, later(1))
+    assert keys == [n] and {k: v[:2] for k, v in told.items()} == plain
+    assert {k: v[2] for k, v in told.items()} == {1: True, 2: True, 3: True, 4: None, 5: False}
+    assert run(more, later(2))[0] == []
+    keys, told = run(more, later(6.5))  # the first two have ended, the next day has begun
+    assert keys == [a, p] and told[5][2] and not told[1][2]
+    small = str(tmp_path / "small")
+    tables.compact_verdicts(spark, path, small, later(6.5))
+    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(small).count() == 3
+    assert {r.url_key for r in tables.read_verdicts(spark, small, later(6.5)).collect()} == {a, p, n}
