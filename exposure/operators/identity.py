@@ -28,17 +28,22 @@ def range_lookup(prefixes: DataFrame, corpus: DataFrame, prefix_col: str = "hash
     return asked.join(corpus, "prefix").select("prefix", "suffix", "count")
 
 
-def match_own(secrets: DataFrame, corpus: DataFrame, secret_col: str = "secret") -> DataFrame:
+def match_own(secrets: DataFrame, corpus: DataFrame, secret_col: str = "secret", in_place: bool = False) -> DataFrame:
     """Own-side batch match: breach count of each secret, 0 if its range lacks it.
 
     ``breach_count`` is NULL where the corpus holds no range for the prefix.  Secrets are
     reduced to distinct digests before the joins, and the secret itself is dropped.
+
+    ``in_place``: the corpus is bucketed by prefix.  The distinct digests are then dealt by prefix as
+    their last step, which makes Spark take the buckets' partitioning and never move the corpus.
     """
     digest = F.upper(F.sha1(F.col(secret_col).cast("binary")))
     hashed = secrets.withColumn("prefix", F.substring(digest, 1, 5)).withColumn(
         "suffix", F.substr(digest, F.lit(6))
     ).drop(secret_col)
     keys = hashed.select("prefix", "suffix").distinct()
+    if in_place:
+        keys = keys.repartition("prefix")
     loaded = corpus.select("prefix").distinct().withColumn("loaded", F.lit(True))
     found = (
         keys.join(corpus, ["prefix", "suffix"], "left")

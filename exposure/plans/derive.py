@@ -223,6 +223,11 @@ CORPUS = """
     concat(substr(upper(sha1(concat('pw', k))), 6), CASE WHEN k % 7 = 6 THEN 'X' ELSE '' END, ':', (k % 5) * 37) AS line
 """
 
+#: a secret per event, every other one in the corpus of all events
+ALL_SECRETS = """
+    event_id AS id, concat('dev-', user_id) AS device_id, concat('pw', event_id * 2) AS secret
+"""
+
 CARDS = """
     CAST(doc_id AS STRING) AS id, doc_id AS ord, source AS title, lang AS summary, text AS body
 """
@@ -293,6 +298,15 @@ def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
     return keys.selectExpr(*_columns(CORPUS))
 
 
+def all_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return events(spark, sf).selectExpr(*_columns(ALL_SECRETS))
+
+
+def all_corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A line per event, without bound."""
+    return events(spark, sf).selectExpr("event_id AS k").selectExpr(*_columns(CORPUS))
+
+
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").selectExpr(*_columns(CARDS)).withColumn(
         "tags", F.array(F.col("summary"))

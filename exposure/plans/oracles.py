@@ -251,6 +251,13 @@ v AS (SELECT *, CASE WHEN breach_count > 0 AND hash_prefix IN (SELECT prefix FRO
     THEN EXISTS (SELECT 1 FROM corpus c WHERE c.prefix = hash_prefix AND c.count = breach_count) END AS verified FROM chk)
 SELECT *, {BAND.format('breach_count')} AS penalty, {LEVEL.format('breach_count')} AS risk_level,
     CASE WHEN breach_count > 0 AND verified = false THEN 0.75::DOUBLE ELSE 0.95::DOUBLE END AS confidence FROM v"""
+ALL_CORPUS = CORPUS.replace("event_id % 4000", "event_id").replace(derive.SECRETS, derive.ALL_SECRETS)
+ORACLES["breach_match_bucketed"] = f"""{ALL_CORPUS}, known AS (SELECT DISTINCT prefix FROM corpus)
+SELECT id, device_id, substr(h, 1, 5) AS prefix, CASE WHEN known.prefix IS NOT NULL THEN coalesce(count, 0) END AS breach_count
+FROM sec LEFT JOIN corpus c ON c.prefix || c.suffix = h LEFT JOIN known ON known.prefix = substr(h, 1, 5)"""
+ORACLES["breach_plausible_bucketed"] = f"""{ALL_CORPUS}, chk AS (SELECT id, substr(h, 1, 5) AS hash_prefix, (id % 6) * 37 AS breach_count FROM sec)
+SELECT *, CASE WHEN breach_count > 0 AND hash_prefix IN (SELECT prefix FROM corpus)
+    THEN (hash_prefix, breach_count) IN (SELECT (prefix, count) FROM corpus) END AS verified FROM chk"""
 ORACLES["prefix_k_anonymity"] = f"""{CORPUS} SELECT substr(prefix, 1, 2) || '000' AS prefix, count(*) AS suffixes, max(count) AS max_count FROM corpus GROUP BY 1"""
 ORACLES["identity_stored"] = f"""{DEVICE} SELECT device_id, upper(hash_prefix) AS hash_prefix, count(*) AS n, max(breach_count) AS worst FROM ic GROUP BY ALL"""
 

@@ -240,6 +240,31 @@ def breach_plausible(spark, sf):
     return rated.select("id", "hash_prefix", "breach_count", "verified", "penalty", "risk_level", "confidence")
 
 
+def _buckets(spark, sf):
+    """The corpus of all events as a table bucketed by prefix."""
+    name = f"ranges_{uuid.uuid4().hex}"
+    corpora.write_breach_corpus(corpora.parse_ranges(derive.all_corpus_lines(spark, sf)), name, buckets=64)
+    return corpora.read_buckets(spark, name)
+
+
+@query
+def breach_match_bucketed(spark, sf):
+    """Own-side match against a stored corpus that stays where it is"""
+    return identity.match_own(derive.all_secrets(spark, sf), _buckets(spark, sf), in_place=True).select(
+        "id", "device_id", "prefix", "breach_count"
+    )
+
+
+@query
+def breach_plausible_bucketed(spark, sf):
+    """Reported counts against the stored corpus"""
+    digest = F.upper(F.sha1(F.col("secret").cast("binary")))
+    checks = derive.all_secrets(spark, sf).select(
+        "id", F.substring(digest, 1, 5).alias("hash_prefix"), ((F.col("id") % 6) * 37).alias("breach_count")
+    )
+    return identity.plausible(checks, _buckets(spark, sf)).select("id", "hash_prefix", "breach_count", "verified")
+
+
 @query
 def prefix_k_anonymity(spark, sf):
     """Crowd per prefix"""

@@ -32,8 +32,22 @@ def read_breach_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_breach_corpus(corpus: DataFrame, table: str, buckets: int = 256) -> None:
-    """Bucketed by prefix, so range joins need no shuffle of the corpus."""
-    corpus.write.bucketBy(buckets, "prefix").sortBy("prefix", "suffix").mode("overwrite").saveAsTable(table)
+    """A table bucketed by prefix, so joins on ranges need no shuffle of the corpus.
+
+    Each bucket is one sorted file; take more buckets for a larger corpus.
+    """
+    dealt = corpus.repartition(buckets, "prefix").sortWithinPartitions("prefix", "suffix")
+    dealt.write.bucketBy(buckets, "prefix").sortBy("prefix", "suffix").mode("overwrite").saveAsTable(table)
+
+
+def read_buckets(spark: SparkSession, table: str) -> DataFrame:
+    """A corpus as written above, whose joins on prefix and more stay where its buckets are.
+
+    Without the setting below Spark would move both sides of a join that has more columns than the
+    buckets; with it the other side alone is dealt by prefix.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return spark.table(table)
 
 
 def parse_cards(files: DataFrame) -> DataFrame:

@@ -222,3 +222,50 @@ def test_replay_on_window_edges(spark):
         b = max(seen)[0] * 0.5 ** ((at - max(seen)[1]).total_seconds() / 86400 / 7) if seen else 0
         curve = lambda x: 100 if x <= 0 else int(100 * 150 / (150 + x) + 0.5)
         assert (got[at].privacy, got[at].browsing) == (curve(p), curve(b)), d
+
+
+def test_bucketed_corpus_stays_where_it_is(spark, tmp_path):
+    """Range files become buckets; joins on prefix and suffix shuffle the secrets alone."""
+    import hashlib
+
+    digests = [hashlib.sha1(f"pw{i}".encode()).hexdigest().upper() for i in range(60)]
+    for h in digests:
+        with open(tmp_path / f"{h[:5]}.txt", "a") as f:
+            f.write(f"{h[5:]}:{int(h[5], 16)}\n{'B' * 35}:0\n")
+    read = corpora.read_breach_corpus(spark, str(tmp_path))
+    name = "corpus_in_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    corpora.write_breach_corpus(read, name, buckets=8)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        secrets = spark.createDataFrame([(i, f"pw{i}") for i in range(120)], "id int, secret string")
+        matched = identity.match_own(secrets, corpora.read_buckets(spark, name), in_place=True)
+        got = {r.id: r.breach_count for r in matched.collect()}
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+        ranges = identity.range_lookup(secrets.selectExpr("substr(sha1(secret), 1, 5) AS hash_prefix"), corpora.read_buckets(spark, name))
+        assert ranges.count() == sum(int(h[5], 16) > 0 for h in digests)
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql(f"DROP TABLE {name}")
+    held = {h[:5] for h in digests if int(h[5], 16)}
+    want = {}
+    for i in range(120):
+        h = hashlib.sha1(f"pw{i}".encode()).hexdigest().upper()
+        want[i] = (int(h[5], 16) if i < 60 else 0) if h[:5] in held else None
+    assert got == want
+    # from every scan of the corpus up to its join there is no exchange
+    final = plan.split("== Initial Plan ==")[0].splitlines()
+    place = [len(x) - len(x.lstrip(" :+-*0123456789()")) for x in final]
+    scans = [i for i, x in enumerate(final) if "FileScan parquet" in x and name in x]
+    assert len(scans) == 2
+    for at in scans:
+        depth = place[at]
+        for i in range(at - 1, -1, -1):
+            if place[i] < depth:
+                depth = place[i]
+                if "Join" in final[i]:
+                    break
+                assert "Exchange" not in final[i], plan
