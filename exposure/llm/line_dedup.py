@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure.llm import words as W
@@ -37,15 +37,20 @@ MIN_CHARS = 20
 BLANKS = " \t\x0b\x0c\r"
 
 
-def _piece_keys(lines: DataFrame, pieces: int) -> DataFrame:
-    """``(h, key)``: hashes of each line without one of its pieces, for its own length and for one less.
+def _piece_key(text: Column, pieces: int, k: Column) -> Column:
+    """Hash of a line without one of its pieces, cut by its own length (first ``pieces`` values of ``k``) or by one less.
 
     A line and one with a character more are both cut by the shorter length.
     """
-    dealt = lines.select("h", "text", F.explode(F.sequence(F.lit(0), F.lit(2 * pieces - 1))).alias("k"))
-    base, i = F.length("text") - F.floor(F.col("k") / pieces).cast("int"), F.col("k") % pieces
+    base, i = F.length(text) - F.floor(k / pieces).cast("int"), k % pieces
     cut, after = F.floor(base * i / pieces).cast("int"), F.floor(base * (i + 1) / pieces).cast("int")
-    return dealt.select("h", F.xxhash64(base, i, F.left("text", cut), F.right("text", base - after)).alias("key"))
+    return F.xxhash64(base, i, F.left(text, cut), F.right(text, base - after))
+
+
+def _piece_keys(lines: DataFrame, pieces: int) -> DataFrame:
+    """``(h, key)``: all such hashes of each line."""
+    dealt = lines.select("h", "text", F.explode(F.sequence(F.lit(0), F.lit(2 * pieces - 1))).alias("k"))
+    return dealt.select("h", _piece_key(F.col("text"), pieces, F.col("k")).alias("key"))
 
 
 def _with_company(keyed: DataFrame) -> DataFrame:
@@ -85,9 +90,9 @@ def _variants(batches):
 
 def _neighbours(lines: DataFrame, first: DataFrame) -> DataFrame:
     """``(h, earlier)``: lines within one edit of an earlier line ``earlier``, the earliest per key."""
-    coarse = _piece_keys(lines, 2).distinct()
+    coarse = first.select("h", F.explode("keys").alias("key"))
     some = stored(
-        first.join(_with_company(coarse), "h", "left_semi")
+        first.select("h", "first").join(_with_company(coarse), "h", "left_semi")
         .join(lines.select("row", "line", F.col("h").alias("same"), "text"),
               (F.col("first.row") == F.col("row")) & (F.col("first.line") == F.col("line")) & (F.col("h") == F.col("same")))
         .select("h", "first", "text")
@@ -111,9 +116,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(row, lines)``: per document (``row`` = xxhash64 of id and text) the places of lines to drop."""
     lines = _lines(docs, id_col, text_col, min_chars).withColumn("h", F.xxhash64("text"))
     place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row", "line")
-    first = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    near = stored(_neighbours(lines, first.select("h", "first")).select("h").distinct())
-    marked = first.join(near.withColumn("near", F.lit(True)), "h", "left").filter("n > 1 OR near")
+    # one pass over the texts gives a narrow row per distinct line, with its keys of two pieces
+    keys = F.array_distinct(F.array(*[_piece_key(F.col("text"), 2, F.lit(k)) for k in range(4)]))
+    first = stored(lines.withColumn("keys", keys).groupBy("h").agg(
+        F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    near = stored(_neighbours(lines, first.select("h", "first", "keys")).select("h").distinct())
+    marked = first.select("h", "first", "n").join(near.withColumn("near", F.lit(True)), "h", "left").filter("n > 1 OR near")
     dropped = lines.select("h", place.alias("place")).join(marked, "h").filter("near OR place > first")
     return dropped.groupBy("place.row").agg(F.collect_set("place.line").alias("lines"))
 
