@@ -118,22 +118,26 @@ class Ranks:
         for end, i in self.automaton.iter(piece.decode("latin-1")):  # by end, so the longest comes last
             option[end + 1 - size[i]] = i
         path: list[int] = []
-        dead, at = bytearray(len(piece) + 1), 0
-        while at < len(piece):
-            before, i = (path[-1] if path else -1), option[at]
+        dead: set[int] = set()
+        before, at, n = -1, 0, len(piece)
+        while at < n:
+            i = option[at]
             while i >= 0:
-                if not dead[at + size[i]]:
-                    fits = known(before << 32 | i)
-                    if fits or fits is None and self.fits(before, i):
-                        break
+                fits = known(before << 32 | i)
+                if fits is None:
+                    fits = self.fits(before, i)
+                if fits and not (dead and at + size[i] in dead):
+                    break
                 i = shorter[i]
             if i >= 0:
                 option[at] = shorter[i]
                 path.append(i)
                 at += size[i]
+                before = i
             elif path:
-                dead[at] = 1
+                dead.add(at)
                 at -= size[path.pop()]
+                before = path[-1] if path else -1
             else:
                 raise ValueError("the vocabulary cannot spell a piece")
         return path
@@ -167,7 +171,10 @@ class Encoder:
         for word in words:
             held = known(word)
             if held is None:
-                held = self._pieces(" " + word)
+                if word.isalpha():  # letters alone are one piece
+                    held = array("i", self.ranks.encode_piece(b" " + word.encode()))
+                else:
+                    held = self._pieces(" " + word)
                 self.words.put(word, held)
                 known = self.words.get
             ids += held
