@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure import dims
-from exposure.functions.basics import first, pick, plural
+from exposure.functions.basics import first, pick, plural, settle
 from exposure.operators import identity as ident
 from exposure.operators.narrative import narrative
 from exposure.operators.risk import (
@@ -136,128 +132,110 @@ def trend(snapshots: DataFrame, now: Column) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _chain_ends(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted times: index of the next kept one after each, and the last of its chain."""
-    nxt = np.searchsorted(t, t + gap, side="left")
-    end = np.arange(len(t))
-    for i in range(len(t) - 1, -1, -1):
-        if nxt[i] < len(t):
-            end[i] = end[nxt[i]]
-    return nxt, end
-
-
-def _sorted_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict]]:
-    """Runs of equal keys in sorted batches, as arrays; joined where a run spans batches."""
-    held: dict | None = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
-        if held is not None:
-            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
-        n = len(cols[keys[0]])
-        new = np.zeros(n, dtype=bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= cols[k][1:] != cols[k][:-1]
-        starts = np.flatnonzero(new)
-        for i, j in zip(starts[:-1], starts[1:]):
-            yield tuple(cols[k][i] for k in keys), {c: v[i:j] for c, v in cols.items()}
-        held = {c: v[starts[-1]:] for c, v in cols.items()}
-    if held is not None:
-        yield tuple(held[k][0] for k in keys), held
-
-
-def _frames(rows: Iterator[dict], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
-    """Collect small pieces into batches of about ``size`` rows."""
-    pieces: dict[str, list] = {c: [] for c in columns}
-    for row in rows:
-        for c in columns:
-            pieces[c].extend(row[c])
-        if len(pieces[columns[0]]) >= size:
-            yield pd.DataFrame(pieces)
-            pieces = {c: [] for c in columns}
-    if pieces[columns[0]]:
-        yield pd.DataFrame(pieces)
+#: gaps per slice of a device's time; a chain keeps at most one time per gap
+SLICE_GAPS = 16
+
+
+def _followed(start: Column, jumps: Column, size: Column) -> Column:
+    """Places of a chain from ``start``, in order: ``jumps`` leads from each place to the next, to ``size`` at its end.
+
+    By doubling: each round joins to the places known so far those that many jumps further on,
+    and squares the jumps, so a chain of n places takes log2(n) rounds over the array.
+    """
+    closed = F.concat(jumps, F.array(size))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(size + 1)).cast("int")))
+    state = "struct<j:array<int>,l:array<int>>"
+
+    def double(acc: Column, _: Column) -> Column:
+        j, known = acc["j"], acc["l"]
+        return F.struct(
+            F.transform(j, lambda x: F.get(j, x)).alias("j"),
+            F.concat(known, F.transform(known, lambda x: F.get(j, x))).alias("l"),
+        ).cast(state)
+
+    first_place = F.struct(closed.alias("j"), F.array(start).alias("l")).cast(state)
+    return F.aggregate(rounds, first_place, double, lambda acc: F.filter(acc["l"], lambda x: x < size))
 
 
 def thin_snapshots(snapshots: DataFrame, minutes: int = 5) -> DataFrame:
     """Keep a snapshot only if at least ``minutes`` passed since the last kept one.
 
-    The greedy rule is sequential, so it is split by device and time slice (an hour, for
-    five minutes).  Each slice reports where a chain entering it would leave it, for each
-    possible entry (only times within one gap of its start can be entries, merged where
-    they lead to the same end).  One pass over those few rows finds the entry of every
-    slice, and the slices are thinned on their own.  Tasks read sorted runs, so a run
-    costs no call of its own.
+    The greedy rule is sequential, so it becomes a search for what a table of successors reaches
+    (a time's successor is the first one at least the gap later):
+
+    1. Device and time are cut into slices of 16 gaps.  A window gives each time its successor within
+       the slice, and four squarings of the successors give the time at which a chain entering there
+       leaves.  Only times within one gap of the slice's start, and the first after them, can be entries;
+       those that leave alike are one step.
+    2. The few steps of a device follow one another in the same way, by doubling; this tells from which time
+       on each slice is entered.
+    3. Each slice follows its own chain from there.
+
+    A device's rows lie in as many tasks as it has slices; one task holds the distinct times of a slice, or the
+    steps of a device.  Rows without device or time are left out; of rows of equal device and time one stays.
     """
     gap = minutes * 60_000_000
-    slice_us = 12 * gap
-    rows = snapshots.withColumn("_t", F.unix_micros("captured_at")).withColumn(
-        "_slice", F.floor(F.col("_t") / F.lit(slice_us))
-    )
-    by_slice = ["device_id", "_slice"]
-
-    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each():
-            for (device, part), run in _sorted_runs(batches, by_slice):
-                t = np.unique(run["_t"])
-                _, end = _chain_ends(t, gap)
-                n = int(np.searchsorted(t, int(part) * slice_us + gap, side="left"))
-                n = min(n + 1, len(t))
-                at, leave = t[:n], t[end[:n]]
-                last = np.append(leave[1:] != leave[:-1], True)
-                k = int(last.sum())
-                yield {"device_id": [device] * k, "_slice": [int(part)] * k, "until": at[last].tolist(), "leave": leave[last].tolist()}
-
-        yield from _frames(each(), ["device_id", "_slice", "until", "leave"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each():
-            device, last = None, None
-            for (dev, part), run in _sorted_runs(batches, by_slice):
-                if dev != device:
-                    device, last = dev, None
-                yield {"device_id": [dev], "_slice": [int(part)], "_before": [-(2**62) if last is None else last]}
-                i = int(np.searchsorted(run["until"], -(2**62) if last is None else last + gap, side="left"))
-                if i < len(run["until"]):
-                    last = int(run["leave"][i])
-
-        yield from _frames(each(), ["device_id", "_slice", "_before"])
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def each():
-            for (device, _), run in _sorted_runs(batches, by_slice):
-                t = np.unique(run["_t"])
-                nxt, _ = _chain_ends(t, gap)
-                i = int(np.searchsorted(t, int(run["_before"][0]) + gap, side="left"))
-                kept = []
-                while i < len(t):
-                    kept.append(int(t[i]))
-                    i = int(nxt[i])
-                yield {"device_id": [device] * len(kept), "_t": kept}
-
-        yield from _frames(each(), ["device_id", "_t"])
-
-    device = rows.schema["device_id"].dataType.simpleString()
-    slim = rows.select("device_id", "_slice", "_t")
-    leaves = (
-        slim.repartition("device_id", "_slice").sortWithinPartitions("device_id", "_slice")
-        .mapInPandas(exits, f"device_id {device}, _slice long, until long, leave long")
-    )
-    entries = (
-        leaves.repartition("device_id").sortWithinPartitions("device_id", "_slice", "until")
-        .mapInPandas(walk, f"device_id {device}, _slice long, _before long")
-    )
-    kept = (
-        slim.join(entries, by_slice).select("device_id", "_slice", "_t", "_before")
-        .repartition("device_id", "_slice").sortWithinPartitions("device_id", "_slice")
-        .mapInPandas(keep, f"device_id {device}, _t long")
+    width = SLICE_GAPS * gap
+    time = F.unix_micros("captured_at")
+    begin = time - F.pmod(time, F.lit(width))
+    # stated here, as joins would add it for some readers only and split the exchange
+    placed = snapshots.filter(F.col("device_id").isNotNull() & F.col("captured_at").isNotNull() & begin.isNotNull())
+    slim = placed.select("device_id", begin.alias("_slice"), time.alias("_t")).repartition("device_id", "_slice").distinct()
+    near = Window.partitionBy("device_id", "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, gap - 1)
+    runs = (
+        slim.withColumn("_next", F.count("*").over(near).cast("int"))
+        .groupBy("device_id", "_slice")
+        .agg(F.array_sort(F.collect_list(F.struct("_t", "_next"))).alias("_run"))
+        .select(
+            "device_id", "_slice", F.transform("_run", lambda x: x["_t"]).alias("_times"),
+            F.transform("_run", lambda x: x["_next"]).alias("_next"), F.size("_run").alias("_n"),
+        )
     )
-    one = rows.groupBy("device_id", "_t").agg(
-        F.min(F.struct(*[c for c in snapshots.columns if c != "device_id"])).alias("r")
+    steps = _exits(runs, gap)
+    entered = _entered(steps, gap, width)
+    chain = runs.join(entered, ["device_id", "_slice"])
+    start = F.size(F.filter("_times", lambda t: t < F.col("_from")))
+    places = settle(chain.withColumn("_at", _followed(start, F.col("_next"), F.col("_n"))), ["_at"])
+    kept = places.select("device_id", "_slice", F.transform("_at", lambda i: F.get("_times", i)).alias("_kept"))
+    rows = placed.select("device_id", begin.alias("_slice"), F.struct(*[c for c in snapshots.columns if c != "device_id"]).alias("_r"))
+    held = rows.join(kept, ["device_id", "_slice"]).withColumn("_t", F.unix_micros("_r.captured_at"))
+    one = held.filter(F.array_contains("_kept", F.col("_t"))).groupBy("device_id", "_slice", "_t").agg(F.min("_r").alias("_r"))
+    return one.select("device_id", "_r.*")
+
+
+def _exits(runs: DataFrame, gap: int) -> DataFrame:
+    """``(device_id, until, leave)``: a chain that enters a slice at ``until`` or less, but after the step before, leaves at ``leave``."""
+    last = settle(runs.withColumn("_last", F.transform("_next", lambda x, i: F.when(x < F.col("_n"), x).otherwise(i))), ["_last"])
+    for _ in range(SLICE_GAPS.bit_length() - 1):
+        last = settle(last.withColumn("_last", F.transform("_last", lambda i: F.get("_last", i))), ["_last"])
+    entries = 1 + F.size(F.filter("_times", lambda t: t < F.col("_slice") + gap))
+    last = settle(last.withColumn("_ways", F.slice("_last", F.lit(1), entries)), ["_ways"])
+    step = F.transform("_ways", lambda end, i: F.when(
+        F.coalesce(F.get("_ways", i + 1) != end, F.lit(True)),
+        F.struct(F.get("_times", i).alias("until"), F.get("_times", end).alias("leave")),
+    ))
+    return last.select("device_id", F.explode(F.filter(step, lambda x: x.isNotNull())).alias("s")).select("device_id", "s.*")
+
+
+def _entered(steps: DataFrame, gap: int, width: int) -> DataFrame:
+    """``(device_id, _slice, _from)``: the chain of the device takes the first time of the slice from ``_from`` on."""
+    marks = steps.select("device_id", F.inline(F.array(
+        F.struct(F.col("until").alias("at"), F.lit(1).alias("step"), "until", "leave"),
+        F.struct((F.col("leave") + gap).alias("at"), F.lit(0).alias("step"), "until", "leave"),
+    )))
+    # steps before the place where a chain that has left goes on; at equal times that place comes first
+    before = Window.partitionBy("device_id").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    per_device = (
+        marks.withColumn("next", F.sum("step").over(before).cast("int")).filter("step = 0")
+        .groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("until", "leave", "next"))).alias("s"))
     )
-    return one.join(kept, ["device_id", "_t"], "left_semi").select("device_id", "r.*")
+    reached = _followed(F.lit(0), F.transform("s", lambda x: x["next"]), F.size("s"))
+    path = settle(per_device.select("device_id", F.transform(reached, lambda i: F.get("s", i)["leave"]).alias("left")), ["left"])
+    begun = F.transform("left", lambda leave, k: F.struct(
+        (leave - F.pmod(leave, F.lit(width))).alias("_slice"),
+        F.when(k > 0, F.get("left", k - 1) + gap).otherwise(F.lit(-(2**62))).alias("_from"),
+    ))
+    return path.select("device_id", F.inline(begun))
 
 
 # ---------------------------------------------------------------------------

@@ -127,15 +127,30 @@ def test_thinning_equals_plain_greedy(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
-def test_thinning_joins_runs_across_batches(spark):
-    times = [NOW + dt.timedelta(seconds=37 * i) for i in range(1500)]
-    df = spark.createDataFrame([("d", t) for t in times], "device_id string, captured_at timestamp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        got = sorted(r.captured_at for r in dashboard.thin_snapshots(df).collect())
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    assert got == greedy(times, dt.timedelta(minutes=5))
+def test_thinning_of_chains_that_never_meet(spark):
+    """Equal steps that do not divide the gap keep every chain apart; gaps of days leave slices empty."""
+    steady = [NOW + dt.timedelta(seconds=37 * i) for i in range(1500)]
+    apart = [NOW + dt.timedelta(days=i // 3, seconds=299 * (i % 3)) for i in range(60)]
+    old = [dt.datetime(1969, 12, 31) + dt.timedelta(seconds=i) for i in range(900)]
+    rows = [(d, t) for d, times in (("s", steady), ("a", apart), ("o", old), ("one", [NOW])) for t in times]
+    df = spark.createDataFrame(rows, "device_id string, captured_at timestamp")
+    got = {}
+    for r in dashboard.thin_snapshots(df).collect():
+        got.setdefault(r.device_id, []).append(r.captured_at)
+    want = {d: greedy([t for e, t in rows if e == d], dt.timedelta(minutes=5)) for d in ("s", "a", "o", "one")}
+    assert {d: sorted(t) for d, t in got.items()} == want
+
+
+def test_thinning_stays_in_spark_and_splits_devices(spark):
+    """No Python stage; rows of one device are dealt by slice; rows without device or time go, others keep their columns."""
+    rows = [("d", NOW + dt.timedelta(seconds=i), i) for i in range(2000)] + [("d", NOW, 9), (None, NOW, 1), ("e", None, 2)]
+    df = spark.createDataFrame(rows, "device_id string, captured_at timestamp, _slice int")
+    out = dashboard.thin_snapshots(df)
+    assert out.columns == df.columns
+    assert sorted(r._slice for r in out.collect()) == [0, 300, 600, 900, 1200, 1500, 1800]
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert dashboard.thin_snapshots(df.limit(0)).count() == 0
 
 
 def run_stream(spark, tmp_path, parts, schema, make, name=""):
