@@ -182,6 +182,34 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert got == jaccard_pairs(rows)
 
 
+REVIEW = "set_id string, review_id string, body string"
+
+
+def test_near_duplicates_of_hot_tokens_equal_all_pairs(spark, monkeypatch):
+    """With few pairs allowed per token almost all is counted in blocks, across blocks and bands."""
+    monkeypatch.setattr(reviews, "HOT", 2)
+    monkeypatch.setattr(reviews, "BLOCK", 40)
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(16)]
+    rows = [(f"s{k % 2}", str(k), " ".join(rng.sample(words, rng.randrange(4, 15)))) for k in range(700)]
+    rows += [("s0", f"c{k}", " ".join(words[:12] + [f"own{k}"])) for k in range(150)]
+    got = {r.review_id: r.partners for r in reviews.near_duplicates(spark.createDataFrame(rows, REVIEW)).collect()}
+    assert got == jaccard_pairs(rows)
+
+
+def test_ten_thousand_templated_copies(spark):
+    """Exact counts, one row each, and rows for the comparison in proportion to the copies."""
+    base = " ".join(f"word{i}" for i in range(12))
+    n = 10_000
+    df = spark.range(n).selectExpr("'s' AS set_id", "CAST(id AS STRING) AS review_id", f"concat('{base} own', id) AS body")
+    got = reviews.near_duplicates(df).groupBy("partners").count().collect()
+    assert [(r.partners, r["count"]) for r in got] == [(n - 1, n)]
+    sets = df.select("set_id", F.col("review_id").alias("h"), F.lit(1).alias("copies"), reviews.tokens(F.col("body")).alias("t"))
+    hot = reviews.hot_partners(reviews._prefixes(sets, "set_id"), "set_id")
+    assert hot.count() <= 3 * n
+    assert reviews._rare_pairs(reviews._prefixes(sets, "set_id"), sets, "set_id").count() == 0
+
+
 def test_review_groups_missing(spark):
     rows = [("one", "a", None, "a perfectly ordinary sentence about shoes", 4.0, None, None)]
     df = spark.createDataFrame(rows, "set_id string, review_id string, title string, body string, rating double, verified_purchase boolean, product_title string")
