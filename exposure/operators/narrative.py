@@ -1,9 +1,10 @@
 """Why the score is what it is: causes, what each costs, and the one change to make first.
 
 A cause owns an additive share of a penalty, so the score without it is the curve of
-``total - share``; nothing is re-run.  All causes of a device fit in one row: three
-about typed data, three about sites, one per breached password.  Passwords of equal
-penalty cost the same, so the first four of each band are enough for four slots.
+``total - share``; nothing is re-run.  A device has at most seven causes that are not
+passwords and one per breached password.  All of them are the rows of :func:`cause_rows`;
+the drivers have four slots, and as passwords of equal penalty cost the same, the first
+four of each band are enough for these.
 """
 
 from __future__ import annotations
@@ -74,8 +75,8 @@ def _cause(code, severity, n, sentence, without, ord_, *, must=False, action=Non
     ).cast(CAUSE)
 
 
-def causes(scored: DataFrame) -> DataFrame:
-    """Add ``causes``, all causes of the device, dearest first."""
+def _fixed_causes() -> Column:
+    """The causes about typed data, sites and missing checks."""
     p, b, i = F.col("privacy"), F.col("browsing"), F.col("identity")
 
     def no_pii(share: str) -> Column:
@@ -91,7 +92,7 @@ def causes(scored: DataFrame) -> DataFrame:
         F.col("e_severe_first"),
         F.when(extra > 0, _say(" and ", _number(extra), plural(extra, " other site", " other sites"))).otherwise(""),
     )
-    fixed = compact(
+    return compact(
         F.when(severe > 0, _cause(
             "pii_sent_unprotected", "high", severe,
             _say(_number(severe), plural(severe, " sensitive detail", " sensitive details"), " left unmasked on ", where, "."),
@@ -131,19 +132,39 @@ def causes(scored: DataFrame) -> DataFrame:
         )),
     )
 
-    def password(x: Column, at: Column) -> Column:
-        name = _short(x["label"])
-        return _cause(
-            "identity_breached", "high", F.lit(1),
-            _say(name, " is in ", F.format_number(x["breach_count"], 0), " breached accounts."),
-            overall(p, b, curve(F.col("i_penalty") - x["penalty"])), at + 10,
-            action="change_password", todo=_say("Change the password of ", name, "."),
-        )
 
+def _password_cause(x: Column, at: Column) -> Column:
+    """The cause that a breached password ``x`` is; ``at`` orders equal ones."""
+    name = _short(x["label"])
+    rest = overall(F.col("privacy"), F.col("browsing"), curve(F.col("i_penalty") - x["penalty"]))
+    return _cause(
+        "identity_breached", "high", F.lit(1),
+        _say(name, " is in ", F.format_number(x["breach_count"], 0), " breached accounts."),
+        rest, at + 10, action="change_password", todo=_say("Change the password of ", name, "."),
+    )
+
+
+def causes(scored: DataFrame) -> DataFrame:
+    """Add ``causes``, dearest first: those that can be among the drivers."""
     passwords = F.coalesce(
-        F.transform("breached", password), F.array().cast(f"array<{CAUSE}>")
+        F.transform("breached", _password_cause), F.array().cast(f"array<{CAUSE}>")
+    )
+    return settle(scored.withColumn("causes", F.array_sort(F.concat(_fixed_causes(), passwords))), ["causes"])
+
+
+def cause_rows(scored: DataFrame, live: DataFrame) -> DataFrame:
+    """All causes of each device, one row each: every breached password is one, however many there are.
+
+    ``key`` names the password and is NULL in other rows.  Passwords are joined as rows, never gathered per device.
+    """
+    fixed = scored.select("device_id", F.lit(None).cast("string").alias("key"), F.explode(_fixed_causes()).alias("c"))
+    breached = live.filter(F.col("breach_count") > 0).select(
+        "device_id", "key", F.struct("label", "penalty", "breach_count").alias("x")
+    )
+    own = breached.join(scored, "device_id").select("device_id", "key", _password_cause(F.col("x"), F.lit(0)).alias("c"))
+    return fixed.unionByName(own).select(
+        "device_id", "key", "c.code", "c.points", "c.severity", "c.subjects", "c.sentence", "c.action", "c.todo"
     )
-    return settle(scored.withColumn("causes", F.array_sort(F.concat(fixed, passwords))), ["causes"])
 
 
 def narrative(

@@ -152,6 +152,11 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDE
     WHERE action IS NOT NULL AND points >= 1) WHERE bk = 1)
 """
 ORACLES["risk_drivers"] = f"{DEVICE}, {CAUSES} SELECT * FROM driver"
+KEYED = CAUSES.replace("SELECT device_id, overall, 'pii_sent", "SELECT device_id, NULL AS key, overall, 'pii_sent").replace(
+    "UNION ALL SELECT device_id, overall, 'identity_breached'", "UNION ALL SELECT device_id, key, overall, 'identity_breached'").replace(
+    "UNION ALL SELECT device_id, overall,", "UNION ALL SELECT device_id, NULL, overall,")
+ORACLES["risk_causes"] = f"""{DEVICE}, {KEYED}
+SELECT device_id, key, code, points, severity, CAST(subjects AS BIGINT) AS subjects, action FROM priced"""
 ORACLES["risk_lever"] = f"""{DEVICE}, {CAUSES}
 SELECT r.device_id, b.code, r.overall AS current_score, r.overall + b.points AS projected_score, b.points AS delta, b.action,
     CASE WHEN identity IS NULL THEN 'The score covers 80% of what is measured; the rest is unknown, not safe.' ELSE 'The score covers typing, sites and passwords.' END

@@ -99,6 +99,15 @@ def risk_drivers(spark, sf):
     return narrative.drivers(_told(spark, sf)).drop("sentence")
 
 
+@query
+def risk_causes(spark, sf):
+    """All causes, every breached password among them"""
+    live = identity.live_checks(derive.identity_checks(spark, sf))
+    return narrative.cause_rows(_scored(spark, sf), live).select(
+        "device_id", "key", "code", "points", "severity", "subjects", "action"
+    )
+
+
 @query
 def risk_lever(spark, sf):
     """N7, N8"""
