@@ -748,6 +748,11 @@ SELECT concat('dev-', page_id) AS device_id, domain, trust_score, verdict, liste
 UNION ALL SELECT concat('pay-', payload_id), CASE k WHEN 4 THEN 'bit.ly' WHEN 5 THEN concat('0.', n % 256) WHEN 10 THEN 'arnazon.com' ELSE 'example.org' END, CASE WHEN k = 10 THEN 0 ELSE 50 END,
     CASE WHEN k = 10 THEN 'dangerous' ELSE 'unknown' END, NULL, k = 10 FROM pp WHERE k IN (4, 5, 10, 14)"""
 
+ORACLES["site_checks_read"] = f"""{FULL}, kept AS (SELECT *, {NOW} - to_days(CAST(page_id % 60 AS INTEGER)) AS seen_at FROM scored WHERE verdict <> 'safe' AND domain <> '')
+SELECT concat('dev-', page_id % 50) AS device_id, verdict, count(*) AS n, epoch_us(min(seen_at)) AS first_at, CAST(sum(trust_score) AS BIGINT) AS trust,
+    count(*) FILTER (listed) AS listed, count(*) FILTER (bad AND NOT coalesce(listed, false)) AS imitations
+FROM kept WHERE seen_at >= {NOW} - INTERVAL 30 DAY GROUP BY ALL"""
+
 # ---------------------------------------------------------------------------
 # Reviews
 # ---------------------------------------------------------------------------
@@ -832,6 +837,7 @@ ORACLES["bm25_top3"] = f"""WITH {BM25} SELECT qid, row_number() OVER (PARTITION
 # Cards and streams
 # ---------------------------------------------------------------------------
 
+ORACLES["cards_read"] = """SELECT 'item-' || item_id AS id, 'a|b' AS tags, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM benchmark"""
 ORACLES["cards_parsed"] = """SELECT CASE WHEN doc_id % 4 = 0 THEN 'file_' || doc_id ELSE 'card-' || doc_id END AS id, CASE WHEN doc_id % 4 = 0 THEN 'File ' || doc_id ELSE 'Topic ' || source END AS title,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang || '|' || source END AS tags, CASE WHEN doc_id % 4 = 0 THEN 'File ' || doc_id ELSE 'Topic ' || source END AS summary,
     length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM documents"""

@@ -509,6 +509,22 @@ def site_checks_stored(spark, sf):
     )
 
 
+@query
+def site_checks_read(spark, sf):
+    """The same checks written by day, and read back through the look-back window"""
+    path, now = scratch(spark) + "/site_checks", derive.now()
+    at = now - F.make_dt_interval((F.col("page_id") % 60).cast("int"))
+    pages = _site_scores(spark, sf).withColumns(
+        {"device_id": F.concat(F.lit("dev-"), (F.col("page_id") % 50).cast("string")), "occurred_at": at}
+    )
+    tables.write_site_checks(pages, path)
+    back = tables.read_events(spark, path, now, tables.SITE_CHECKS)
+    return back.groupBy("device_id", "verdict").agg(
+        F.count("*").alias("n"), F.min("occurred_at").alias("first_at"), F.sum("trust_score").alias("trust"),
+        F.count_if("safe_browsing_hit").alias("listed"), F.count_if("brand_mismatch").alias("imitations"),
+    )
+
+
 @query
 def registration_dates(spark, sf):
     """Dates out of registry JSON"""
@@ -759,6 +775,18 @@ def scores_stored(spark, sf):
     return tables.read_snapshots(spark, path).select("device_id", "captured_at", "overall", "privacy", "identity", "browsing")
 
 
+@query
+def cards_read(spark, sf):
+    """A folder of card files, one per benchmark item"""
+    path = scratch(spark) + "/cards"
+    items = tables.read_table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("card"),
+        F.concat(F.lit("---\nid: item-"), F.col("item_id").cast("string"), F.lit("\ntags: [a, b]\n---\n"), F.col("text")).alias("value"),
+    )
+    items.write.partitionBy("card").text(path)
+    return corpora.read_cards(spark, path).select("id", "tags", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 @query
 def cards_parsed(spark, sf):
     """S9"""

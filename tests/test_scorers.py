@@ -247,6 +247,84 @@ def test_bm25_equals_plain_formula(spark):
     assert got == want
 
 
+def told(spark):
+    """Two devices as the narrative leaves them, the second with nothing worth doing."""
+    best = "struct<points:int,todo:string>"
+    return spark.createDataFrame(
+        [("d1", 42, "high", 50, 60, "Score 42 of 100.", (13, "Mask details.")), ("d2", 97, "low", 98, 96, "Score 97 of 100.", None)],
+        f"device_id string, overall int, risk_level string, privacy int, browsing int, story string, best {best}",
+    )
+
+
+def test_posture_cards_follow_score_and_lever(spark):
+    got = {(r.device_id, r.id): r for r in retrieval.posture_cards(told(spark)).collect()}
+    assert set(got) == {("d1", "user_posture_summary"), ("d1", "user_biggest_lever"), ("d2", "user_posture_summary")}
+    score, lever = got["d1", "user_posture_summary"], got["d1", "user_biggest_lever"]
+    assert (score.ord, score.title, score.summary) == (0, "Your risk score (42/100)", "Score 42 of 100.")
+    assert score.body == "Overall security score 42/100, high risk. Privacy 50/100. Browsing 60/100."
+    assert (lever.ord, lever.summary) == (1, "Mask details.")
+    assert lever.body == "Action: Mask details. Score now 42, then 55 (+13)."
+
+
+def test_own_cards_are_boosted_counted_and_answered(spark):
+    """Against the plain formula: a device's own cards count in its statistics, and personal questions prefer them."""
+    import math
+    import re
+
+    def terms(text):
+        words = [w for w in re.findall(r"\b[a-z0-9]{3,}\b", text.lower()) if w not in dims.STOP_WORDS]
+        return words + [e for w in words for e in dims.SYNONYMS.get(w, [])]
+
+    public = {"a": "otp code scams are common", "b": "collect request payment", "c": "posture of a spine"}
+    pool = spark.createDataFrame(
+        [(k, i, "", [], f"sum {k}", t) for i, (k, t) in enumerate(public.items())],
+        "id string, ord int, title string, tags array<string>, summary string, body string")
+    own = retrieval.posture_cards(told(spark))
+    asked = [
+        (1, "d1", "what is my score"), (2, "d1", "otp code"), (3, "d2", "my lever"), (4, "none", "my posture"),
+        (5, "d1", "me of the"), (6, "d1", "posture"),
+    ]
+    questions = spark.createDataFrame(asked, "qid long, device_id string, question string")
+    ranked = retrieval.bm25_topk(questions, pool, own)
+    got = {(r.qid, r.rank): (r.id, round(r.score, 6)) for r in ranked.collect()}
+
+    texts = {k: f" sum {k} {t} " for k, t in public.items()}
+    mine = {}
+    for r in own.collect():
+        mine.setdefault(r.device_id, []).append((r.ord, r.id, " ".join([r.title, r.summary, r.body, *r.tags])))
+    want = {}
+    for q, device, text in asked:
+        cards = [(1, i, k, terms(texts[k])) for i, k in enumerate(texts)] + [(0, o, k, terms(t)) for o, k, t in sorted(mine.get(device, []))]
+        mean = sum(len(x) for *_, x in cards) / len(cards)
+        scored = []
+        for kind, order, k, words in cards:
+            s = 0.0
+            for t in terms(text):
+                tf, df = words.count(t), sum(t in x for *_, x in cards)
+                if tf:
+                    s += math.log((len(cards) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+            if kind == 0 and terms(text) and re.search(r"\b(my|mine|me|i|our)\b", text):
+                s += 50
+            if s >= 1:
+                scored.append((-round(s, 9), kind, order, k))
+        for rank, (s, _, _, k) in enumerate(sorted(scored)[:3], 1):
+            want[q, rank] = (k, round(-s, 6))
+    assert got == want
+    assert got[1, 1][0].startswith("user_") and got[1, 1][1] > 50 and (3, 2) not in got
+
+    said = {r.qid: r for r in retrieval.answers(questions, ranked, pool, own).collect()}
+    bodies = {(r.device_id, r.id): f"{r.summary}\n\n{r.body}" for r in own.collect()}
+    for q, device, _ in asked:
+        top = want.get((q, 1), (None,))[0]
+        assert said[q].answered == (top is not None)
+        assert said[q].sources == ([want[q, k][0] for k in (1, 2, 3) if (q, k) in want] or None)
+        if top is not None:
+            assert said[q].answer == bodies.get((device, top), f"sum {top}\n\n{public.get(top)}")
+            assert said[q].personal_context_used == any(x.startswith("user_") for x in said[q].sources)
+        else:
+            assert said[q].answer is None and not said[q].personal_context_used
+
+
 def test_every_link_of_a_payload_is_looked_up(spark):
     texts = ["see https://203.0.113.9/a and https://plain.example/b", "see https://fine.example/a https://plain.example/b https://fine.example/c",
              "see https://fine.example/a and https://fresh.example/b", "see https://fine.example/a and https://fine.example/b"]
