@@ -269,7 +269,8 @@ def _others(n: Column) -> Column:
 def recommendation_array() -> Column:
     """At most four pieces of advice, most severe first, worded from the counts alone."""
     n_b = F.coalesce(F.col("i_breached"), F.lit(0))
-    names = F.array_join(F.transform(F.col("first_breached"), lambda x: x["label"]), ", ")
+    # two are named and the others counted; an array of all names is never in a sentence
+    names = F.array_join(F.transform(F.slice("first_breached", 1, 2), lambda x: x["label"]), ", ")
     n_open, n_d, n_s = F.col("e_n_open"), F.col("s_n_dangerous"), F.col("s_n_suspicious")
     n_muted = F.col("e_n_muted")
 
@@ -282,7 +283,7 @@ def recommendation_array() -> Column:
     def say(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
-    extra = F.when(n_b > 2, say(" and ", (n_b - 2).cast("string"), plural(n_b - 2, " more", " more"))).otherwise("")
+    extra = F.when(n_b > 2, say(" and ", (n_b - 2).cast("string"), " more")).otherwise("")
     all_rules = compact(
         F.when(n_b > 0, advise(
             "high", "change_password", n_b,

@@ -152,6 +152,44 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDE
     WHERE action IS NOT NULL AND points >= 1) WHERE bk = 1)
 """
 ORACLES["risk_drivers"] = f"{DEVICE}, {CAUSES} SELECT * FROM driver"
+
+
+def counted(n: str, one: str, many: str) -> str:
+    return f"{n} || CASE WHEN {n} = 1 THEN '{one}' ELSE '{many}' END"
+
+
+ORACLES["risk_contribution_details"] = f"""{DEVICE}
+SELECT device_id, 'privacy' AS component, CASE WHEN n = 0 THEN 'Nothing sensitive was typed.'
+    WHEN privacy >= 80 THEN {counted('n', ' finding', ' findings')} || ', minor or masked.'
+    ELSE {counted('n', ' sensitive detail', ' sensitive details')} || ' typed.' END AS detail FROM r
+UNION ALL SELECT device_id, 'browsing', CASE WHEN nv = 0 THEN 'No risky site was visited.'
+    WHEN n_d + n_s = 0 THEN 'Some sites could not be checked in full.' ELSE {counted('(n_d + n_s)', ' site', ' sites')} || ' flagged.' END FROM r
+UNION ALL SELECT device_id, 'identity', CASE WHEN nc IS NULL THEN 'No password has been checked, so this part is missing.'
+    WHEN nb = 0 THEN {counted('nc', ' password', ' passwords')} || ' checked, none breached.'
+    ELSE nb || ' of ' || {counted('nc', ' password', ' passwords')} || ' found in breaches.' END FROM r"""
+ORACLES["risk_recommendation_texts"] = f"""{DEVICE}, {ADVICE_ROWS},
+named AS (SELECT device_id, string_agg(coalesce(label, 'One of your passwords'), ', ' ORDER BY k) AS names FROM (
+    SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY first_at, first_id, key) AS k FROM live WHERE breach_count > 0) WHERE k <= 2 GROUP BY 1),
+opened AS (SELECT device_id, min(site_origin) AS origin, count(DISTINCT site_origin) AS origins FROM ev WHERE is_open GROUP BY 1),
+bad AS (SELECT device_id, min(domain) FILTER (base = 100) AS scam, min(domain) FILTER (base = 30) AS odd FROM dom GROUP BY 1)
+SELECT device_id, rank, CASE action
+    WHEN 'change_password' THEN {counted('subjects', ' password is', ' passwords are')} || ' in breaches'
+    WHEN 'review_pii' THEN {counted('subjects', ' sensitive detail', ' sensitive details')} || ' sent unmasked'
+    WHEN 'review_sites' THEN CASE priority WHEN 'high' THEN {counted('subjects', ' likely scam site', ' likely scam sites')} ELSE {counted('subjects', ' odd site', ' odd sites')} END || ' visited'
+    WHEN 'review_allowlist' THEN 'Several warnings are muted' ELSE 'No password checked yet' END AS title, CASE action
+    WHEN 'change_password' THEN 'Change now: ' || names || CASE WHEN subjects > 2 THEN ' and ' || (subjects - 2) || ' more' ELSE '' END || '.'
+    WHEN 'review_pii' THEN 'Typed on ' || replace(replace(origin, 'https://', ''), 'http://', '')
+        || CASE WHEN origins > 1 THEN ' and ' || {counted('(origins - 1)', ' other', ' others')} ELSE '' END || '.'
+    WHEN 'review_sites' THEN 'Among them ' || CASE priority WHEN 'high' THEN scam ELSE odd END || '.'
+    WHEN 'review_allowlist' THEN subjects || ' muted findings are worth a second look.'
+    ELSE 'One of three parts of the score is missing.' END AS detail
+FROM ranked LEFT JOIN named USING (device_id) LEFT JOIN opened USING (device_id) LEFT JOIN bad USING (device_id) WHERE rank < 4"""
+ORACLES["risk_stories"] = f"""{DEVICE}, {CAUSES},
+p AS (SELECT device_id, count(*) AS n_all, count(*) FILTER (points > 0) AS c, max(points) AS top, sum(points) AS total FROM driver GROUP BY 1)
+SELECT r.device_id, 'Score ' || overall || ' of 100' || CASE WHEN coalesce(c, 0) = 0 AND n_all > 0 THEN ' and only missing parts keep it open.'
+    WHEN coalesce(c, 0) = 0 THEN ' and nothing pulls it down.' WHEN c = 1 THEN '; one thing pulls it down.'
+    WHEN top >= total - top THEN '; mostly one thing pulls it down.' ELSE '; ' || c || ' things pull it down together.' END AS story
+FROM r LEFT JOIN p ON p.device_id = r.device_id"""
 KEYED = CAUSES.replace("SELECT device_id, overall, 'pii_sent", "SELECT device_id, NULL AS key, overall, 'pii_sent").replace(
     "UNION ALL SELECT device_id, overall, 'identity_breached'", "UNION ALL SELECT device_id, key, overall, 'identity_breached'").replace(
     "UNION ALL SELECT device_id, overall,", "UNION ALL SELECT device_id, NULL, overall,")

@@ -93,6 +93,24 @@ def risk_recommendations(spark, sf):
     return risk.recommendations(_scored(spark, sf)).drop("title", "detail")
 
 
+@query
+def risk_contribution_details(spark, sf):
+    """K8, I8: what each part of the score rests on, in words"""
+    return risk.contributions(_scored(spark, sf)).select("device_id", "component", "detail")
+
+
+@query
+def risk_recommendation_texts(spark, sf):
+    """Title and detail of each piece of advice"""
+    return risk.recommendations(_scored(spark, sf)).select("device_id", "rank", "title", "detail")
+
+
+@query
+def risk_stories(spark, sf):
+    """The story of each score"""
+    return _told(spark, sf).select("device_id", "story")
+
+
 @query
 def risk_drivers(spark, sf):
     """N1-N6"""

@@ -92,6 +92,25 @@ def test_email_groups(spark):
     assert weights == sorted(weights, key=["bad", "unknown", "good"].index)
 
 
+def test_email_recommendation_is_the_worst_signals_advice(spark):
+    """The first action whose signal was found, then the advice of the verdict."""
+    got = mail(spark, [
+        (1, None, None, None, "too short"),
+        (2, "Ann <ann@uni.example.org>", None, "Notes", LONG),
+        (3, "Amazon <x@gmail.com>", None, "Account", LONG + '<a href="http://evil.example.com">www.amazon.com</a>'),
+        (4, "Amazon <x@gmail.com>", None, "", LONG + 'Please verify your OTP. <a href="http://evil.example.com">www.amazon.com</a>'),
+        (5, None, None, "", LONG + "Please pay with gift cards today."),
+    ])
+    assert got[1].recommendation == emails.ADVICE["unknown"]
+    assert got[2].recommendation == emails.ADVICE["safe"]
+    for r in got.values():
+        names = {h.name for hits in (r.link_hits, r.content_hits, r.sender_hits or []) for h in hits}
+        action = next((text for name, text in emails.ACTIONS if name in names), None) if r.msg_id != 1 else None
+        assert r.recommendation == " ".join(x for x in (action, emails.ADVICE[r.verdict]) if x)
+    assert got[3].recommendation.startswith("If you entered anything after the click")
+    assert got[4].recommendation.startswith("If you typed a secret because of this")
+
+
 def test_intent_only_raises(spark):
     rows = [(i, "Ann <ann@uni.example.org>", None, "Notes", LONG + "Please verify your OTP now, act now.") for i in range(3)]
     intents = spark.createDataFrame([(1, "benign", 0.9, "r", []), (2, "credential_theft", 0.9, "r", ["verify your OTP now", "not there"])], "msg_id long, label string, confidence double, rationale string, quotes array<string>")
