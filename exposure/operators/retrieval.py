@@ -39,7 +39,7 @@ def with_synonyms(words: Column) -> Column:
     return F.concat(words, F.coalesce(F.flatten(extra), lit_array([])))
 
 
-def _postings(docs: DataFrame, keys: list[str]) -> DataFrame:
+def postings(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Term counts per document.  Counted in the explode's own shuffle, map side first."""
     worded = settle(docs.withColumn("_w", plain_words(F.col("_text"))), ["_w"])
     return (
@@ -64,12 +64,21 @@ def bm25_topk(
     them, they count in its statistics, and personal questions prefer them.
     """
     body = card_text() if text is None else text
-    public = cards.select("id", "ord", body.alias("_text"))
-    index = _postings(public, ["id", "ord"])
+    index = postings(cards.select("id", "ord", body.alias("_text")), ["id", "ord"])
     # every statistic reads the same postings, so the texts are tokenised once
     n_docs = cards.agg(F.count("*").alias("docs")).scalar()
     sum_len = index.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("len")).scalar()
     df_public = index.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    asked, wanted, own_index = question_terms(questions, own_cards, qid)
+    weighted = weigh(wanted, df_public, n_docs, sum_len)
+    scored = weighted.join(index, "term").groupBy("qid", "id", "ord").agg(F.sum(term_score()).alias("score"))
+    return best(scored, own_scores(asked, weighted, own_cards, own_index), k)
+
+
+def question_terms(
+    questions: DataFrame, own_cards: DataFrame | None, qid: str
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The questions, a row per question and term with the statistics of own cards, and the postings of those."""
     device = F.col("device_id") if "device_id" in questions.columns else F.lit(None).cast("string")
     asked = questions.select(
         F.col(qid).alias("qid"), device.alias("device_id"), F.col("question"),
@@ -80,52 +89,60 @@ def bm25_topk(
         .groupBy("qid", "device_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    if own_cards is not None:
-        mine = own_cards.select("device_id", "id", "ord", card_text().alias("_text"))
-        own_index = _postings(mine, ["device_id", "id", "ord"])
-        own_size = (
-            mine.select("device_id", F.size(terms(F.col("_text"))).alias("len"))
-            .groupBy("device_id").agg(F.count("*").alias("own_docs"), F.sum("len").alias("own_len"))
-        )
-        own_df = own_index.groupBy("device_id", "term").agg(F.count("*").alias("own_df"))
-        wanted = wanted.join(own_size, "device_id", "left").join(own_df, ["device_id", "term"], "left")
-    else:
+    if own_cards is None:
         zero = F.lit(None).cast("bigint")
-        wanted = wanted.withColumns({"own_docs": zero, "own_len": zero, "own_df": zero})
+        return asked, wanted.withColumns({"own_docs": zero, "own_len": zero, "own_df": zero}), None
+    mine = own_cards.select("device_id", "id", "ord", card_text().alias("_text"))
+    own_index = postings(mine, ["device_id", "id", "ord"])
+    own_size = (
+        mine.select("device_id", F.size(terms(F.col("_text"))).alias("len"))
+        .groupBy("device_id").agg(F.count("*").alias("own_docs"), F.sum("len").alias("own_len"))
+    )
+    own_df = own_index.groupBy("device_id", "term").agg(F.count("*").alias("own_df"))
+    return asked, wanted.join(own_size, "device_id", "left").join(own_df, ["device_id", "term"], "left"), own_index
+
+
+def weigh(wanted: DataFrame, df_public: DataFrame, n_docs: Column, sum_len: Column) -> DataFrame:
+    """``(qid, device_id, term, qtf, idf, avg_len)`` from the collection's statistics and the device's own."""
     nz = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = n_docs + nz("own_docs")
     df_all = nz("df") + nz("own_df")
-    weighted = wanted.join(df_public, "term", "left").select(
+    return wanted.join(df_public, "term", "left").select(
         "qid", "device_id", "term", "qtf",
         F.log((total - df_all + 0.5) / (df_all + 0.5) + 1.0).alias("idf"),
         ((sum_len + nz("own_len")) / total).alias("avg_len"),
     )
 
-    def score() -> Column:
-        denom = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * (F.col("len") / F.col("avg_len")))
-        return F.sum(F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(K1 + 1.0) / denom))
 
-    scored = (
-        weighted.join(index, "term")
-        .groupBy("qid", "id", "ord")
-        .agg(score().alias("score"))
-        .withColumn("own", F.lit(1))
+def term_score(tf: str = "tf", length: str = "len") -> Column:
+    """What a term adds to a card; it grows with ``tf`` and falls with the card's length."""
+    denom = F.col(tf) + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * (F.col(length) / F.col("avg_len")))
+    return F.col("qtf") * F.col("idf") * (F.col(tf) * F.lit(K1 + 1.0) / denom)
+
+
+def own_scores(
+    asked: DataFrame, weighted: DataFrame, own_cards: DataFrame | None, own_index: DataFrame | None
+) -> DataFrame | None:
+    """Scores of a device's own cards, boosted for personal questions.
+
+    A boosted card may share no word with the question; without any word at all nothing is answered.
+    """
+    if own_cards is None:
+        return None
+    own = weighted.join(own_index, ["device_id", "term"]).groupBy("qid", "id", "ord").agg(F.sum(term_score()).alias("score"))
+    boosted = (
+        asked.filter(F.col("personal"))
+        .join(weighted.select("qid").distinct(), "qid", "left_semi")
+        .join(own_cards.select("device_id", "id", "ord"), "device_id")
+        .select("qid", "id", "ord", F.lit(OWN_BOOST).alias("score"))
     )
-    if own_cards is not None:
-        own = (
-            weighted.join(own_index, ["device_id", "term"])
-            .groupBy("qid", "id", "ord")
-            .agg(score().alias("score"))
-        )
-        # a boosted card may share no word with the question; without any word at all
-        # nothing is answered
-        boosted = (
-            asked.filter(F.col("personal"))
-            .join(wanted.select("qid").distinct(), "qid", "left_semi")
-            .join(own_cards.select("device_id", "id", "ord"), "device_id")
-            .select("qid", "id", "ord", F.lit(OWN_BOOST).alias("score"))
-        )
-        own = own.unionByName(boosted).groupBy("qid", "id", "ord").agg(F.sum("score").alias("score"))
+    return own.unionByName(boosted).groupBy("qid", "id", "ord").agg(F.sum("score").alias("score"))
+
+
+def best(scored: DataFrame, own: DataFrame | None, k: int) -> DataFrame:
+    """The best ``k`` above the floor; own cards go first among equals."""
+    scored = scored.withColumn("own", F.lit(1))
+    if own is not None:
         scored = scored.unionByName(own.withColumn("own", F.lit(0)))
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "own", "ord")
     return (

@@ -870,6 +870,7 @@ qt AS (SELECT qid, unnest({terms('question')}) AS w FROM (SELECT {derive.QUESTIO
 bm AS (SELECT qid, id, ord, sum(ln((n - df + 5e-1) / (df + 5e-1) + 1e0) * (tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * (dl / al))))) AS score
     FROM qt JOIN tfc USING (w) JOIN dfc USING (w) CROSS JOIN size GROUP BY ALL)"""
 ORACLES["bm25_top3"] = f"""WITH {BM25} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, ord) AS rank, id, round(score, 6) AS score FROM bm WHERE score >= 1 QUALIFY rank <= 3"""
+ORACLES["bm25_top3_indexed"] = ORACLES["bm25_top3"]
 
 # ---------------------------------------------------------------------------
 # Cards and streams

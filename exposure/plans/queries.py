@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from exposure.functions import hosts
 from exposure.functions.basics import settle
 from exposure.operators import (
-    conversations, dashboard, destinations, emails, evidence, identity, narrative, payloads, pii,
+    card_index, conversations, dashboard, destinations, emails, evidence, identity, narrative, payloads, pii,
     retrieval, reviews, risk, urls,
 )
 from exposure.plans import derive
@@ -728,6 +728,15 @@ def bm25_top3(spark, sf):
     return df.withColumn("score", F.round("score", 6))
 
 
+@query
+def bm25_top3_indexed(spark, sf):
+    """From a stored index whose blocks are opened only if they can matter"""
+    name = f"cards_{uuid.uuid4().hex}"
+    card_index.write_index(derive.cards(spark, sf), name)
+    df = card_index.topk(derive.questions(spark, sf), card_index.read_index(spark, name))
+    return df.withColumn("score", F.round("score", 6))
+
+
 @query
 def assistant_answers(spark, sf):
     """Personal questions see the device's own cards"""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from exposure import dims
 from exposure.functions import hosts
-from exposure.operators import conversations, destinations, emails, evidence, payloads, retrieval, reviews, urls
+from exposure.operators import card_index, conversations, destinations, emails, evidence, payloads, retrieval, reviews, urls
 from exposure.sources import tables
 
 NOW = F.lit("2024-02-05 12:00:00").cast("timestamp")
@@ -266,6 +266,38 @@ def test_bm25_equals_plain_formula(spark):
     assert got == want
 
 
+def test_indexed_topk_equals_the_full_one_and_opens_few_blocks(spark):
+    """Own cards, ties and words in no card included; of frequent words hardly a block is opened."""
+    rng = random.Random(5)
+    common, rare = ["payment", "account", "bank", "alert"], [f"rare{i}" for i in range(120)]
+    body = lambda i: " ".join(rng.choices(common, k=rng.randrange(3, 40)) + rng.choices(rare, k=rng.randrange(0, 3)))
+    card = "id string, ord int, title string, tags array<string>, summary string, body string"
+    rows = [(f"c{i}", i, "", [], "", body(i)) for i in range(3000)]
+    rows += [(f"same{i}", 3000 + i, "", [], "", "rare1 rare2 bank") for i in range(5)]
+    cards = spark.createDataFrame(rows, card)
+    asked = [(i, f"d{i % 3}", " ".join(rng.sample(rare, 2) + rng.sample(common, 3)) + (" my" if i % 4 == 0 else "")) for i in range(40)]
+    asked += [(97, "d1", "rare1 rare2 bank"), (98, "d1", "nothing like it"), (99, "d2", "payment account bank alert")]
+    qs = spark.createDataFrame(asked, "qid long, device_id string, question string")
+    own = spark.createDataFrame([(f"d{i}", f"own{i}", 0, "", [], "", "bank rare3 rare4") for i in range(2)], "device_id string, " + card)
+    for t in ("postings", "blocks", "sizes"):
+        spark.sql(f"DROP TABLE IF EXISTS cards_in_test_{t}")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    card_index.write_index(cards, "cards_in_test", parts=4, buckets=8)
+    try:
+        index = card_index.read_index(spark, "cards_in_test")
+        shown = lambda df: sorted((r.qid, r.rank, r.id, round(r.score, 6)) for r in df.collect())
+        for mine in (None, own):
+            assert shown(card_index.topk(qs, index, mine)) == shown(retrieval.bm25_topk(qs, cards, mine))
+        _, wanted, _ = retrieval.question_terms(qs.filter("qid < 97"), None, "qid")
+        opened = card_index.opened_blocks(card_index._weighted(wanted, index), index).filter("essential")
+        whole = wanted.join(index.postings, "term").count()
+        assert opened.agg(F.sum("docs")).first()[0] < whole / 10
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+        for t in ("postings", "blocks", "sizes"):
+            spark.sql(f"DROP TABLE IF EXISTS cards_in_test_{t}")
+
+
 def told(spark):
     """Two devices as the narrative leaves them, the second with nothing worth doing."""
     best = "struct<points:int,todo:string>"
