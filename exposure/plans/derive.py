@@ -228,6 +228,16 @@ ALL_SECRETS = """
     event_id AS id, concat('dev-', user_id) AS device_id, concat('pw', event_id * 2) AS secret
 """
 
+TYPED = """
+    CAST(user_id AS STRING) AS device_id,
+    event_type AS field_id,
+    CASE WHEN event_id % 9 = 8 THEN 'password' ELSE 'text' END AS field_type,
+    concat('https://site', user_id % 20, '.example') AS site_origin,
+    ts,
+    CASE event_id % 4 WHEN 0 THEN ' hi ' WHEN 1 THEN concat('write to user', user_id, '@example.com')
+        WHEN 2 THEN concat('card 4111 1111 1111 1111 for order ', event_id) ELSE 'nothing to see here' END AS text
+"""
+
 CARDS = """
     CAST(doc_id AS STRING) AS id, doc_id AS ord, source AS title, lang AS summary, text AS body
 """

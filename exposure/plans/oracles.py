@@ -893,6 +893,18 @@ HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM
 ORACLES["stream_incremental_score"] = f"""WITH p AS (SELECT * FROM (SELECT {derive.PII_EVENTS} FROM events) WHERE occurred_at >= TIMESTAMP '2024-01-06' ),
 s AS (SELECT device_id, sum({PII_W} * pow(5e-1, {age('occurred_at', "TIMESTAMP '2024-02-06'")} / 7e0)) AS p FROM p GROUP BY 1)
 SELECT device_id, {curve('p')} AS privacy FROM s"""
+ORACLES["stream_score_from_state"] = ORACLES["stream_incremental_score"]
+#: a burst is left out if the field's burst before it held the same text, less than a week before
+ORACLES["stream_typed_findings"] = f"""WITH e AS (SELECT * FROM (SELECT {derive.TYPED} FROM events) WHERE field_type <> 'password'),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY device_id, field_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM e),
+s AS (SELECT *, sum(b) OVER (PARTITION BY device_id, field_id ORDER BY ts) AS grp FROM g),
+burst AS (SELECT device_id, field_id, max(ts) AS ts, arg_max(text, ts) AS text, any_value(site_origin) AS site_origin FROM s GROUP BY device_id, field_id, grp),
+told AS (SELECT *, row_number() OVER (ORDER BY device_id, field_id, ts) AS doc_id FROM burst
+    QUALIFY (lag(text) OVER w = text AND ts - lag(ts) OVER w < INTERVAL 7 DAY) IS NOT TRUE WINDOW w AS (PARTITION BY device_id, field_id ORDER BY ts)),
+{findings("SELECT * FROM told WHERE length(trim(text)) >= 6")}
+SELECT device_id, site_origin, epoch_us(ts) AS occurred_at, pii_type, masked_preview FROM finding JOIN told USING (doc_id)"""
+ORACLES["scores_from_day_sums"] = f"""WITH r AS ({ORACLES["risk_overall"]}), x AS ({DEVICE} SELECT device_id FROM pii UNION SELECT device_id FROM sc)
+SELECT device_id, privacy, browsing FROM r WHERE device_id IN (SELECT device_id FROM x)"""
 
 ORACLES["stored_dashboard"] = f"""WITH d AS ({ORACLES["dashboard_summary"]})
 SELECT device_id, overall, risk_level, privacy, browsing, identity, lever, total_pii_events, total_sites_flagged FROM d"""

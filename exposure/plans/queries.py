@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from exposure.functions import hosts
 from exposure.functions.basics import settle
 from exposure.operators import (
-    card_index, conversations, dashboard, destinations, emails, evidence, identity, narrative, payloads, pii,
+    card_index, conversations, dashboard, day_sums, destinations, emails, evidence, identity, narrative, payloads, pii,
     retrieval, reviews, risk, urls,
 )
 from exposure.plans import derive
@@ -794,6 +794,19 @@ def stored_dashboard(spark, sf):
     return df.select("device_id", "overall", "risk_level", "privacy", "browsing", "identity", "lever", "total_pii_events", "total_sites_flagged")
 
 
+@query
+def scores_from_day_sums(spark, sf):
+    """K3, K5: events stored, days summed once, the score read from the sums"""
+    base = scratch(spark)
+    rows = {"pii": derive.pii_events(spark, sf), "site": derive.site_checks(spark, sf)}
+    paths = {kind: f"{base}/{kind}_events" for kind in rows}
+    for kind, df in rows.items():
+        tables.append_rows(df, paths[kind], day_sums.KINDS[kind], spread=1)
+    day_sums.start(spark, f"{base}/sums")
+    day_sums.refresh(spark, f"{base}/sums", paths)
+    return day_sums.scores(spark, f"{base}/sums", paths, derive.now())
+
+
 @query
 def scores_stored(spark, sf):
     """Score snapshots are stored and read back"""
@@ -889,6 +902,28 @@ def stream_debounced(spark, sf):
     return _drain(spark, streams.debounce(typed, gap="10 minutes", late="1 minute"))
 
 
+@query
+def stream_typed_findings(spark, sf):
+    """Typed states rest, pass the length gate, are scanned and stored"""
+    base, before = scratch(spark), spark.conf.get(streams.STATE_STORE[0])
+    typed = _event_stream(spark, sf).selectExpr(*derive._columns(derive.TYPED))
+    end = spark.range(1).selectExpr("'' AS device_id", "'' AS field_id", "'text' AS field_type", "timestamp'2200-01-01' AS ts")
+    end.write.parquet(f"{base}/end")
+    ended = typed.unionByName(spark.readStream.schema(end.schema).parquet(f"{base}/end"), allowMissingColumns=True)
+    spark.conf.set(*streams.STATE_STORE)
+    try:
+        q = (
+            streams.typed_findings(ended, gap_ms=21_600_000, late="1 minute", forget_minutes=10_080).writeStream
+            .option("checkpointLocation", f"{base}/check")
+            .foreachBatch(lambda batch, i: streams.store_findings(batch, i, f"{base}/out"))
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        spark.conf.set(streams.STATE_STORE[0], before)
+    return spark.read.parquet(f"{base}/out").select("device_id", "site_origin", "occurred_at", "pii_type", "masked_preview")
+
+
 @query
 def stream_settled_chats(spark, sf):
     """Chats scored once quiet"""
@@ -952,3 +987,17 @@ def stream_incremental_score(spark, sf):
     days = spark.read.parquet(path).groupBy("device_id", "day_end").agg(F.max_by("penalty", "batch").alias("penalty"))
     at = F.lit("2024-02-06 00:00:00").cast("timestamp")
     return streams.score_from_days(days, at).select("device_id", "privacy")
+
+
+@query
+def stream_score_from_state(spark, sf):
+    """Day sums read from the state store, which does not grow with batches"""
+    base = scratch(spark)
+    ev = _event_stream(spark, sf).selectExpr(*derive._columns(derive.PII_EVENTS))
+    q = (
+        streams.daily_penalties(ev).writeStream.format("noop").outputMode("update")
+        .option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    at = F.lit("2024-02-06 00:00:00").cast("timestamp")
+    return streams.score_from_days(streams.days_in_state(spark, f"{base}/check"), at).select("device_id", "privacy")

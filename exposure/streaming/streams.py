@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,6 +33,88 @@ def debounce(typed: DataFrame, gap: str = "250 milliseconds", late: str = "10 se
     )
 
 
+# Fields that are never read, and the shortest text that is scanned.
+NEVER_READ = ("password", "hidden", "file", "submit", "button", "checkbox", "radio")
+SHORTEST = 6
+
+
+class Typing(StatefulProcessor):
+    """The last text of each burst of typing, unless the field last held the same.
+
+    A burst ends when the watermark has passed its last row by the gap.  Of rows that the watermark
+    has passed, only the last can still matter, so what waits is that one and what may be out of order.
+    The field's last text is kept as a digest, and forgotten when the field has been silent.
+    """
+
+    def __init__(self, gap_us: int, forget_us: int) -> None:
+        self.gap_us, self.forget_us = gap_us, forget_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, text string, site_origin string")
+        self.last = handle.getValueState("last", "us long, digest string")
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        fresh = [(r["us"], r["text"], r["site_origin"]) for r in rows if r["us"] is not None and r["us"] >= passed]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(us for us, _, _ in fresh) + self.gap_us)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = 1000 * timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] or "", r[2] or "")) if self.waiting.exists() else []
+        last = self.last.get() if self.last.exists() else None
+        left, told = [], []
+        for i, (us, text, origin) in enumerate(held):
+            more = i + 1 < len(held) and held[i + 1][0] < us + self.gap_us
+            if us >= passed or (not more and us + self.gap_us > passed):
+                left.append((us, text, origin))
+            elif not more:
+                digest = sha256((text or "").encode()).hexdigest()
+                if last is None or last[1] != digest or us >= last[0] + self.forget_us:
+                    told.append(Row(device_id=key[0], field_id=key[1], us=us, text=text, site_origin=origin))
+                last = (us, digest)
+                self.last.update(last)
+                self._wake(us + self.forget_us)
+        if left:
+            self.waiting.put(left)
+            self._wake(left[0][0] + self.gap_us)
+        elif held:
+            self.waiting.clear()
+        elif last is not None and passed >= last[0] + self.forget_us:
+            self.last.clear()
+        return iter(told)
+
+
+def typed_findings(
+    typed: DataFrame, gap_ms: int = 250, late: str = "10 seconds", forget_minutes: int = 60, shortest: int = SHORTEST,
+) -> DataFrame:
+    """What is found in typed fields: ``typed`` has ``device_id, field_id, field_type, site_origin, ts, text``.
+
+    Fields of the types ``NEVER_READ`` are left out.  A field's text is judged once it rests for the gap and
+    differs from what was judged last.  A text shorter than ``shortest`` gives a row with ``scanned`` false
+    and no findings.  The session needs the state store ``STATE_STORE``.
+    """
+    secret = F.coalesce(F.lower("field_type").isin(*NEVER_READ), F.lit(False))
+    rows = typed.filter(~secret).withWatermark("ts", late).select(
+        "device_id", "field_id", "ts", F.unix_micros("ts").alias("us"), "text", "site_origin")
+    rested = rows.groupBy("device_id", "field_id").transformWithState(
+        Typing(gap_ms * 1000, forget_minutes * 60_000_000),
+        "device_id string, field_id string, us long, text string, site_origin string", "Append", "EventTime",
+    )
+    scanned = F.length(py_strip(F.coalesce("text", F.lit("")))) >= shortest
+    gated = rested.select(
+        "device_id", "field_id", F.timestamp_micros("us").alias("occurred_at"), "site_origin",
+        F.lit("text").alias("field_kind"), scanned.alias("scanned"), F.when(scanned, F.col("text")).alias("text"),
+    )
+    return live_findings(gated)
+
+
 def settled_conversations(
     messages: DataFrame, gap: str = "2500 milliseconds", late: str = "1 minute", keep: int | None = None,
 ) -> DataFrame:
@@ -180,3 +263,16 @@ def score_from_days(days: DataFrame, now: Column) -> DataFrame:
     return live.groupBy("device_id").agg(
         F.sum(F.col("penalty") * F.pow(F.lit(0.5), age / dims.HALF_LIFE_DAYS)).alias("penalty")
     ).withColumn("privacy", curve(F.col("penalty")))
+
+
+def days_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The day rows of :func:`daily_penalties` as its query's state store holds them.
+
+    No batch leaves files to be merged: the store keeps one row per device and day that the
+    watermark has not passed, however many batches there were.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        F.col("key.device_id"), F.col("key.window.end").alias("day_end"),
+        F.col("value.sum").alias("penalty"), F.col("value.count").alias("events"),
+    )

@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from exposure.operators import dashboard, identity, narrative, risk
-from exposure.sources import corpora
+from exposure.operators import dashboard, day_sums, identity, narrative, risk
+from exposure.sources import corpora, tables
 from exposure.streaming import streams
 
 NOW = dt.datetime(2024, 2, 5, 12)
@@ -219,6 +219,83 @@ def test_stream_debounce_keeps_last_state(spark, tmp_path):
     assert sorted(r.text for r in out.collect()) == ["ab", "abc"]
 
 
+TYPED = "device_id string, field_id string, field_type string, site_origin string, ts timestamp, text string"
+
+
+def typing(*rows):
+    return [("d", field, kind, "https://a.example", NOW + dt.timedelta(milliseconds=at), text) for at, field, kind, text in rows]
+
+
+def test_typed_fields_rest_pass_the_gate_and_are_scanned(spark, tmp_path, timers):
+    parts = [
+        typing((0, "f", "text", "a"), (100, "f", "text", "x@mail.example"), (0, "g", "password", "4111 1111 1111 1111"), (0, "h", "text", " hi  ")),
+        typing((5000, "f", "text", "x@mail.example"), (9000, "f", "text", "y@mail.example"), (4700, "f", "text", "x@mail")),  # one late
+        typing((60_000, "f", "text", "four"), (61_000, "f", "text", "y@mail.example"), (60_000, "h", "text", None)),
+        typing((10_000_000, "f", "text", "y@mail.example")), typing((90_000_000, "z", "text", "far ahead")), typing((99_000_000, "z", "text", "")),
+    ]
+    out = run_stream(spark, tmp_path, parts, TYPED, streams.typed_findings).filter("field_id <> 'z'")
+    at = lambda r: round((r.occurred_at - NOW).total_seconds() * 1000)
+    got = sorted((r.field_id, at(r), r.scanned, [f.v if "v" in f else f.pii_type for f in r.findings]) for r in out.collect())
+    # 4700 is rested by 5000 and differs; 5000 holds another text again; 61000 repeats 9000 but for "four" between them
+    assert [(f, t, s) for f, t, s, _ in got] == [
+        ("f", 100, True), ("f", 4700, True), ("f", 5000, True), ("f", 9000, True), ("f", 60_000, False), ("f", 61_000, True),
+        ("f", 10_000_000, True), ("h", 0, False),  # an hour later the same text counts again; NULL and blanks are one text
+        ("h", 60_000, False),
+    ]
+    assert [bool(x) for *_, x in got] == [True, False, True, True, False, True, True, False, False]
+    one = run_stream(spark, tmp_path, [sum(parts[:4], []), *parts[4:]], TYPED, streams.typed_findings, "one").filter("field_id <> 'z'")
+    assert sorted((r.field_id, at(r)) for r in one.collect()) == [(f, t) for f, t, *_ in got]
+    state = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "c"))
+    assert "f" not in {r.key.field_id for r in state.select("key").collect()}  # a silent field leaves no state
+
+
+def test_day_sums_live_in_the_state_store(spark, tmp_path):
+    """Read from the state, whatever the number of batches; the score is that of the batch job."""
+    rng = random.Random(8)
+    rows = [(i, f"d{i % 3}", NOW.replace(hour=0) - dt.timedelta(days=rng.uniform(0, 29)), "a", rng.choice(["low", "high"]), "none", 0.5) for i in range(90)]
+    parts = [rows[i::6] for i in range(6)]
+    run_stream(spark, tmp_path, parts, EVENT, streams.daily_penalties)
+    days = streams.days_in_state(spark, str(tmp_path / "c"))
+    assert days.agg({"events": "sum"}).first()[0] == 90
+    assert days.groupBy("device_id", "day_end").count().filter("count > 1").isEmpty()
+    now = F.lit(str(NOW.replace(hour=0))).cast("timestamp")
+    got = {r.device_id: r.privacy for r in streams.score_from_days(days, now).collect()}
+    e, c, i = frames(spark, events=rows)
+    assert got == {r.device_id: r.privacy for r in risk.risk_scores(e, c, i, now).collect()}
+
+
+def test_day_sums_give_the_full_scores_and_read_changed_days_only(spark, tmp_path):
+    rng = random.Random(9)
+    data = sample(rng, 150)
+    midnight = NOW.replace(hour=0)
+    data["events"] += [(900, "d1", midnight - dt.timedelta(days=30), "a", "critical", "none", 1.0), (901, "d2", midnight, "a", "high", "none", 1.0)]
+    data["checks"] += [(900, "d1", midnight - dt.timedelta(days=30), "edge.example", "dangerous"), (901, "gone", ago(200), "x.example", "dangerous")]
+    e, c, i = frames(spark, events=data["events"], checks=data["checks"])
+    paths, base = {k: str(tmp_path / k) for k in day_sums.KINDS}, str(tmp_path / "sums")
+    day_sums.start(spark, base)
+    times = [F.lit(str(t)).cast("timestamp") for t in (NOW, midnight, NOW - dt.timedelta(days=2))]
+
+    def add(events, checks):
+        tables.append_rows(events, paths["pii"], tables.PII_EVENTS, spread=2)
+        tables.append_rows(checks, paths["site"], tables.SITE_CHECKS, spread=2)
+        return day_sums.refresh(spark, base, paths)
+
+    def same(e, c):
+        for now in times:
+            got = {r.device_id: (r.privacy, r.browsing) for r in day_sums.scores(spark, base, paths, now).collect()}
+            assert got == {r.device_id: (r.privacy, r.browsing) for r in risk.risk_scores(e, c, i, now).collect()}
+        as_rows = lambda df: sorted((r.device_id, r.captured_at, r.privacy, r.browsing, r.overall) for r in df.collect())
+        assert as_rows(day_sums.replay_daily(spark, base, midnight.date())) == as_rows(risk.replay_daily(e, c, times[1]))
+
+    first = add(e, c)
+    assert len(first["pii"]) == len({r[2].date() for r in data["events"]})
+    same(e, c)
+    assert day_sums.refresh(spark, base, paths) == {"pii": [], "site": []}
+    more_e, more_c, _ = frames(spark, events=[(950, "d0", ago(3), "a", "critical", "none", 1.0)], checks=[(950, "new", ago(5), "y.example", "suspicious")])
+    assert add(more_e, more_c) == {"pii": [ago(3).date()], "site": [ago(5).date()]}
+    same(e.union(more_e), c.union(more_c))
+
+
 def test_cards(spark):
     files = spark.createDataFrame([("/x/my_card.md", "---\nid: k1\ntitle: T\ntags: [a, b]\nsummary: S\n---\nBody\n\nmore\n"), ("/x/bare_file.md", "just text")], "path string, text string")
     got = [tuple(r) for r in corpora.parse_cards(files).collect()]
