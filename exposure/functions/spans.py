@@ -73,28 +73,23 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
 
     With ``group=1`` the span is that of the group, which must end the match.
     """
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.split(text, pattern, -1).alias("g"),
-    )
+    def placed(found: Column) -> Column:
+        return bind(F.split(text, pattern, -1), lambda gaps: _placed(found, gaps, pattern, group))
 
-    def placed(p: Column) -> Column:
-        widths = F.zip_with(
-            p["m"], F.slice(p["g"], F.lit(1), F.size(p["m"])), lambda m, g: F.length(m) + F.length(g)
-        )
+    # a text without a match is not searched a second time for its gaps
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return bind(matches, lambda found: F.when(F.size(found) == 0, no_spans()).otherwise(placed(found).cast(SPANS)))
 
-        def span(before, m: Column, i: Column) -> Column:
-            stop = before(i) + F.length(F.get(p["g"], i)) + F.length(m)
-            value = m if group == 0 else F.regexp_extract(m, pattern, group)
-            return F.struct(
-                (stop - F.length(value)).alias("s"), stop.alias("e"), value.alias("v")
-            )
 
-        return running_starts(
-            widths, lambda before: F.transform(p["m"], lambda m, i: span(before, m, i))
-        )
+def _placed(found: Column, gaps: Column, pattern: str, group: int) -> Column:
+    widths = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
+
+    def span(before, m: Column, i: Column) -> Column:
+        stop = before(i) + F.length(F.get(gaps, i)) + F.length(m)
+        value = m if group == 0 else F.regexp_extract(m, pattern, group)
+        return F.struct((stop - F.length(value)).alias("s"), stop.alias("e"), value.alias("v"))
 
-    return bind(found, placed).cast(SPANS)
+    return running_starts(widths, lambda before: F.transform(found, lambda m, i: span(before, m, i)))
 
 
 def guarded_spans(text: Column, guard: Column, pattern: str, group: int = 0) -> Column:

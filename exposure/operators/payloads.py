@@ -214,12 +214,13 @@ def _linked_risk(known: Column, trust: Column, hits: Column) -> Column:
     return F.when(known, F.greatest(F.lit(100) - trust, local)).otherwise(local)
 
 
-def _worst_links(parsed: DataFrame, registry: DataFrame | None, threats: DataFrame | None, loaded: Column | None) -> DataFrame:
+def _worst_links(several: DataFrame, registry: DataFrame | None, threats: DataFrame | None, loaded: Column | None) -> DataFrame:
     """``(_key, _worst)``: of payloads with several links, the link of most risk once all are looked up.
 
-    Equal risks go to the host that looks worse by itself, then to the first link.
+    Equal risks go to the host that looks worse by itself, then to the first link.  A payload that
+    occurs often is looked up once.
     """
-    links = parsed.filter("url IS NULL AND size(embedded_urls) > 1").select(
+    links = several.select("_key", "_now", "_loaded", "embedded_urls").dropDuplicates(["_key"]).select(
         "_key", "_now", "_loaded", F.posexplode("embedded_urls").alias("_place", "_link")
     )
     loaded = None if loaded is None else F.col("_loaded")
@@ -234,6 +235,27 @@ def _worst_links(parsed: DataFrame, registry: DataFrame | None, threats: DataFra
     return scored.groupBy("_key").agg(F.max(ranked).alias("top")).select("_key", F.col("top.link").alias("_worst"))
 
 
+def _with_targets(
+    payloads: DataFrame, payload_col: str, now: Column, registry: DataFrame | None, threats: DataFrame | None, loaded: Column | None
+) -> DataFrame:
+    """Parsed payloads and ``_target``, the link to judge.
+
+    Only payloads that spell two addresses or more can hold several links.  They alone are exploded,
+    looked up and joined; all others pass through without a shuffle.
+    """
+    first_link = first(F.col("embedded_urls"))
+    spelled = F.regexp_count(F.coalesce(F.col(payload_col), F.lit("")), F.lit("(?i)https?://"))
+    single = parse_payloads(payloads.filter(spelled < 2), payload_col).withColumn("_target", F.coalesce("url", first_link))
+    many = parse_payloads(payloads.filter(spelled >= 2), payload_col)
+    many = many.withColumns({"_now": now, "_loaded": F.lit(None).cast("boolean") if loaded is None else loaded})
+    # a struct as JSON names its fields, so a NULL in one is no value of another
+    named = F.to_json(F.struct(F.unix_micros("_now").alias("now"), F.col("_loaded").alias("loaded"), F.col(payload_col).alias("payload")))
+    many = many.withColumn("_key", F.sha2(named, 256))
+    worst = _worst_links(many.filter("url IS NULL AND size(embedded_urls) > 1"), registry, threats, loaded)
+    many = many.join(worst, "_key", "left").withColumn("_target", F.coalesce("url", "_worst", first_link))
+    return many.drop("_key", "_now", "_loaded", "_worst").unionByName(single)
+
+
 def _row(signal: str, detail, weight: str, evidence=None) -> Column:
     detail = detail if isinstance(detail, Column) else F.lit(detail)
     evidence = evidence if isinstance(evidence, Column) else F.lit(evidence)
@@ -259,14 +281,10 @@ def score_payloads(
     registry: DataFrame | None = None, threats: DataFrame | None = None, loaded: Column | None = None,
 ) -> DataFrame:
     """Score, verdict, confidence and signals of each payload."""
-    df = parse_payloads(payloads, payload_col)
     kind, upi = F.col("kind"), F.col("upi")
     if threats is not None and loaded is None:
         loaded = F.lit(True)
-    df = df.withColumns({"_now": now, "_loaded": F.lit(None).cast("boolean") if loaded is None else loaded})
-    df = df.withColumn("_key", F.md5(F.concat_ws("|", F.col("_now").cast("string"), F.col("_loaded").cast("string"), payload_col).cast("binary")))
-    df = df.join(_worst_links(df, registry, threats, loaded), "_key", "left").drop("_key", "_now", "_loaded")
-    df = df.withColumn("_target", F.coalesce("url", "_worst", first(F.col("embedded_urls")))).drop("_worst")
+    df = _with_targets(payloads, payload_col, now, registry, threats, loaded)
     df = score_urls(df, now, registry, threats, loaded, url_col="_target")
     site = {c: f"site_{c}" for c in ("verdict", "trust_score", "confidence", "reasons")}
     df = df.withColumnsRenamed(site).drop("summary", "brand", "lures", "url_key", "threats")

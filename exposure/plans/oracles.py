@@ -900,7 +900,7 @@ g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY device_id, field_id OR
 s AS (SELECT *, sum(b) OVER (PARTITION BY device_id, field_id ORDER BY ts) AS grp FROM g),
 burst AS (SELECT device_id, field_id, max(ts) AS ts, arg_max(text, ts) AS text, any_value(site_origin) AS site_origin FROM s GROUP BY device_id, field_id, grp),
 told AS (SELECT *, row_number() OVER (ORDER BY device_id, field_id, ts) AS doc_id FROM burst
-    QUALIFY (lag(text) OVER w = text AND ts - lag(ts) OVER w < INTERVAL 7 DAY) IS NOT TRUE WINDOW w AS (PARTITION BY device_id, field_id ORDER BY ts)),
+    WINDOW w AS (PARTITION BY device_id, field_id ORDER BY ts) QUALIFY (lag(text) OVER w = text AND ts - lag(ts) OVER w < INTERVAL 7 DAY) IS NOT TRUE),
 {findings("SELECT * FROM told WHERE length(trim(text)) >= 6")}
 SELECT device_id, site_origin, epoch_us(ts) AS occurred_at, pii_type, masked_preview FROM finding JOIN told USING (doc_id)"""
 ORACLES["scores_from_day_sums"] = f"""WITH r AS ({ORACLES["risk_overall"]}), x AS ({DEVICE} SELECT device_id FROM pii UNION SELECT device_id FROM sc)

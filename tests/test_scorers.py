@@ -391,6 +391,20 @@ def test_every_link_of_a_payload_is_looked_up(spark):
     assert {r.id: r.domain for r in some}[4] == "plain.example" and {r.id: r.risk_score for r in some}[1] < 98
 
 
+def test_links_of_equal_and_of_null_payloads(spark):
+    """Each payload gets its own worst link, whatever its neighbours' columns join to."""
+    bad = spark.createDataFrame([("http://b.example/p", "MALWARE")], "url string, threat string")
+    two = "see http://a.example/q and http://b.example/p"
+    rows = [(1, two, True), (2, two, None), (3, f"true|{two}", None), (4, None, True), (5, "http://a.example/?u=http://b.example/p", True), (6, two, True)]
+    df = spark.createDataFrame(rows, "id int, payload string, loaded boolean")
+    scored = payloads.score_payloads(df, NOW, threats=bad, loaded=F.col("loaded"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.verdict, r.domain) for r in scored.collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[1] == got[6] and got[1][1] == "b.example"
+    assert got[2] == got[3] and got[4][1] is None and got[5][1] == "a.example"
+    assert "regexp_count" in plan.lower() or "regexp_extract_all" in plan.lower()
+
+
 def test_verdicts_are_reused_until_they_end(spark, tmp_path):
     """A second run scores new and expired keys only and tells the same."""
     path, start = str(tmp_path / "ledger"), F.lit("2024-02-05 22:00:00").cast("timestamp")
