@@ -5,8 +5,8 @@ per blob, rule and rule version that has been scanned, with what was found, also
 A run scans only pairs of blob and rule version that the ledger lacks, one text per blob,
 appends them, and joins the findings back to all paths and versions that hold the blob.
 
-Blobs are counted from narrow rows with partial aggregation; one owner per blob brings the text,
-so a blob with very many copies is scanned once and never gathers in one task.  Joining back
+Texts are reduced to one per blob with partial aggregation, so a blob with very many copies sends one
+text per map task, is scanned once, and never gathers in one task.  Joining back
 is a join on the blob, whose skew Spark splits.  The ledger is a written table.
 
 A NULL text is an empty blob.  Repeated rows are paths of their own with the same findings.
@@ -71,25 +71,32 @@ def _found(rule: Rule, rank: int, text: Column) -> Column:
 def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
-        F.col(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("row"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")
+        F.col(id_col).alias("doc"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")
     )
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(blob, row, todo)``: blobs with rule versions that the ledger lacks, and a row that holds them."""
-    blobs = _versions(docs, id_col, text_col).groupBy("blob").agg(F.min("row").alias("row"))
+    """``(blob, todo)``: blobs with rule versions that the ledger lacks."""
+    blobs = _versions(docs, id_col, text_col).select("blob").distinct()
     every = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        return blobs.select("blob", "row", every.alias("todo"))
+        return blobs.select("blob", every.alias("todo"))
     seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
     left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").select("blob", "row", left.alias("todo")).filter(F.size("todo") > 0)
+    return blobs.join(seen, "blob", "left").select("blob", left.alias("todo")).filter(F.size("todo") > 0)
+
+
+def texts_to_scan(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(blob, text, todo)``: one text per blob that has something to do, however many rows hold it."""
+    texts = _versions(docs, id_col, text_col).select("blob", "text").dropDuplicates(["blob"])
+    if ledger is None:  # all is to do: no second look at the texts
+        return texts.withColumn("todo", F.array(*[F.lit(r.key) for r in rules]))
+    return texts.join(unseen(docs, ledger, rules, id_col, text_col), "blob")
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """New ledger rows ``(blob, rule, version, found)``."""
-    todo = unseen(docs, ledger, rules, id_col, text_col)
-    texts = _versions(docs, id_col, text_col).select("row", "text").join(todo, "row")
+    texts = texts_to_scan(docs, ledger, rules, id_col, text_col)
     scans = F.array(*[
         F.struct(
             F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"),
@@ -97,8 +104,9 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col:
         )
         for rank, r in enumerate(rules)
     ])
-    one = texts.select("blob", F.filter(scans, lambda s: s["found"].isNotNull()).alias("scans"))
-    return one.groupBy("blob").agg(F.first("scans").alias("scans")).select("blob", F.inline("scans"))
+    # the outer form is not filtered by the size of its array, which would scan twice
+    found = F.inline_outer(F.filter(scans, lambda s: s["found"].isNotNull()))
+    return texts.select("blob", found).filter("rule IS NOT NULL")
 
 
 def find_secrets(

@@ -111,6 +111,19 @@ def test_no_rows_and_repeated_rows(spark):
     assert pii_scan.find_pii(none).count() == 0 and secret_scan.find_secrets(none)[0].count() == 0
 
 
+def test_one_text_per_blob_is_scanned(spark):
+    """Copies without an id, repeated rows, and NULL with empty texts, first and with a ledger."""
+    hot = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("token=abcdefg").alias("text"))
+    more = spark.createDataFrame([(1, "token=abcdefg"), (1, "token=abcdefg"), (2, None), (2, None), (3, ""), (4, "plain")], "doc_id long, text string")
+    df = hot.union(more)
+    assert sorted(r.text for r in secret_scan.texts_to_scan(df, None).collect()) == ["", "plain", "token=abcdefg"]
+    _, book = secret_scan.find_secrets(more.filter("doc_id > 1"))
+    assert [r.text for r in secret_scan.texts_to_scan(df, book).collect()] == ["token=abcdefg"]
+    spans, whole = secret_scan.find_secrets(df, book)
+    assert spans.filter("size(spans) = 1").count() == 20_002 and spans.count() == 20_006
+    assert whole.count() == whole.select("blob", "rule", "version").distinct().count() == 3 * len(secret_scan.RULES)
+
+
 def test_accounts_before_words_and_context_across_matches(spark):
     de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
     texts = [f"{de} Please", "DE89370400440532013000 BIC COBADEFFXXX", f"{gb} {de} {gb}", f"é{de}.", f"{de}x", "ZZ22 3704 0044 0532 0130 00 NOW",
