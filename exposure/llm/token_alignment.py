@@ -15,15 +15,17 @@ or empty one.
 
 **Words.**  A blank between two characters that are not white space always starts a new token
 in both tokenizers (``Tokenizers.splits`` checks that the files promise it), so a text is the row of its words, and
-a word's groups do not depend on its neighbours.  Each task aligns a word once and looks it up after
-that; a long text is never encoded in one piece.  With other files whole texts are words.
+a word's groups do not depend on its neighbours.  A chunk (below) aligns a word once, and a worker remembers words that
+come again in columns, so that a word takes few bytes: one is let in at its second occurrence, and the longest unused go
+first.  A long text is never encoded in one piece.  With other files whole texts are words.
 
 **Counts of links.**  A task collects documents into chunks of some ``CHUNK_BYTES`` of text (a longer document
 is a chunk by itself) and numbers the distinct links of a chunk, so a pair of ids that occurs in every text is one row
 per chunk.  These rows are summed over the corpus, compared per id of B, and joined back
 to the chunks, where documents add them up.  The chunks are a written table: a task that runs again
-numbers them anew, but only one outcome is ever read.  No task holds more than a chunk and
-the rows of one id of B, of which there are at most as many as ids of A.
+numbers them anew, but only one outcome is ever read.  No task holds more than a chunk (of the groups
+as text only ``GROUPS_BYTES`` or one document's), the remembered words, and the rows of one id of B, of which there are at
+most as many as ids of A.
 
 Every input row gives a row; repeated rows count as often as they occur, and rows with NULL ids
 like others.  Extra columns are ignored.  No rows give no rows.  Both files are read by the driver (their size
@@ -37,7 +39,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -54,11 +56,15 @@ from exposure.llm.byte_bpe import shared_bytes, worker_copy
 from exposure.llm.shared import stored
 
 CHUNK_BYTES = 4_000_000
-#: words remembered by one Python worker before older ones go, and the length up to which they are
-REMEMBERED, SHORT_WORD = 100_000, 64
+#: text of groups that leaves a task at once
+GROUPS_BYTES = 2_000_000
+#: words remembered by one Python worker before half of them go, and the length up to which they are
+REMEMBERED, SHORT_WORD = 300_000, 64
+#: places (a power of two) for hashes of words met once; emptied when a quarter is taken
+MET = 1 << 23
 #: bytes of words that are encoded at once
 ENCODED_BYTES = 20_000
-_LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+_LONE_BLANK, _TWO_SPACES = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
 
 def byte_of_character() -> dict[str, int]:
@@ -71,14 +77,34 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Aligned(NamedTuple):
-    """One word: numbers of tokens, its groups as text, and its links ``a << 32 | b``."""
+class Words(NamedTuple):
+    """Aligned words in columns: numbers of tokens (of A -1 where a tokenizer does not spell the word), groups as text,
+    numbers of links, and the links ``a << 32 | b`` of all words one after the other."""
 
-    n_a: int
-    n_b: int
-    groups: str
+    n_a: np.ndarray
+    n_b: np.ndarray
+    groups: list[str]
+    n_links: np.ndarray
     links: np.ndarray
 
+    def take(self, rows: np.ndarray) -> Words:
+        n = self.n_links[rows]
+        links = self.links[ranges((np.cumsum(self.n_links) - self.n_links)[rows], n)]
+        return Words(self.n_a[rows], self.n_b[rows], [self.groups[i] for i in rows.tolist()], n, links)
+
+
+def joined(parts: list[Words]) -> Words:
+    none = np.zeros(0, np.int64)
+    n_a, n_b, n_links, links = (np.concatenate([none, *[p[k] for p in parts]]) for k in (0, 1, 3, 4))
+    return Words(n_a, n_b, list(chain.from_iterable(p.groups for p in parts)), n_links, links)
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` numbers from each ``first`` on, one range after the other."""
+    out = np.repeat(first - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
 
 class Tokenizers:
     """Both tokenizers, and the bytes of each of their tokens."""
@@ -99,8 +125,9 @@ class Tokenizers:
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         self.splits = self._splits(json.loads(a_raw), pieces)
-        self.known: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
+        self.row: dict[str, int] = {}  # of remembered words in the columns
+        self.known, self.used, self.chunks = joined([]), np.zeros(0, np.int64), 0
+        self.met, self.n_met = np.zeros(MET, bool), 0
         # ids as text with what may follow them: , | in A and , ; and the end of a word in B
         self.told = [f"{i}{mark}" for mark in ",|" for i in range(len(names))]
         self.told += [f"{i}{mark}" for mark in ",;\n" for i in range(len(pieces))]
@@ -114,40 +141,63 @@ class Tokenizers:
         return bool(plain and whole and same)
 
     def words(self, text: str) -> list[str]:
-        return _LONE_BLANK.split(text) if self.splits else [text]
-
-    def align(self, words: list[str]) -> list[Aligned | None]:
-        """Per word of a list without repeats; None if one of the tokenizers does not spell it."""
-        held = {w: x for w in words if (x := self.known.get(w) or self.older.get(w))}
-        fresh = [w for w in words if w not in held]
+        if not self.splits:
+            return [text]
+        if text[0] == " " or text[-1] == " " or _TWO_SPACES.search(text):
+            return _LONE_BLANK.split(text)
+        return text.split(" ")  # every blank is a lone one
+
+    def align(self, words: list[str], times: np.ndarray) -> Words:
+        """A list without repeats, and how often each word occurs."""
+        rows = np.fromiter(map(self.row.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        fresh = [words[i] for i in new.tolist()]
+        # words that begin and end with a character other than white space are encoded as one text, with blanks between
+        loose = np.array([not (self.splits and w and not w[0].isspace() and not w[-1].isspace()) for w in fresh], bool)
+        order = np.argsort(loose, kind="stable")
+        fresh, new, n_tight = [fresh[i] for i in order.tolist()], new[order], int((~loose).sum())
+        parts = [self.known]
         start = n = 0
         for i, word in enumerate(fresh):
             n += len(word)
-            if n >= ENCODED_BYTES or i + 1 == len(fresh):
-                held.update(self._aligned(fresh[start:i + 1]))
+            if n >= ENCODED_BYTES or i + 1 in (n_tight, len(fresh)):
+                some = fresh[start:i + 1]
+                parts.append((self._run(some) if i < n_tight else None) or self._one_by_one(some))
                 start, n = i + 1, 0
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        self.known.update((w, held[w]) for w in words if len(w) <= SHORT_WORD)
-        return [held[w] for w in words]
-
-    def _aligned(self, words: list[str]) -> Iterator[tuple[str, Aligned | None]]:
-        """Words that begin and end with a character other than white space are encoded as one text, with blanks between."""
-        tight = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if self.splits else []
-        told = self._run(tight) if tight else None
-        if told is None:
-            yield from self._one_by_one(words)
+        known = joined(parts)
+        rows[new] = len(self.used) + np.arange(len(new))
+        self._remember(known, fresh, times[new], rows)
+        return known.take(rows)
+
+    def _remember(self, known: Words, fresh: list[str], times: np.ndarray, rows: np.ndarray) -> None:
+        """Words met before go behind the remembered ones; when there are too many, half go."""
+        place = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (MET - 1)
+        again = (times > 1) | self.met[place]
+        self.n_met += len(place)
+        if self.n_met > MET // 4:
+            self.met[:], self.n_met = False, len(place)
+        self.met[place] = True
+        again &= np.fromiter(map(len, fresh), np.int64, len(fresh)) <= SHORT_WORD
+        n, self.chunks = len(self.used), self.chunks + 1
+        used = np.concatenate([self.used, again - 1])
+        used[rows] = np.where(used[rows] < 0, -1, self.chunks)
+        kept = np.flatnonzero(used >= 0)
+        words = chain(self.row, fresh)
+        if len(kept) > REMEMBERED:
+            kept = np.sort(kept[np.argsort(-used[kept], kind="stable")[:REMEMBERED // 2]])
+            at = np.full(len(used), -1)
+            at[kept] = np.arange(len(kept))
+            self.row = {w: i for w, i in zip(words, at.tolist()) if i >= 0}
         else:
-            yield from zip(tight, told)
-            if len(tight) < len(words):
-                yield from self._one_by_one([w for w in words if not w or w[0].isspace() or w[-1].isspace()])
+            self.row.update(zip((fresh[i] for i in np.flatnonzero(again).tolist()), count(n)))
+        self.known, self.used = known.take(kept), used[kept]
 
-    def _run(self, words: list[str]) -> Iterator[Aligned] | None:
+    def _run(self, words: list[str]) -> Words | None:
         text = " ".join(words)
         of_a = self.a.encode(" " + text, add_special_tokens=False)
         b, spans = _pieces(self.b.encode(text, return_type="serialized_proto"))
         a = of_a.ids
-        limits = np.cumsum([1 + len(w.encode()) for w in words])
+        limits = np.cumsum([1 + len(w) for w in words] if text.isascii() else [1 + len(w.encode()) for w in words])
         if not self._spelt(text, a, b):
             return None
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
@@ -156,23 +206,24 @@ class Tokenizers:
         a_spans = _byte_spans(of_a.offsets, " " + text)
         return self._matched(limits, a_ids, a_spans, np.diff(a_stop, prepend=0), b_ids, spans, np.diff(b_stop, prepend=0))
 
-    def _one_by_one(self, words: list[str]) -> Iterator[tuple[str, Aligned | None]]:
+    def _one_by_one(self, words: list[str]) -> Words:
         of_a = self.a.encode_batch([f" {w}" for w in words], add_special_tokens=False)
+        parts, none = [], np.zeros(1, np.int64)
         for word, x, y in zip(words, of_a, self.b.encode(words, return_type="serialized_proto", num_threads=1)):
             a, (b, spans) = x.ids, _pieces(y)
             if self._spelt(word, a, b):
                 a_spans = _byte_spans(x.offsets, " " + word)
                 limit = np.array([1 + len(word.encode())])
-                told = self._matched(limit, np.array(a, np.int64), a_spans, np.array([len(a)]), np.array(b, np.int64), spans, np.array([len(b)]))
-                yield word, next(told)
+                parts.append(self._matched(limit, np.array(a, np.int64), a_spans, np.array([len(a)]), np.array(b, np.int64), spans, np.array([len(b)])))
             else:
-                yield word, None
+                parts.append(Words(none - 1, none, [""], none, none[:0]))
+        return joined(parts)
 
     def _spelt(self, word: str, a: list[int], b: list[int]) -> bool:
         data = b" " + word.encode()
         return b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
 
-    def _matched(self, limits, a, a_spans, n_a, b, b_spans, n_b) -> Iterator[Aligned]:
+    def _matched(self, limits, a, a_spans, n_a, b, b_spans, n_b) -> Words:
         """Words one after the other, that end at the bytes ``limits``; ids, spans and numbers of tokens per word."""
         a_ends, b_ends = refined(a_spans, self.a_size[a]), refined(b_spans, self.b_size[b])
         ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -186,18 +237,17 @@ class Tokenizers:
         marks = np.concatenate([a + a_last * len(self.a_bytes), b + 2 * len(self.a_bytes) + (b_last + word_end * 1) * len(self.b_bytes)])
         groups = "".join(map(self.told.__getitem__, marks[order].tolist())).split("\n")
         links = a[a_last] << 32 | b[b_last]
-        stops = np.searchsorted(ends, limits, "right").tolist()
-        start = 0
-        for x, y, group, stop in zip(n_a.tolist(), n_b.tolist(), groups, stops):
-            yield Aligned(x, y, group, links[start:stop])
-            start = stop
+        n_links = np.diff(np.searchsorted(ends, limits, "right"), prepend=0)
+        return Words(n_a, n_b, groups[:len(limits)], n_links, links)
 
 
 def _pieces(proto: bytes) -> tuple[list[int], np.ndarray]:
     """Ids, and the byte spans in a blank and the text, of a sentencepiece result."""
     pieces = sentencepiece_pb2.SentencePieceText.FromString(proto).pieces
-    spans = np.array([[p.begin for p in pieces], [p.end for p in pieces]], np.int64).T + 1
-    spans[:1, 0] = 0  # the added blank belongs to the first token
+    spans = np.zeros((len(pieces), 2), np.int64)
+    spans[:, 1] = [p.end for p in pieces]
+    spans[:, 1] += 1
+    spans[1:, 0] = spans[:-1, 1]  # a piece begins where the last one ends; the added blank belongs to the first
     return [p.id for p in pieces], spans
 
 
@@ -253,36 +303,55 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
 def _chunk(both: Tokenizers, chunk: int, docs: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
     vocabulary: dict[str, int] = defaultdict(count().__next__)
     bodies = [np.fromiter(map(vocabulary.__getitem__, both.words(text) if text else ()), np.int64) for text in texts]
-    words = both.align(list(vocabulary))
-    spelt = np.array([w is not None for w in words], bool)
-    bodies = [x if spelt[x].all() else x[:0] for x in bodies]
-    sums = np.array([(w.n_a, w.n_b, len(w.links)) if w else (0, 0, 0) for w in words], np.int64).reshape(-1, 3)
-    told = [sums[x].sum(axis=0) for x in bodies]
-    of_word = [w.groups if w else "" for w in words]
-    groups = [";".join(map(of_word.__getitem__, x.tolist())) for x in bodies]
-    # links of words as places among the distinct ones of all words, then of documents
+    texts.clear()
+    of_doc = np.repeat(np.arange(len(bodies)), [len(x) for x in bodies])
     none = np.zeros(0, np.int64)
-    pairs, place = np.unique(np.concatenate([none, *[w.links for w in words if w]]), return_inverse=True)
-    n_links = sums[:, 2]
-    first = np.cumsum(n_links) - n_links
     every = np.concatenate([none, *bodies])
-    before = np.cumsum(n_links[every]) - n_links[every]
-    flat = place[np.repeat(first[every] - before, n_links[every]) + np.arange(n_links[every].sum())]
+    words = both.align(list(vocabulary), np.bincount(every, minlength=len(vocabulary)))
+    del vocabulary
+    unspelt = np.unique(of_doc[words.n_a[every] < 0])
+    if len(unspelt):
+        for i in unspelt.tolist():
+            bodies[i] = none
+        kept = ~np.isin(of_doc, unspelt)
+        every, of_doc = every[kept], of_doc[kept]
+    n = len(bodies)
+    n_a, n_b, n_links = (_sums(of_doc, x[every], n) for x in (words.n_a, words.n_b, words.n_links))
+    # links of words as places among the distinct ones of all words, then of documents
+    pairs, place = np.unique(words.links, return_inverse=True)
+    first = np.cumsum(words.n_links) - words.n_links
+    flat = place.astype(np.int32)[ranges(first[every], words.n_links[every])]
     counts = np.bincount(flat, minlength=len(pairs))
-    n = len(texts)
-    ends = np.concatenate([[0], np.cumsum([t[2] for t in told])]).astype(np.int32)
-    long, none = pa.list_(pa.int64()), pa.nulls(n, pa.list_(pa.int64()))
-    numbers = [pa.array([int(t[k]) for t in told], pa.int64()) for k in (0, 1, 2, 2)]
+    ends = np.concatenate([[0], np.cumsum(n_links)])
+    del place, every, of_doc
     names = ["doc", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "pairs", "counts"]
-    links = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays(
-        [docs, pa.array([chunk] * n, pa.int64()), *numbers, pa.array(groups, pa.string()), links, none, none], names=names)
+    long = pa.list_(pa.int64())
+    groups, size, start = [], 0, 0
+    for i, body in enumerate(bodies):
+        groups.append(";".join(map(words.groups.__getitem__, body.tolist())))
+        size += len(groups[-1])
+        if size >= GROUPS_BYTES or i + 1 == n:
+            some = slice(start, i + 1)
+            numbers = [pa.array(x[some]) for x in (n_a, n_b, n_links, n_links)]
+            at = (ends[start:i + 2] - ends[start]).astype(np.int32)
+            links = pa.ListArray.from_arrays(pa.array(at), pa.array(flat[ends[start]:ends[i + 1]]))
+            m = len(groups)
+            yield pa.RecordBatch.from_arrays(
+                [docs[start:i + 1], pa.array(np.full(m, chunk)), *numbers, pa.array(groups, pa.string()), links, pa.nulls(m, long), pa.nulls(m, long)],
+                names=names)
+            groups, size, start = [], 0, i + 1
     empty = [pa.nulls(1, docs.type), pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()),
              pa.nulls(1, pa.list_(pa.int32()))]
     yield pa.RecordBatch.from_arrays(
         [*empty, pa.array([pairs], long), pa.array([counts], long)], names=names)
 
 
+def _sums(of_doc: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """Per document, in whole numbers."""
+    ends = np.searchsorted(of_doc, np.arange(n), "right")
+    return np.diff(np.concatenate([[0], np.cumsum(numbers)])[ends], prepend=0)
+
+
 def pair_counts(held: DataFrame) -> DataFrame:
     """``(pair, n, best)``: links of each pair of ids in the corpus, and whether its id of B has none with more."""
     n = held.filter("pairs IS NOT NULL").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).filter("x.counts > 0")

@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -128,6 +130,45 @@ def test_op12_on_documents(spark):
     assert Counter(map(tuple, told)) == expected([d.doc_id for d in held], [d.text for d in held])
 
 
+@pytest.fixture()
+def tokenizers():
+    return token_alignment.Tokenizers(*(open(path, "rb").read() for path in token_alignment.default_paths()))
+
+
+def test_words_that_do_not_come_again_take_no_memory(tokenizers):
+    words = (f"{chr(97 + i % 26)}{i}" for i in range(60_000))
+    chunks = [[" ".join(next(words) for _ in range(200)) for _ in range(100)] for _ in range(3)]
+    tracemalloc.start()
+    try:
+        for n, texts in enumerate(chunks):
+            for batch in token_alignment._chunk(tokenizers, n, pa.array(range(100)), texts):
+                del batch
+        del chunks, texts
+        assert tracemalloc.get_traced_memory()[0] < 10_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_remembered_and_forgotten(tokenizers, monkeypatch):
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 40)
+    monkeypatch.setattr(token_alignment, "GROUPS_BYTES", 300)
+    rng = random.Random(5)
+    words = [w for t in odd_texts(60, seed=3) for w in t.split(" ")] + [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(300)] + [" ", "", "a  b c"]
+    told, places = [], []
+    for n in range(0, len(texts), 20):
+        some = list(texts[n:n + 20])
+        batches = list(token_alignment._chunk(tokenizers, n, pa.array(range(n, n + len(some))), some))
+        assert len(tokenizers.row) == len(tokenizers.used) <= 40
+        pairs = batches[-1]["pairs"][0].as_py()
+        rows = [r for b in batches[:-1] for r in b.to_pylist()]
+        told += [(r["groups"], r["n_a"], r["n_b"], [pairs[i] for i in r["links"]]) for r in rows]
+        places += [r["doc"] for r in rows]
+        assert batches[-1]["counts"][0].as_py() == [sum(r["links"].count(i) for r in rows) for i in range(len(pairs))]
+    want = [(g, *(x[0][2:] if x else (0, 0)), [a << 32 | b for a, b, *_ in x]) for g, x in aligned(texts)]
+    assert places == list(range(len(texts))) and told == want
+
+
 def test_spans_give_way_to_bytes():
     """Parts of one character report the whole of it; their ends come from the decoded bytes."""
     spans, sizes = np.array([(0, 2), (2, 6), (2, 6), (6, 7)]), np.array([2, 1, 3, 1])
