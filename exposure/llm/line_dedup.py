@@ -104,7 +104,8 @@ def _neighbours(lines: DataFrame, first: DataFrame) -> DataFrame:
     earliest = variants.groupBy("key").agg(
         *[F.min(F.when(F.col("role") == r, F.struct("first", "h"))).alias(f"of_{r}") for r in range(3)]
     )
-    met = variants.join(earliest, "key")
+    # Spark sizes variants as the lines they come from, a hundredth of their own size, and would broadcast them
+    met = variants.hint("merge").join(earliest, "key")
     other = F.when(F.col("role") == 0, F.col("of_0")).when(F.col("role") == 1, F.col("of_2")).otherwise(F.col("of_1"))
     met = met.select("h", "first", other.alias("other")).filter("other.first < first")
     pairs = met.select("h", F.col("other.h").alias("earlier")).distinct()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from exposure.llm import line_dedup
 from exposure.llm.line_dedup import without_repeated_lines
 
 
@@ -58,3 +59,23 @@ def test_repeated_rows_and_no_rows(spark):
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in without_repeated_lines(df).collect())
     assert got == [(1, text, 2, 0), (1, text, 2, 0), (2, "", 2, 2)]
     assert without_repeated_lines(df.filter(F.lit(False))).count() == 0
+
+
+def test_variants_are_never_broadcast(spark):
+    """A variant per character of a line: Spark sizes them as the lines and would send them all through the driver."""
+    lines = spark.sql("SELECT id AS row, id AS doc, 0 AS line, concat('a line of some length ', id % 7) AS text FROM range(9)")
+    lines = lines.withColumn("h", F.xxhash64("text"))
+    place = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row", "line")
+    keys = F.array(*[line_dedup._piece_key(F.col("text"), 2, F.lit(k)) for k in range(4)])
+    first = lines.withColumn("keys", keys).groupBy("h").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
+    plan = line_dedup._neighbours(lines, first)._jdf.queryExecution().executedPlan().toString()
+    above, movers = [], []
+    for row in plan.splitlines():
+        depth = len(row) - len(row.lstrip(" :+-*()0123456789"))
+        above = [(d, name) for d, name in above if d < depth]
+        if "MapInArrow" in row:
+            movers.append([name for _, name in above][-1:])
+        if "Exchange" in row:
+            above.append((depth, "broadcast" if "BroadcastExchange" in row else "shuffle"))
+    # what a shuffle has moved is measured before it is broadcast, and the plan made anew
+    assert movers and ["broadcast"] not in movers
