@@ -9,7 +9,8 @@ document's terms, df the documents of a term and tf its occurrences in one:
     score = sum over the item's distinct terms of w * (10^9 tf div (1000 tf + 8 m))
 
 1. ``index`` deals the documents into slices of some ``SLICE_BYTES`` of text (a longer document is a slice by
-   itself), each one row of a written table: its documents, sizes, terms and postings.
+   itself), each one row of a written table: its documents, sizes, terms and postings.  Row groups hold few slices,
+   so a task's memory depends neither on the size of its part of the documents nor on the number of slices.
 2. Items become lists of terms with weights; document frequencies are summed over the slices for
    the items' terms alone.  Nothing passes the driver but the sums N and L and the size of all items.
 3. Every slice meets every item, in blocks of ``BLOCK_BYTES`` of items: a given set of queries against all
@@ -49,6 +50,8 @@ from exposure.llm.shared import stored
 SLICE_BYTES = 4_000_000
 BLOCK_BYTES = 4_000_000
 BROADCAST_BYTES = 32_000_000
+#: of a row group of slices, which a task that reads them decodes whole
+GROUP_BYTES = 2_000_000
 #: documents scored first, or those of one mask; every step takes twice as many as the one before
 STEP = 32
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -112,7 +115,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     yield _slice(name, batch["doc"][start:i + 1], texts)
                     texts, n, start, name = [], 0, i + 1, name + 1
 
-    return stored(rows.mapInArrow(run, schema))
+    return stored(rows.mapInArrow(run, schema), GROUP_BYTES)
 
 
 # ---------------------------------------------------------------------------
@@ -242,18 +245,19 @@ def search(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, list[tuple]] = {}
-        asked: dict[tuple, list[tuple]] = {}
         kinds = None
         for batch in batches:
             kinds = (batch["items"].type.value_type.field("key").type, batch["docs"].type.value_type)
             for i in range(len(batch)):
                 arrays = [batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "dfs", "places", "counts")]
                 part = Slice(batch["docs"][i].as_py(), arrays[0], batch["terms"][i].as_py(), *arrays[1:], n_docs, n_terms)
-                for item in batch["items"][i].as_py():
-                    key = tuple(item["key"].values())
-                    if key not in asked:
-                        asked[key] = [(x["term"], x["w"]) for x in item["asked"]]
-                    best[key] = part.best(asked[key], best.get(key, []), k)
+                items = batch["items"][i].values
+                keys, bounds = items.field("key").to_pylist(), items.field("asked").offsets.to_numpy()
+                asked = items.field("asked").flatten()
+                asked, bounds = list(zip(asked.field("term").to_pylist(), asked.field("w").to_pylist())), bounds - bounds[0]
+                for key, a, b in zip(keys, bounds, bounds[1:]):
+                    key = tuple(key.values())
+                    best[key] = part.best(asked[a:b], best.get(key, []), k)
         rows = [(key, doc, -s) for key, found in best.items() for s, _, doc in found]
         if rows:
             names = ("item", "digest")

@@ -26,10 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written once to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, row_group_bytes: int | None = None) -> DataFrame:
+    """Written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    With ``row_group_bytes`` the writer looks at every row and starts a new row group there; by itself it
+    looks at every hundredth, so a task that writes or reads rows of megabytes holds a hundred of them.
+    """
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    writer = df.write
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size.row.check.min", 1)
+    writer.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from exposure.llm import ranked_search
@@ -92,3 +93,15 @@ def test_long_text_is_one_document(spark):
     d = spark.createDataFrame([(1, "deep sea " * 400_000), (2, "deep")], "doc_id long, text string")
     q = spark.createDataFrame([(7, "deep sea")], "item_id long, text string")
     assert rows_of(search(d, q)) == brute([(1, "deep sea " * 400_000), (2, "deep")], [(7, "deep sea")], 10)
+
+
+def test_row_groups_hold_few_slices(spark, monkeypatch):
+    """A task decodes a row group at once, so many slices of one file must not share one."""
+    monkeypatch.setattr(ranked_search, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(ranked_search, "GROUP_BYTES", 50_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(300))) for i in range(300)]
+    held = ranked_search.index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(re.sub("^file:/*", "/", f)).metadata for f in held.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 40 and max(g.num_rows for g in groups) <= 5
