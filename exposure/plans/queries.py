@@ -847,8 +847,10 @@ def cards_parsed(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of files."""
+    path = f"{sf}/{name}.parquet"
+    # a stream takes no single file by its name, but whatever a pattern matches
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
 
 
 def _drain(spark, df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from exposure.operators import dashboard, day_sums, identity, narrative, risk
+from exposure.plans.queries import QUERIES
 from exposure.sources import corpora, tables
 from exposure.streaming import streams
 
@@ -361,3 +362,13 @@ def test_bucketed_corpus_stays_where_it_is(spark, tmp_path):
                 if "Join" in final[i]:
                     break
                 assert "Exchange" not in final[i], plan
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streamed_findings_of_a_file_or_a_folder(spark, tmp_path, folder):
+    rows = [(i, "en", "src1", f"write to user{i}@example.com", 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet")) if folder else docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    docs.toPandas().to_parquet(tmp_path / "other.parquet")
+    found = QUERIES["stream_findings"](spark, str(tmp_path)).filter("pii_type = 'email'").collect()
+    assert sum(r.n for r in found) == 43  # three texts get a second address appended
