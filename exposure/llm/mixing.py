@@ -136,8 +136,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     keep = [c for c in docs.columns if c not in added]
     own = docs.select(F.struct(*keep).alias("row_"), F.xxhash64(id_col, text_col).alias("h_"))
     own = own.withColumn("nth_", F.row_number().over(Window.partitionBy("h_").orderBy(F.col("row_")[id_col])))
-    # rows repeated whole are told apart by number, in a condition that leaves the text where the window put it
-    out = own.join(copies, (own["h_"] == copies["h_"]) & (own["nth_"] - copies["n_"] == 0))
+    # rows repeated whole are told apart by number, in a condition that leaves the text where the window put it;
+    # both sides lie by hash already, and Spark would size the copies as they were before the explode
+    out = own.join(copies.hint("merge"), (own["h_"] == copies["h_"]) & (own["nth_"] - copies["n_"] == 0))
     text = F.col("row_")[text_col]
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     first = F.array_join(F.slice(words, F.lit(1), F.col("c.taken").cast("int")), " ")

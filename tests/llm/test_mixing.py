@@ -80,3 +80,18 @@ def test_no_words_and_no_rows(spark):
     assert [(r["size"], r.target, r.taken) for r in M.placements(df).collect()] == [(0, 0.0, 0)] * 3
     assert M.mixed(df).count() == 0
     assert M.placements(df.filter(F.lit(False))).count() == 0
+
+
+def test_exploded_copies_are_not_broadcast(spark):
+    """Spark sizes an explode as what goes in, so copies of a large corpus would pass the driver."""
+    df = spark.createDataFrame([(i, "a b c d", "abc"[i % 3]) for i in range(30)], "doc_id long, text string, source string")
+    plan = M.mixed(df)._jdf.queryExecution().executedPlan().toString()
+    above, movers = [], []
+    for row in plan.splitlines():
+        depth = len(row) - len(row.lstrip(" :+-*()0123456789"))
+        above = [(d, name) for d, name in above if d < depth]
+        if "Generate explode(copies" in row:
+            movers.append([name for _, name in above][-1:])
+        if "Exchange" in row:
+            above.append((depth, "broadcast" if "BroadcastExchange" in row else "shuffle"))
+    assert movers and ["broadcast"] not in movers
