@@ -164,3 +164,17 @@ def test_stored_findings_hold_no_raw_value(spark, tmp_path):
     back = tables.read_events(spark, str(tmp_path / "f"), F.lit("2024-02-05 00:00:00").cast("timestamp"))
     assert "4111111111111111" not in str(back.collect()) and back.count() == 1
     assert tables.read_events(spark, str(tmp_path / "f"), F.lit("2024-04-05 00:00:00").cast("timestamp")).count() == 0
+
+
+def test_misread_numbers_in_long_runs(spark):
+    """A text of one long run took a stack frame per character; the same tokens are found as character by character."""
+    core = pii._OCR_CORE
+    plain = rf"(?<![A-Za-z0-9])[{core}](?:[{core}]|[ \-](?=[{core}]))*(?![A-Za-z0-9])"
+    java = spark._jvm.java.util.regex.Pattern
+    for run in ("!" * 20_000, "1 " * 20_000 + "1", "0" * 20_000, "7-" * 20_000 + "7"):
+        found = java.compile(pii._OCR_TOKEN).matcher(run + " x")
+        assert found.find() and found.end() == len(run)
+    rng = random.Random(5)
+    rows = [("".join(rng.choice("01OlSB|! -xé.K") for _ in range(rng.randrange(1, 40))),) for _ in range(5000)]
+    both = [F.struct(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.split("t", p)) for p in (plain, pii._OCR_TOKEN)]
+    assert spark.createDataFrame(rows, "t string").filter(~both[0].eqNullSafe(both[1])).count() == 0
