@@ -9,10 +9,12 @@ from which follow, for any question, the least and the most that a posting of th
 * A block is opened only if its most, plus the most of all other terms, reaches the threshold.
 * Candidates come from essential terms alone.  The terms of least weight, which together stay
   below the threshold, find no card by themselves, so frequent words are looked up for candidates only.
+* Where the blocks say that these look-ups outnumber the postings of the questions' terms, the postings are summed
+  in one pass instead, and candidates kept.
 
 Results are those of :func:`exposure.operators.retrieval.bm25_topk`, ties and own cards included.
 The index is bucketed by term and part, a hash of the card, so a frequent term lies in many buckets;
-both joins carry these two columns and move the questions' side.
+all joins carry these two columns and move the questions' side.
 """
 
 from __future__ import annotations
@@ -120,21 +122,49 @@ def opened_blocks(weighted: DataFrame, index: CardIndex, k: int = 3) -> DataFram
     )
 
 
-def topk(
-    questions: DataFrame, index: CardIndex, own_cards: DataFrame | None = None, k: int = 3, qid: str = "qid"
-) -> DataFrame:
-    """Best ``k`` cards of each question: ``qid, rank, id, score``, as ``bm25_topk`` gives them."""
-    asked, wanted, own_index = retrieval.question_terms(questions, own_cards, qid)
-    weighted = _weighted(wanted, index)
+def _many_candidates(weighted: DataFrame, opened: DataFrame, index: CardIndex) -> bool:
+    """Whether candidates times terms, as the blocks bound them, exceed all postings of the questions' terms."""
+    terms = weighted.groupBy("qid").agg(F.count("*").alias("terms"))
+    lookups = opened.groupBy("qid").agg(F.sum("docs").alias("docs")).join(terms, "qid").agg(F.sum(F.col("docs") * F.col("terms"))).first()[0]
+    return (lookups or 0) > (weighted.select("term").join(index.blocks, "term").agg(F.sum("docs")).first()[0] or 0)
+
+
+def _looked_up(weighted: DataFrame, opened: DataFrame, index: CardIndex) -> DataFrame:
+    """Scores of the cards in opened blocks: each is sent to the terms of its question."""
     every_part = F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1))).alias("part")
-    opened = opened_blocks(weighted, index, k).filter("essential").select("qid", "term", "level", every_part)
     found = (
-        opened.repartition("term", "part").join(index.postings, ["term", "part", "level"])
+        opened.select("qid", "term", "level", every_part).repartition("term", "part")
+        .join(index.postings, ["term", "part", "level"])
         .select("qid", "id", "ord").distinct()
     )
     probes = found.join(weighted, "qid").withColumn("part", _part(index.parts)).repartition("term", "part")
-    scored = (
+    return (
         probes.join(index.postings.drop("level"), ["term", "part", "id", "ord"])
         .groupBy("qid", "id", "ord").agg(F.sum(retrieval.term_score()).alias("score"))
     )
+
+
+def _one_pass(weighted: DataFrame, opened: DataFrame, index: CardIndex) -> DataFrame:
+    """The same scores, summed over all postings of the questions' terms; what lies in no opened block is dropped after."""
+    levels = opened.groupBy("qid", "term").agg(F.collect_set("level").alias("levels"))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(index.parts - 1)))
+    probes = weighted.join(levels, ["qid", "term"], "left").withColumn("part", every_part).repartition("term", "part")
+    named = index.postings.filter(F.col("id").isNotNull() & F.col("ord").isNotNull())
+    return (
+        probes.join(named, ["term", "part"])
+        .withColumn("candidate", F.coalesce(F.array_contains("levels", F.col("level")), F.lit(False)))
+        .groupBy("qid", "id", "ord").agg(F.sum(retrieval.term_score()).alias("score"), F.max("candidate").alias("candidate"))
+        .filter("candidate").drop("candidate")
+    )
+
+
+def topk(
+    questions: DataFrame, index: CardIndex, own_cards: DataFrame | None = None, k: int = 3, qid: str = "qid"
+) -> DataFrame:
+    """Best ``k`` cards of each question: ``qid, rank, id, score``, as ``bm25_topk`` gives them."""
+    asked, wanted, own_index = retrieval.question_terms(questions, own_cards, qid)
+    weighted = _weighted(wanted, index)
+    opened = opened_blocks(weighted, index, k).filter("essential")
+    score = _one_pass if _many_candidates(weighted, opened, index) else _looked_up
+    scored = score(weighted, opened, index)
     return retrieval.best(scored, retrieval.own_scores(asked, weighted, own_cards, own_index), k)

@@ -436,3 +436,32 @@ def test_verdicts_are_reused_until_they_end(spark, tmp_path):
     tables.compact_verdicts(spark, path, small, later(6.5))
     assert spark.read.parquet(path).count() == 5 and spark.read.parquet(small).count() == 3
     assert {r.url_key for r in tables.read_verdicts(spark, small, later(6.5)).collect()} == {a, p, n}
+
+
+def test_indexed_topk_with_many_candidates(spark):
+    """Where most cards are candidates their terms are not looked up one by one, with the same result."""
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(30)]
+    card = "id string, ord long, title string, tags array<string>, summary string, body string"
+    rows = [(f"c{i}", i, "", [], "", " ".join(rng.choices(words, k=rng.randrange(5, 15)))) for i in range(400)]
+    rows += [rows[3], rows[3], (None, 500, "", [], "", "word1 word2"), ("x", None, "", [], "", "word1 word2")]
+    cards = spark.createDataFrame(rows, card)
+    qs = spark.createDataFrame([(i, " ".join(rng.sample(words, 6))) for i in range(10)] + [(None, "word1")], "qid long, question string")
+    name, before = "cards_by_pass", spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    for t in ("postings", "blocks", "sizes"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}_{t}")
+    card_index.write_index(cards, name, parts=4, buckets=8)
+    try:
+        index = card_index.read_index(spark, name)
+        got = card_index.topk(qs, index)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count(f"{name}_postings[") == 1
+        _, wanted, _ = retrieval.question_terms(qs, None, "qid")
+        weighted = card_index._weighted(wanted, index)
+        opened = card_index.opened_blocks(weighted, index).filter("essential")
+        shown = lambda df: sorted((r.qid, r.id, r.ord, round(r.score, 9)) for r in df.collect())
+        assert shown(card_index._one_pass(weighted, opened, index)) == shown(card_index._looked_up(weighted, opened, index))
+        assert got.count() == 30
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+        for t in ("postings", "blocks", "sizes"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{t}")
